@@ -1,9 +1,14 @@
 """The registered queries of this subpackage and their SQL."""
 
-from cartolith.llm import exact_dedup
+from cartolith.llm import exact_dedup, jaccard_join, packing, quality, sharding, source_mix
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
+    "op6_source_mix": source_mix.op6_source_mix,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_quality_classifier": quality.op8_quality_classifier,
+    "op9_sharding": sharding.op9_sharding,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL = {
