@@ -1,9 +1,13 @@
 """The registered queries of this subpackage and their SQL."""
 
-from cartolith.llm import exact_dedup, jaccard_join, packing, quality, sharding, source_mix
+from cartolith.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, packing, quality, secrets, sharding, source_mix, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
+    "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
+    "op3_language_id": language_id.op3_language_id,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_secret_scan": secrets.op5_secret_scan,
     "op6_source_mix": source_mix.op6_source_mix,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_quality_classifier": quality.op8_quality_classifier,
