@@ -145,7 +145,7 @@ def _distinct_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _first_pairs(batches):
-    """Kind 0: all pairs of small groups, and of large ones each member with the one of middle size.
+    """Kind 0: all pairs of small groups, and of large ones each member with the one where the n-gram comes first.
 
     Kind 1: the postings of large groups, for the pairs that are still open once those links are known.
     """
@@ -169,8 +169,12 @@ def _first_pairs(batches):
         ys.append(sk[i + d])
     large = np.flatnonzero(~small)
     if len(large):
-        hub = np.repeat(begins + sizes // 2, sizes)[large]
-        near = (5 * np.minimum(n[large], n[hub]) >= 4 * np.maximum(n[large], n[hub])) & (large != hub)
+        # the text that others were changed from has the fewest rare n-grams, so the common ones come first in it; groups
+        # of different n-grams with much the same members choose the same hub
+        by_pos = np.lexsort((sk, pos, token))
+        hub = np.repeat(by_pos[begins], sizes)[large]
+        small_one, large_one = np.where(n[large] <= n[hub], large, hub), np.where(n[large] <= n[hub], hub, large)
+        near = _passes(n[small_one], pos[small_one], n[large_one], pos[large_one]) & (large != hub)
         xs.append(sk[large[near]])
         ys.append(sk[hub[near]])
     yield _found(0, *_distinct_pairs(np.concatenate(xs), np.concatenate(ys)))
