@@ -194,7 +194,7 @@ def columns_of(line: Column, tab: int = 4, most: int = 120) -> Column:
 
 def text_grid(text: Column) -> Column:
     lines = line_array(text)
-    cols = F.coalesce(F.array_max(F.transform(lines, columns_of)), F.lit(1))
+    cols = F.coalesce(F.array_max(F.transform(lines, lambda s: columns_of(s))), F.lit(1))
     return F.struct(F.greatest(cols, F.lit(1)).alias("cols"), F.greatest(F.size(lines), F.lit(1)).alias("lines"))
 
 

@@ -378,13 +378,13 @@ def span_delta(spark, sf_dir):
 @query(f"WITH {_SPANS}, off AS (SELECT doc_id, unnest(range(0, 50)) * 8 AS off FROM documents) SELECT o.doc_id, o.off, coalesce(s.cls, 0) AS cls FROM off o LEFT JOIN sp s ON o.doc_id = s.doc_id AND o.off >= s.start AND o.off < s.start + s.len")
 def token_class_lookup(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    offsets = docs.select("doc_id", (F.explode(F.sequence(F.lit(0), F.lit(49))) * 8).cast("long").alias("off"))
+    offsets = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("k")).select("doc_id", (F.col("k") * 8).cast("long").alias("off"))
     return textgrid.classed_at(offsets, _demo_spans(spark, sf_dir))
 
 
 @query("SELECT l.doc_id, line, first FROM (SELECT doc_id, unnest(range(0, 40)) * 50 + doc_id % 50 AS line FROM documents) l, (SELECT greatest(k * 512 - 256, 0) AS first FROM range(0, 20) r(k)) w WHERE line >= first AND line < first + 1024")
 def line_windows(spark, sf_dir):
-    lines = _table(spark, sf_dir, "documents").select("doc_id", (F.explode(F.sequence(F.lit(0), F.lit(39))) * 50 + F.col("doc_id") % 50).alias("line"))
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k")).select("doc_id", (F.col("k") * 50 + F.col("doc_id") % 50).alias("line"))
     return textgrid.windows_of_lines(lines)
 
 
