@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,12 +20,24 @@ END_ID = 1
 OPEN_BINS = 2048
 PACKER_ROWS = 32_768
 #: Words whose ids a task keeps at most.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, run string, at long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+class _Index(dict):
+    """Numbers words as they are looked up; `new` are those since it was last emptied."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 class WordIds:
     """Token ids of texts through ids of their words.
 
@@ -41,32 +54,32 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = _Index()
         self.sizes, self.begins, self.flat, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
 
-    def add(self, words: list[bytes]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        first, last = len(self.index), len(self.index) + len(words)
+    def add_new(self) -> None:
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in self.index.new], add_special_tokens=False)]
+        first, last = len(self.index) - len(encoded), len(self.index)
         while last > len(self.sizes):
             self.sizes, self.begins = np.concatenate([self.sizes, np.zeros_like(self.sizes)]), np.concatenate([self.begins, np.zeros_like(self.begins)])
         n = np.fromiter(map(len, encoded), np.int64, len(encoded))
         more = int(n.sum())
         while self.used + more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + more] = np.fromiter((i for ids in encoded for i in ids), np.uint32, more)
+        self.flat[self.used : self.used + more] = np.fromiter(chain.from_iterable(encoded), np.uint32, more)
         self.sizes[first:last], self.begins[first:last] = n, self.used + np.cumsum(n) - n
         self.used += more
-        self.index.update(zip(words, range(first, last), strict=True))
+        self.index.new = []
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text without the end id."""
         words = [t.split() if b"<|" in t else t.lower().split() for t in texts]
         if len(self.index) > CACHE_WORDS:
             self.clear()
-        if missing := set().union(*words) - self.index.keys():
-            self.add(sorted(missing))
-        get, counts = self.index.__getitem__, [len(w) for w in words]
-        at = np.fromiter((i for w in words for i in map(get, w)), np.int64, sum(counts))
+        counts = [len(w) for w in words]
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, sum(counts))
+        if self.index.new:
+            self.add_new()
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begins[at] - (ends - sizes), sizes)
@@ -75,6 +88,18 @@ class WordIds:
         return [all_ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+_made: dict[int, WordIds] = {}
+
+
+def word_ids(tokenizer_json: str) -> WordIds:
+    """One table for all tasks of a Python worker."""
+    key = zlib.crc32(tokenizer_json.encode())
+    if key not in _made:
+        _made.clear()
+        _made[key] = WordIds(tokenizer_json)
+    return _made[key]
+
+
 def best_fit(lengths: list[int], capacity: int = LENGTH, open_bins: int = OPEN_BINS) -> tuple[list[int], list[int]]:
     """(bin, offset) of each length, taken in the given order.
 
@@ -131,7 +156,7 @@ def cut(docs: DataFrame, tokenizer_json: str, length: int = LENGTH, run: Column
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def pieces_of(batches):
-        words = WordIds(shared.value)
+        words = word_ids(shared.value)
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             rows: list[tuple[int, int, int, int, int]] = []
