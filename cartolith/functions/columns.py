@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from cartolith.functions import tables as t
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def lookup(values: dict[str, str], key: Column) -> Column:
     """A literal map; null for other keys."""
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key)
@@ -245,9 +250,8 @@ def source_problem(url: Column, hosts: list[str]) -> Column:
 
 def ipv4_number(address: Column) -> Column:
     """An IPv4 address as a long; null for anything else."""
-    octets = F.transform(F.split(address, r"\."), lambda x: F.try_to_number(x, F.lit("999")).cast("long"))
-    ok = address.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") & F.forall(octets, lambda x: x <= 255)
-    return F.when(ok, F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x))
+    number = F.aggregate(F.split(address, r"\."), F.lit(0).cast("long"), lambda a, x: F.when((a < 0) | (x.cast("int") > 255), F.lit(-1).cast("long")).otherwise(a * 256 + x.cast("int")))
+    return F.when(address.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.nullif(number, F.lit(-1).cast("long")))
 
 
 # The first and last address of each range that must never be contacted.
@@ -273,31 +277,35 @@ def forbidden_v4(number: Column) -> Column:
 
 def ipv6_groups(address: Column) -> Column:
     """The eight 16-bit groups of an IPv6 address, a dotted end included; null if it isn't one."""
-    a = F.lower(F.regexp_replace(address, "%.*$", ""))
-    tail = F.regexp_extract(a, r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
-    n = F.coalesce(ipv4_number(tail), F.lit(0).cast("long"))
-    a = F.when(tail != "", F.concat(F.regexp_replace(a, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$", ""), F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(F.lit(65535)))))).otherwise(a)
+    bare = F.lower(F.regexp_replace(address, "%.*$", ""))
+    dotted = r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$"
+    as_groups = let(F.coalesce(ipv4_number(F.regexp_extract(bare, dotted, 1)), F.lit(0).cast("long")), lambda n: F.concat(F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(F.lit(65535)))))
+    plain = F.when(bare.rlike(dotted), F.concat(F.regexp_replace(bare, dotted, ""), F.lower(as_groups))).otherwise(bare)
     given = lambda s: F.filter(F.split(s, ":"), lambda x: x != "")
-    left, right = given(F.substring_index(a, "::", 1)), given(F.regexp_extract(a, r"::(.*)$", 1))
-    zeros = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0)))
-    all_ = F.when(F.contains(a, F.lit("::")), F.concat(left, zeros, right)).otherwise(left)
-    ok = F.contains(address, F.lit(":")) & (F.size(all_) == 8) & F.forall(all_, lambda x: x.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(ok, F.transform(all_, lambda x: F.conv(x, 16, 10).cast("long")))
 
+    def expand(a: Column) -> Column:
+        sides = F.struct(given(F.substring_index(a, "::", 1)).alias("l"), given(F.regexp_extract(a, r"::(.*)$", 1)).alias("r"))
+        full = let(sides, lambda s: F.concat(s["l"], F.array_repeat(F.lit("0"), F.greatest(8 - F.size(s["l"]) - F.size(s["r"]), F.lit(0))), s["r"]))
+        return F.when(F.contains(a, F.lit("::")), full).otherwise(given(a))
 
-def forbidden_address(address: Column) -> Column:
-    """True for addresses that must never be contacted, and for what is no address."""
-    v4, g = ipv4_number(address), ipv6_groups(address)
+    ok = lambda g: (F.size(g) == 8) & F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$"))
+    numbers = let(let(plain, expand), lambda g: F.when(ok(g), F.transform(g, lambda x: F.conv(x, 16, 10).cast("long"))))
+    return F.when(F.contains(address, F.lit(":")), numbers)
+
+
+def _forbidden_v6(g: Column) -> Column:
     at = lambda i: F.element_at(g, i + 1)
     zeros = lambda n: F.forall(F.slice(g, 1, n), lambda x: x == 0)
-    inner = forbidden_v4(at(6) * 65536 + at(7))
-    v6 = (
+    masked = lambda i, m: at(i).bitwiseAND(F.lit(m))
+    mapped = (zeros(5) & (at(5) == 0xFFFF)) | ((at(0) == 0x64) & (at(1) == 0xFF9B))
+    return (
         F.when(zeros(7) & at(7).isin(0, 1), F.lit(True))
-        .when(zeros(5) & (at(5) == 0xFFFF), inner)
-        .when((at(0) == 0x64) & (at(1) == 0xFF9B), inner)
-        .otherwise(
-            (at(0).bitwiseAND(F.lit(0xFE00)) == 0xFC00) | (at(0).bitwiseAND(F.lit(0xFFC0)) == 0xFE80) | (at(0).bitwiseAND(F.lit(0xFF00)) == 0xFF00)
-            | ((at(0) == 0x2001) & (at(1) == 0xDB8))
-        )
-    )
-    return F.when(v4.isNotNull(), forbidden_v4(v4)).when(g.isNotNull(), v6).otherwise(F.lit(True))
+        .when(mapped, let(at(6) * 65536 + at(7), forbidden_v4))
+        .otherwise((masked(0, 0xFE00) == 0xFC00) | (masked(0, 0xFFC0) == 0xFE80) | (masked(0, 0xFF00) == 0xFF00) | ((at(0) == 0x2001) & (at(1) == 0xDB8)))
+    )
+
+
+def forbidden_address(address: Column) -> Column:
+    """True for addresses that must never be contacted, and for what is no address."""
+    v4 = let(ipv4_number(address), forbidden_v4)
+    return F.coalesce(v4, let(ipv6_groups(address), lambda g: F.when(g.isNotNull(), _forbidden_v6(g))), F.lit(True))

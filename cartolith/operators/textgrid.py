@@ -86,6 +86,6 @@ def span_starts(deltas: DataFrame, order: str = "ord") -> DataFrame:
 def windows_of_lines(lines: DataFrame) -> DataFrame:
     """lines(doc_id, line) with every window of WINDOW lines, one each 512 lines, that shows them."""
     k = F.floor((F.col("line") + 256) / 512)
-    starts = F.array_distinct(F.transform(F.sequence(F.greatest(k - 1, F.lit(0)), k), lambda i: F.greatest(i * 512 - 256, F.lit(0)).cast("long")))
+    starts = F.array_distinct(F.transform(F.sequence(F.greatest(k - 2, F.lit(0)), k), lambda i: F.greatest(i * 512 - 256, F.lit(0)).cast("long")))
     ok = F.filter(starts, lambda s: (s <= F.col("line")) & (F.col("line") < s + WINDOW))
     return lines.select("doc_id", "line", F.explode(ok).alias("first"))
