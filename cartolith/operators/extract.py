@@ -127,11 +127,11 @@ def symbols_of(text: str, grammar: str) -> list[tuple[str, str, int, int]]:
     rules = [(k, re.compile(p)) for k, p in SYMBOL_RULES[grammar]]
     lines = _blank(text, grammar).split("\n")
     out = []
-    scopes: list[tuple[int, str]] = []  # (depth inside, kind) of the definitions around the line
+    scopes: list[tuple[int, str, int]] = []  # (depth inside, kind, last line) of the definitions around the line
     depth = 0
     for n, line in enumerate(lines):
         found = next(((k, m.group(1)) for k, r in rules if (m := r.search(line))), None)
-        while scopes and depth < scopes[-1][0]:
+        while scopes and n > scopes[-1][2]:
             scopes.pop()
         if found and grammar == "Rust" and found[0] == "function" and _end_by_braces(lines, n)[1] is False:
             found = None
@@ -149,7 +149,7 @@ def symbols_of(text: str, grammar: str) -> list[tuple[str, str, int, int]]:
                 end, _ = _end_by_braces(lines, n)
             out.append((kind, name, n + 1, end + 1))
             if kind in ("class", "interface", "enum", "struct"):
-                scopes.append((depth + 1, kind))
+                scopes.append((depth + 1, kind, end))
         depth += line.count("{") - line.count("}")
     return sorted(set(out), key=lambda s: (s[2], s[3], s[0], s[1]))
 

@@ -17,7 +17,8 @@ SCHEMA_VERSION = "2"
 def scan_folder(spark: SparkSession, root: str, repo_id: str, content: bool = True) -> DataFrame:
     """repo_id, path (relative, with slashes), bytes and content of all regular files below root; .git is left out.
 
-    Hidden files count. The reader prunes what isn't selected: without content only names and sizes are listed.
+    Spark's readers skip names that begin with . or _; a corpus that is a table keeps them. The reader prunes what isn't
+    selected: without content only names and sizes are listed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
