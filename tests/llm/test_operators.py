@@ -301,7 +301,8 @@ def test_sharding(spark, monkeypatch):
     assert len(sizes) == 16 and sizes.max() - sizes.min() <= 1
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
     mix = got.fillna({"source": "null"}).groupby(["shard", "source"]).size().unstack(fill_value=0)
-    assert (mix.max() - mix.min()).max() <= 2
+    # cuts fall between rows of the interleaved sources: a count is off its share by less than one for each other source
+    assert (mix - mix.sum() / 16).abs().max().max() < len(mix.columns)
     one = got.set_index("doc_id")
     assert (one["size"][1], one.text_crc32[1], one["size"][0], one.text_crc32[0]) == (5, zlib.crc32("t é".encode()), 1, 0)
     assert got.law.eq("rows").all() and got.grown_shard.isna().all()
