@@ -125,7 +125,7 @@ def test_layout_invariants(spark, layout, tmp_path):
     assert again.keys.count() == tiled.count() and pyramid.summary(again).first().files == 98
     assert {r.key for r in pyramid.manifest_layers(again.manifest).collect()} == {"language", "lines"}
     values = pyramid.aligned(tiled, layered.where("layer = 'lines'")).select(F.explode("features").alias("f")).where("f.value > 0").count()
-    assert values > 98
+    assert values >= 98  # each file is in one tile of the largest zoom at least
 
 
 def test_zooms_against_recursion(layout):
