@@ -15,6 +15,8 @@ from cartolith.llm.common import held_out, materialise, pieces, shingle_sets, ta
 #: At most so many labelled documents are learned from: those with the smallest hashes.
 LEARN_TOXIC, LEARN_CLEAN = 3000, 6000
 LANDMARKS, PLAIN_LANDMARKS, PLAIN_WORDS = 256, 128, 6000
+#: Words that a task remembers at most.
+CACHE_WORDS = 600_000
 DECAY, GAPS = 0.6, (1, 2, 3)
 #: The kernel's power, and the similarity to some toxic landmark below which a word counts as unlike all of them.
 POWER, NEAR = 4, 0.45
@@ -116,6 +118,12 @@ class Scorer:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[kernel.keys[self.bound > 0] % 1_048_573] = True
         self.slope, self.shift = 2.0, 0.0
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget the words met; a Python worker keeps them between its tasks."""
+        self.met: set[str] = set()
+        self.hot: dict[str, float] = {}
 
     def words(self, items: list[str]) -> np.ndarray:
         at, keys, w = subsequences(items)
@@ -137,15 +145,18 @@ class Scorer:
         out = np.full(len(offsets) - 1, self.bias)
         for i, j in pieces(offsets):
             sets = [words(data[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "replace")) for r in range(i, j)]
-            raw = list(set().union(*sets))
-            short = [(w, p) for w in raw if len(p := plain(w)) >= 3]
-            if not short:
-                continue
-            value = self.words([p for _, p in short])
-            hot = {short[k][0]: value[k] for k in np.flatnonzero(value > self.bias + 1e-12)}
+            if len(self.met) > CACHE_WORDS:
+                self.clear()
+            new = set().union(*sets) - self.met
+            self.met |= new
+            fresh = [(w, p) for w in new if len(p := plain(w)) >= 3]
+            if fresh:
+                value = self.words([p for _, p in fresh])
+                self.hot |= {fresh[k][0]: float(value[k]) for k in np.flatnonzero(value > self.bias + 1e-12)}
+            hot_words = set(self.hot)
             for r, own in enumerate(sets, i):
-                if both := own & hot.keys():
-                    out[r] = max(self.bias, max(hot[w] for w in both))
+                if both := own & hot_words:
+                    out[r] = max(self.bias, max(self.hot[w] for w in both))
         return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -212,7 +223,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
         scorer = Scorer(kernel, root @ w, bias, len(insults))
         if not hard:
             hard = _most_toxic(plain_words, scorer)
-    got = made.select("toxic", F.array_join("words", " ").alias("text")).orderBy(F.xxhash64("m0", "m1"), "m0").limit(LEARN_TOXIC + LEARN_CLEAN)
+    got = made.select("toxic", F.array_join("words", " ").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def values_of(batches):
