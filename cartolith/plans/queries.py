@@ -13,8 +13,8 @@ from cartolith.operators import catalog, checks, classify, evolution, extract, p
 from cartolith.sources import corpus
 from cartolith.sources.storage import staged
 
-#: The oversize limit of these queries.
-MAX_BYTES = 16_384
+#: The oversize limit that the SQL below is written with; queries with SQL keep to it, all others to t.MAX_FILE_BYTES.
+SQL_MAX_BYTES = 16_384
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,28 +34,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.classify(corpus.corpus_files(_table(spark, sf_dir, "documents")), max_bytes=MAX_BYTES)
+def _classified(spark: SparkSession, sf_dir: str, max_bytes: int = SQL_MAX_BYTES) -> DataFrame:
+    return classify.classify(corpus.corpus_files(_table(spark, sf_dir, "documents")), max_bytes=max_bytes)
 
 
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.kept_files(_classified(spark, sf_dir))
+def _files(spark: SparkSession, sf_dir: str, max_bytes: int = SQL_MAX_BYTES) -> DataFrame:
+    return classify.kept_files(_classified(spark, sf_dir, max_bytes))
 
 
-def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(tree.file_ids(_files(spark, sf_dir).select("repo_id", "path", "language", "lines", "bytes")))
+def _indexed(spark: SparkSession, sf_dir: str, max_bytes: int = SQL_MAX_BYTES) -> DataFrame:
+    return staged(tree.file_ids(_files(spark, sf_dir, max_bytes).select("repo_id", "path", "language", "lines", "bytes")))
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(tree.tree_nodes(_indexed(spark, sf_dir)))
+def _nodes(spark: SparkSession, sf_dir: str, max_bytes: int = SQL_MAX_BYTES) -> DataFrame:
+    return staged(tree.tree_nodes(_indexed(spark, sf_dir, max_bytes)))
 
 
-def _zoomed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(tree.node_zooms(_nodes(spark, sf_dir)))
+def _zoomed(spark: SparkSession, sf_dir: str, max_bytes: int = SQL_MAX_BYTES) -> DataFrame:
+    return staged(tree.node_zooms(_nodes(spark, sf_dir, max_bytes)))
 
 
-def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(treemap.lay_out(_zoomed(spark, sf_dir)))
+def _placed(spark: SparkSession, sf_dir: str, max_bytes: int = SQL_MAX_BYTES) -> DataFrame:
+    return staged(treemap.lay_out(_zoomed(spark, sf_dir, max_bytes)))
 
 
 # SQL of the same steps
@@ -72,7 +72,7 @@ CLASSIFIED = (
 named AS (SELECT *, string_split(path, '/') AS p, string_split(path, '/')[-1] AS name, regexp_extract(path, '[^/]\\.([^./]*)$', 1) AS ext,
   strlen(content) AS bytes FROM corpus),
 langs AS (SELECT *, p[1:len(p) - 1] AS dirs, coalesce({_case("name", t.LANGUAGE_BY_NAME)}, {_case("lower(ext)", t.LANGUAGE_BY_EXTENSION)}, 'Other') AS language,
-  bytes > {MAX_BYTES} AS is_oversize, false AS is_binary FROM named),
+  bytes > {SQL_MAX_BYTES} AS is_oversize, false AS is_binary FROM named),
 hits AS (SELECT *, list_min(list_filter({_DIRS}, lambda x: x IS NOT NULL)) AS hit,
   CASE WHEN language = 'TypeScript' AND ext = 'tsx' THEN 'TSX' WHEN language IN ({", ".join(repr(g) for g in t.GRAMMARS)}) THEN language END AS grammar,
   array_to_string(string_split(substring(content, 1, {t.HEADER_BYTES}), chr(10))[1:{t.HEADER_LINES}], chr(10)) AS head FROM langs),
@@ -257,13 +257,13 @@ def tile_features(spark, sf_dir):
 
 @query()
 def tile_counts(spark, sf_dir):
-    return pyramid.tiles(_placed(spark, sf_dir)).select("repo_id", "z", "tx", "ty", F.size("features").alias("features"))
+    return pyramid.tiles(_placed(spark, sf_dir, t.MAX_FILE_BYTES)).select("repo_id", "z", "tx", "ty", F.size("features").alias("features"))
 
 
 @query()
 def tile_layers(spark, sf_dir):
-    tiled = staged(pyramid.tiles(_placed(spark, sf_dir)))
-    return pyramid.layers(tiled, _nodes(spark, sf_dir)).select("layer", "repo_id", "z", "tx", "ty", F.size("values").alias("n"), F.array_max("values").alias("most"))
+    tiled = staged(pyramid.tiles(_placed(spark, sf_dir, t.MAX_FILE_BYTES)))
+    return pyramid.layers(tiled, _nodes(spark, sf_dir, t.MAX_FILE_BYTES)).select("layer", "repo_id", "z", "tx", "ty", F.size("values").alias("n"), F.array_max("values").alias("most"))
 
 
 @query(ZOOMS + " SELECT 'lines' AS layer, repo_id, z::int AS z, count(*) AS n FROM cut GROUP BY repo_id, z UNION ALL SELECT 'language', repo_id, z::int, count(*) FROM cut GROUP BY repo_id, z")
@@ -284,8 +284,8 @@ def manifest_summary(spark, sf_dir):
 @query()
 def viewport_tiles(spark, sf_dir):
     """Eight fixed boxes of the world as cameras of every repository."""
-    files = _indexed(spark, sf_dir)
-    keys = staged(pyramid.tile_keys(pyramid.tiles(_placed(spark, sf_dir))))
+    files = _indexed(spark, sf_dir, t.MAX_FILE_BYTES)
+    keys = staged(pyramid.tile_keys(pyramid.tiles(_placed(spark, sf_dir, t.MAX_FILE_BYTES))))
     box = lambda f: F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(0.0).alias("c"), d.alias("d")) for a, b, d in f])
     worlds = tree.world(files)
     cams = worlds.withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(8)])))
@@ -300,7 +300,7 @@ def viewport_tiles(spark, sf_dir):
 
 @query()
 def readable_roofs(spark, sf_dir):
-    return viewport.readable(viewport.roofs(_placed(spark, sf_dir)), px_per_world=40.0, aim_line=600).select("repo_id", "file_id", "tier", "first_line")
+    return viewport.readable(viewport.roofs(_placed(spark, sf_dir, t.MAX_FILE_BYTES)), px_per_world=40.0, aim_line=600).select("repo_id", "file_id", "tier", "first_line")
 
 
 _WANTED = """WITH wanted AS (SELECT doc_id AS qid, (doc_id % 6 + 2)::int AS z, (doc_id * 7919) % (1 << (doc_id % 6 + 2)::int) AS x, (doc_id * 104729) % (1 << (doc_id % 6 + 2)::int) AS y FROM documents),
@@ -393,23 +393,23 @@ def line_windows(spark, sf_dir):
 
 @query()
 def symbols_count(spark, sf_dir):
-    return extract.symbols(_files(spark, sf_dir)).groupBy("repo_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return extract.symbols(_files(spark, sf_dir, t.MAX_FILE_BYTES)).groupBy("repo_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def imports_count(spark, sf_dir):
-    return extract.imports(_files(spark, sf_dir)).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("module").alias("modules"))
+    return extract.imports(_files(spark, sf_dir, t.MAX_FILE_BYTES)).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("module").alias("modules"))
 
 
 @query()
 def token_histogram(spark, sf_dir):
-    return extract.one_per_start(extract.spans(_files(spark, sf_dir))).groupBy("repo_id", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("bytes"))
+    return extract.one_per_start(extract.spans(_files(spark, sf_dir, t.MAX_FILE_BYTES))).groupBy("repo_id", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("bytes"))
 
 
 @query()
 def index_summary(spark, sf_dir):
-    files = staged(_files(spark, sf_dir))
-    return profile.index_summary(files, extract.symbols(files), extract.imports(files), classify.excluded_paths(_classified(spark, sf_dir)))
+    files = staged(_files(spark, sf_dir, t.MAX_FILE_BYTES))
+    return profile.index_summary(files, extract.symbols(files), extract.imports(files), classify.excluded_paths(_classified(spark, sf_dir, t.MAX_FILE_BYTES)))
 
 
 # sources
@@ -537,5 +537,5 @@ def bundled_edges(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directory sums with each directory's dominant language."""
-    files = staged(_files(spark, sf_dir).select("repo_id", "path", "language", "lines", "bytes"))
+    files = staged(_files(spark, sf_dir, t.MAX_FILE_BYTES).select("repo_id", "path", "language", "lines", "bytes"))
     return tree.dir_rollup(files).join(tree.dominant_language(files), ["repo_id", "dir"])

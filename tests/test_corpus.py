@@ -75,6 +75,19 @@ def test_big_binary_and_broken_files(spark):
     assert (flags.files, flags.skipped_binary, flags.skipped_oversize) == (1, 1, 1)
 
 
+def test_queries_read_long_documents_whole(spark, tmp_path):
+    from cartolith.plans import queries as plans
+
+    # document 21 becomes a Python file without header or exclusion
+    text = "import os\n" + "def f():\n    return 1\n" * 1000
+    spark.createDataFrame([(21, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert 16_384 < len(text) < 2 * 1024 * 1024
+    assert [tuple(r) for r in plans.symbols_count(spark, str(tmp_path)).collect()] == [("s", "function", 1000)]
+    assert plans.imports_count(spark, str(tmp_path)).first().n == 1
+    assert plans.token_histogram(spark, str(tmp_path)).agg(F.sum("n")).first()[0] > 4000
+    assert plans.index_summary(spark, str(tmp_path)).first().parsed == 1
+
+
 def test_ignore_rules(spark):
     files = frame(spark, {".gitignore": "build/\n*.log\n!keep.log\n/top.txt\n", "src/main.rs": "a", "build/out.js": "a", "a.log": "a", "keep.log": "a", "x/top.txt": "a", "top.txt": "a", "sub/.gitignore": "*.tmp\n", "sub/a.tmp": "a", "b.tmp": "a"})
     kept = {r.path for r in classify.drop_ignored(files, classify.ignore_rules(files)).collect()}
