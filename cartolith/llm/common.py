@@ -36,6 +36,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The column that row_ids adds.
+ROW = "__row"
+
+
+def row_ids(docs: DataFrame) -> DataFrame:
+    """docs with ROW, which no two rows share and which orders rows by doc_id, null ids last.
+
+    It is the doc_id itself where all are there and differ. Else the rows are written once, in order, with numbers.
+    """
+    n, distinct = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if n == distinct:
+        return docs.withColumn(ROW, F.col("doc_id"))
+    # rows of one id are dealt over several tasks by their texts
+    return materialise(docs.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text")).withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the documents that no model learns from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

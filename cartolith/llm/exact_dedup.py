@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import table
+from cartolith.llm.common import ROW, row_ids, table
 
 #: A chunk ends after its 512th character at the first spot that its own last characters name, or after 4096.
 CHUNK = r"(?s).{512,4096}?(?:[aeiou][ndrst] |\z)|.{1,4096}"
@@ -51,9 +51,13 @@ def exact_groups(docs: DataFrame, fingerprint=F.xxhash64) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the copies: of equal texts the row with the smallest doc_id stays."""
-    keep = exact_groups(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    return docs.join(keep.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    """docs without the copies: of equal texts one row stays, with the smallest doc_id (null ids last).
+
+    Rows are told apart by more than their ids: a null id loses no row, and a repeated one keeps no copy.
+    """
+    rows = row_ids(docs)
+    keep = exact_groups(rows.select(F.col(ROW).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(ROW))
+    return rows.join(keep.hint("merge"), ROW, "left_semi").select(*docs.columns)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

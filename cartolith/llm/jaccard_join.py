@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartolith.llm.common import components, flat_lists, materialise, mix, shingle_sets, table
+from cartolith.llm.common import ROW, components, flat_lists, materialise, mix, row_ids, shingle_sets, table
 
 WIDTH = 5
 #: Groups of one prefix n-gram up to this size give all their pairs at once.
@@ -346,9 +346,13 @@ def similar_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document, the smallest doc_id, of each group of near copies."""
-    keep = similar_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    """docs with one row, that of the smallest doc_id (null ids last), of each group of near copies.
+
+    Rows are told apart by more than their ids: a null id loses no row, and a repeated one keeps no copy.
+    """
+    rows = row_ids(docs)
+    keep = similar_components(rows.select(F.col(ROW).alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias(ROW))
+    return rows.join(keep.hint("merge"), ROW, "left_semi").select(*docs.columns)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,6 +271,15 @@ def test_exact_groups(spark, weak):
     assert exact_dedup.exact_groups(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("stage", [exact_dedup.drop_copies, jaccard_join.drop_near_copies])
+def test_dedup_stages_tell_rows_apart(spark, stage):
+    one, two, three, four, five = (" ".join(f"{w}{k}" for k in range(12)) for w in "abcde")
+    rows = [(None, one), (None, two), (None, one), (7, three), (3, three), (7, four), (4, two), (9, five), (9, five), (-1, "eins"), (None, None)]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    got = sorted(((r.doc_id, r.text) for r in stage(d).collect()), key=str)
+    assert got == sorted([(None, one), (4, two), (3, three), (7, four), (9, five), (-1, "eins"), (None, None)], key=str)
+
+
 # 8: quality
 
 
