@@ -1,4 +1,4 @@
-"""Similarity join of documents on word n-grams: rare-first prefixes, then one verification a pair."""
+"""Similarity join of documents on word n-grams: rare-first prefixes, all their pairs, one verification a pair."""
 
 from __future__ import annotations
 
@@ -13,15 +13,19 @@ from pyspark.sql import types as T
 from cartolith.llm.common import ROW, components, flat_lists, materialise, mix, row_ids, shingle_sets, table
 
 WIDTH = 5
-#: Groups of one prefix n-gram up to this size give all their pairs at once.
-SMALL = 8
+#: The postings of a prefix n-gram are dealt into blocks of about so many, and each two blocks meet in a group.
+BLOCK = 2048
+#: Pairs that one group verifies, about.
+CELL_PAIRS = 1 << 16
+#: Sets of which one has more than 1.25 times the other's size never link, so bands of this ratio meet their neighbours only.
+BAND = 1.26
 SLICE = 1 << 12
 
 _L, _I = T.LongType(), T.IntegerType()
 _schema = lambda **kinds: T.StructType([T.StructField(k, v) for k, v in kinds.items()])
-DIGEST = _schema(doc_id=_L, n=_I, sk=_L, slice=_I, counts=T.BinaryType())
-POSTING = _schema(token=_L, sk=_L, n=_I, pos=_I)
-FOUND = _schema(kind=_I, x=_L, y=_L, n=_I, pos=_I)
+DIGEST = _schema(doc_id=_L, n=_I, sk=_L, least=_L, slice=_I, counts=T.BinaryType())
+POSTING = _schema(token=_L, sk=_L, n=_I, pos=_I, side=_I)
+PAIR = _schema(x=_L, y=_L)
 
 
 def least_overlap(na, nb):
@@ -47,25 +51,25 @@ def set_key(s: np.ndarray) -> int:
 
 
 def _digest(width: int, bits: int):
-    """Of each row its set's size and key; of each task the number of documents for each of 2^bits n-gram buckets."""
+    """Of each row its set's size, key and least n-gram; of each task the number of documents for each of 2^bits n-gram buckets."""
 
     def run(batches):
         counts = np.zeros(1 << bits, np.int64)
         shift = np.uint64(64 - bits)
         for batch in batches:
-            n, sk = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int64)
+            n, sk, least = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for r, s in shingle_sets(batch.column(1), width):
                 n[r] = len(s)
                 if len(s):
-                    sk[r] = set_key(s)
+                    sk[r], least[r] = set_key(s), s[:1].view(np.int64)[0]
                     np.add.at(counts, (s >> shift).astype(np.int64), 1)
             none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(sk), none.cast(pa.int32()), none.cast(pa.binary())], DIGEST.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(sk), pa.array(least), none.cast(pa.int32()), none.cast(pa.binary())], DIGEST.names)
         size = min(SLICE, len(counts))
         slices = [i for i in range(len(counts) // size) if counts[i * size : (i + 1) * size].any()]
         packed = [zlib.compress(counts[i * size : (i + 1) * size].tobytes(), 1) for i in slices]
         none = pa.nulls(len(slices))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(slices, pa.int32()), pa.array(packed, pa.binary())], DIGEST.names)
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(slices, pa.int32()), pa.array(packed, pa.binary())], DIGEST.names)
 
     return run
 
@@ -93,7 +97,12 @@ def rarity(digest: DataFrame, bits: int) -> np.ndarray:
 
 
 def _postings(width: int, bits: int, ranks):
-    """The prefix n-grams of each distinct set of a task, in an order from rare to frequent that all documents share."""
+    """The prefix n-grams of each distinct set of a task, in an order from rare to frequent that all documents share.
+
+    The bucket of an n-gram tells about how many postings it may have. Those of a frequent one go, by their sets' sizes
+    and keys, to one group for each two blocks of each two neighbouring bands. side: bit 0 for the upper band of the
+    group, and 2 or 4 where two different blocks meet.
+    """
 
     def run(batches):
         seen: set[int] = set()
@@ -112,12 +121,29 @@ def _postings(width: int, bits: int, ranks):
             p = np.array([len(t) for t in tokens], np.int64)
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(p) - p, p)
-            columns = [pa.array(flat), pa.array(np.repeat(np.array(keys, np.int64), p)), pa.array(np.repeat(np.array(sizes, np.int32), p)), pa.array(pos.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, POSTING.names)
+            sk, n = np.repeat(np.array(keys, np.int64), p), np.repeat(np.array(sizes, np.int64), p)
+            blocks = np.ceil(2.0 ** ((flat.view(np.uint64) >> np.uint64(56)).astype(float) / 2) / BLOCK).astype(np.int64)
+            few = blocks <= 1
+            yield _posted(flat[few], sk[few], n[few], pos[few], np.ones(few.sum(), np.int32))
+            for b in np.unique(blocks[~few]):
+                i = np.flatnonzero(blocks == b)
+                band = np.floor(np.log(n[i]) / np.log(BAND)).astype(np.int64)
+                own = (mix(sk[i].view(np.uint64)) % np.uint64(b)).astype(np.int64)
+                for up in (0, 1):
+                    for other in range(b):
+                        lo, hi = np.minimum(own, other), np.maximum(own, other)
+                        with np.errstate(over="ignore"):
+                            spot = (((band + up) * b + lo) * b + hi).astype(np.uint64)
+                            group = mix(mix(flat[i].view(np.uint64)) + spot * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                        yield _posted(group, sk[i], n[i], pos[i], (1 - up) + np.where(lo == hi, 0, np.where(own == lo, 2, 4)))
 
     return run
 
 
+def _posted(token, sk, n, pos, side) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(sk), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(side.astype(np.int32))], POSTING.names)
+
+
 def _passes(n1, pos1, n2, pos2):
     """Length, prefix and position filters for a common n-gram of a set and one that is at least as large."""
     need = least_overlap(n1, n2)
@@ -130,11 +156,6 @@ def _gather(batches) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else []
 
 
-def _found(kind: int, x, y, n=None, pos=None) -> pa.RecordBatch:
-    zero = np.zeros(len(x), np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(zero + kind, pa.int32()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(zero if n is None else n, pa.int32()), pa.array(zero if pos is None else pos, pa.int32())], FOUND.names)
-
-
 def _distinct_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x, y = np.minimum(x, y), np.maximum(x, y)
     order = np.lexsort((y, x))
@@ -144,72 +165,58 @@ def _distinct_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return x[new], y[new]
 
 
-def _first_pairs(batches):
-    """Kind 0: all pairs of small groups, and of large ones each member with the one where the n-gram comes first.
-
-    Kind 1: the postings of large groups, for the pairs that are still open once those links are known.
-    """
+def _pairs(batches):
+    """All pairs of each group that pass the filters, without those that another group of the same n-gram makes."""
     columns = _gather(batches)
     if not columns:
         return
-    token, sk, n, pos = columns
+    token, sk, n, pos, side = columns
     order = np.lexsort((sk, n, token))
-    token, sk, n, pos = token[order], sk[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+    token, sk, n, pos, side = token[order], sk[order], n[order].astype(np.int64), pos[order].astype(np.int64), side[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (sk[1:] != sk[:-1])
-    token, sk, n, pos = token[new], sk[new], n[new], pos[new]
+    token, sk, n, pos, top, half = token[new], sk[new], n[new], pos[new], side[new] & 1, side[new] >> 1
+
+    def met(i, j):
+        return _passes(n[i], pos[i], n[j], pos[j]) & ((top[i] | top[j]) == 1) & ((half[i] == 0) | (half[i] != half[j]))
+
     begins = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-    sizes = np.diff(np.append(begins, len(token)))
-    small = np.repeat(sizes <= SMALL, sizes)
-    xs, ys = [], []
-    for d in range(1, SMALL):
+    ends = np.append(begins[1:], len(token))
+    xs, ys, held = [], [], 0
+
+    def flushed():
+        x, y = _distinct_pairs(np.concatenate(xs), np.concatenate(ys))
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], PAIR.names)
+
+    # the rows of small groups are compared by their distance, those of large ones one by one
+    small = np.repeat(ends - begins <= 64, ends - begins)
+    for d in range(1, 64):
         i = np.flatnonzero((token[d:] == token[:-d]) & small[d:])
-        i = i[_passes(n[i], pos[i], n[i + d], pos[i + d])]
+        if not len(i):
+            break
+        i = i[met(i, i + d)]
         xs.append(sk[i])
         ys.append(sk[i + d])
-    large = np.flatnonzero(~small)
-    if len(large):
-        # the text that others were changed from has the fewest rare n-grams, so the common ones come first in it; groups
-        # of different n-grams with much the same members choose the same hub
-        by_pos = np.lexsort((sk, pos, token))
-        hub = np.repeat(by_pos[begins], sizes)[large]
-        small_one, large_one = np.where(n[large] <= n[hub], large, hub), np.where(n[large] <= n[hub], hub, large)
-        near = _passes(n[small_one], pos[small_one], n[large_one], pos[large_one]) & (large != hub)
-        xs.append(sk[large[near]])
-        ys.append(sk[hub[near]])
-    yield _found(0, *_distinct_pairs(np.concatenate(xs), np.concatenate(ys)))
-    yield _found(1, token[large], sk[large], n[large], pos[large])
-
-
-def _open_pairs(batches):
-    """All pairs of a group that pass the filters and whose sets aren't known to be connected."""
-    columns = _gather(batches)
-    if not columns:
-        return
-    token, sk, n, pos, root = columns
-    order = np.lexsort((sk, n, token))
-    token, sk, n, pos, root = token[order], sk[order], n[order].astype(np.int64), pos[order].astype(np.int64), root[order]
-    ends = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token))
-    xs, ys, held, begin = [], [], 0, 0
-    for end in ends:
-        for i in range(begin, end - 1):
+        if (held := held + len(i)) > 1 << 20:
+            yield flushed()
+            xs, ys, held = [], [], 0
+    for begin, end in zip(begins, ends, strict=True):
+        for i in range(begin, end - 1) if end - begin > 64 else ():
             if pos[i] < index_prefix(n[i]):
-                stop = begin + int(np.searchsorted(n[begin:end], 5 * n[i] // 4, "right"))
-                j = np.arange(i + 1, stop)
-                j = j[(root[j] != root[i]) & _passes(n[i], pos[i], n[j], pos[j])]
+                j = np.arange(i + 1, begin + int(np.searchsorted(n[begin:end], 5 * n[i] // 4, "right")))
+                j = j[met(np.full(len(j), i), j)]
                 xs.append(np.full(len(j), sk[i]))
                 ys.append(sk[j])
                 held += len(j)
-        begin = end
-        if held > 1 << 20:
-            x, y = _distinct_pairs(np.concatenate(xs), np.concatenate(ys))
-            xs, ys, held = [x], [y], len(x) // 2
+            if held > 1 << 20:
+                yield flushed()
+                xs, ys, held = [], [], 0
     if xs:
-        yield _found(0, *_distinct_pairs(np.concatenate(xs), np.concatenate(ys)))
+        yield flushed()
 
 
 def _sets(width: int, wanted):
-    """(doc_id, set) for the rows whose id is in the bitmap; a few others may come too."""
+    """(doc_id, set key, set) for the rows whose id is in the bitmap; a few others may come too."""
 
     def run(batches):
         bits = wanted.value
@@ -218,9 +225,11 @@ def _sets(width: int, wanted):
             at = (mix(ids.astype(np.uint64)) % np.uint64(len(bits) * 8)).astype(np.int64)
             keep = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             if len(keep):
-                sets = [s.view(np.int64) for _, s in shingle_sets(batch.column(1).take(pa.array(keep)), width)]
+                sets = [s for _, s in shingle_sets(batch.column(1).take(pa.array(keep)), width)]
+                keys = np.array([set_key(s) if len(s) else 0 for s in sets], np.int64)
+                sets = [s.view(np.int64) for s in sets]
                 for a in range(0, len(keep), 256):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[keep[a : a + 256]]), flat_lists(sets[a : a + 256], pa.int64())], ["doc_id", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[keep[a : a + 256]]), pa.array(keys[a : a + 256]), flat_lists(sets[a : a + 256], pa.int64())], ["doc_id", "sk", "grams"])
 
     return run
 
@@ -262,19 +271,22 @@ def overlap(a: np.ndarray, b: np.ndarray, need: int) -> bool:
 
 
 def _verify(batches):
-    """Rows come sorted by hub, the hub's own set first; each other set is compared with it as it streams by."""
-    hub, mine, xs, ys = None, None, [], []
+    """Rows come sorted by group, the group's sets before the pairs of them."""
+    group, sets, xs, ys = None, {}, [], []
     for batch in batches:
-        hubs, sks, own = (np.asarray(batch.column(i)) for i in range(3))
-        grams = batch.column(3)
+        groups, kinds, x, y = (np.asarray(batch.column(i)) for i in range(4))
+        grams = batch.column(4)
         at, flat = np.asarray(grams.offsets), np.asarray(grams.values)
         for r in range(batch.num_rows):
-            s = np.sort(flat[at[r] : at[r + 1]])
-            if own[r] == 0:
-                hub, mine = hubs[r], s
-            elif hub == hubs[r] and overlap(mine, s, least_overlap(len(mine), len(s))):
-                xs.append(hub)
-                ys.append(sks[r])
+            if group != groups[r]:
+                group, sets = groups[r], {}
+            if kinds[r] == 0:
+                sets[x[r]] = np.sort(flat[at[r] : at[r + 1]])
+            else:
+                a, b = sets[x[r]], sets[y[r]]
+                if overlap(a, b, least_overlap(len(a), len(b))):
+                    xs.append(x[r])
+                    ys.append(y[r])
         if len(xs) > 4096:
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["a", "b"])
             xs, ys = [], []
@@ -282,67 +294,67 @@ def _verify(batches):
 
 
 def _links(docs: DataFrame, pairs: DataFrame, first: DataFrame, width: int, bits: int, parts: int) -> DataFrame:
-    """Those pairs(x, y) of set keys that link, with every set made once and sent to the tasks of its pairs."""
+    """Those distinct pairs(x, y) of set keys that link.
+
+    Pairs go by the least n-grams of their sets, which near copies mostly share, into groups of about CELL_PAIRS; a
+    set is sent once to each group that has a pair of it.
+    """
     spark = docs.sparkSession
-    members = pairs.select(F.col("x").alias("hub"), F.col("y").alias("sk"))
-    # a hub of many pairs is dealt over several tasks, each with the hub's set
-    salts = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / 512).cast("int").alias("salts"))
-    own = salts.select("hub", F.col("hub").alias("sk"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("own"))
-    dealt = members.join(salts.hint("shuffle_hash"), "hub").select("hub", "sk", F.pmod(F.xxhash64("sk"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("own"))
-    asked = materialise(own.unionByName(dealt).join(first.hint("merge"), "sk"))
+    least = first.select("sk", "least")
+    named = pairs.join(least.toDF("x", "lx").hint("merge"), "x").join(least.toDF("y", "ly").hint("merge"), "y")
+    named = materialise(named.select("x", "y", F.xxhash64(F.least("lx", "ly"), F.greatest("lx", "ly")).alias("cell")))
+    sides = named.groupBy("cell").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / CELL_PAIRS)).cast("int").alias("sides"))
+    salted = lambda c: F.pmod(F.xxhash64(c), F.col("sides"))
+    grouped = materialise(named.join(sides.hint("merge"), "cell").select(F.xxhash64("cell", salted("x"), salted("y")).alias("group"), "x", "y"))
+    members = grouped.select("group", F.explode(F.array("x", "y")).alias("sk")).distinct()
+    asked = materialise(members.join(first.select("sk", "doc_id").hint("merge"), "sk"))
     ids = asked.select("doc_id").mapInArrow(_bitmap(bits), _schema(slice=_I, counts=T.BinaryType())).repartition("slice")
     wanted = np.zeros(1 << (bits - 3), np.uint8)
     for i, x in ids.mapInArrow(_or_slices, _schema(slice=_I, counts=T.BinaryType())).collect():
         wanted[i : i + SLICE] |= np.frombuffer(x, np.uint8)
-    grams = docs.select("doc_id", "text").mapInArrow(_sets(width, spark.sparkContext.broadcast(wanted)), _schema(doc_id=_L, grams=T.ArrayType(_L)))
-    sent = asked.join(grams.hint("merge"), "doc_id").select("hub", "sk", "own", "grams", "salt")
-    dealt_out = sent.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "own").select("hub", "sk", "own", "grams")
-    return materialise(dealt_out.mapInArrow(_verify, _schema(a=_L, b=_L)))
+    grams = docs.select("doc_id", "text").mapInArrow(_sets(width, spark.sparkContext.broadcast(wanted)), _schema(doc_id=_L, sk=_L, grams=T.ArrayType(_L)))
+    sent = asked.join(grams.hint("merge"), ["doc_id", "sk"]).select("group", F.lit(0).alias("kind"), F.col("sk").alias("x"), F.col("sk").alias("y"), "grams")
+    rows = sent.unionByName(grouped.select("group", F.lit(1).alias("kind"), "x", "y", F.array().cast("array<long>").alias("grams")))
+    dealt = rows.repartition(parts, "group").sortWithinPartitions("group", "kind")
+    return materialise(dealt.mapInArrow(_verify, _schema(a=_L, b=_L)))
 
 
 def similar_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id.
+    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, n_links.
 
     Sets of `width`-word shingles link at a Jaccard similarity of 0.8 or more. Equal sets are one vertex. Every
     document emits its prefix of rarest shingles; the order comes from counts over all documents, in hash buckets.
-    Pairs that meet in a prefix and pass the length, position and suffix filters are verified on the whole sets.
-    Groups of a frequent prefix shingle are first linked through one member each; then only pairs of sets that aren't
-    connected yet are made, so near copies of one text don't give all their pairs, and no possible link is left out.
+    All pairs that meet in a prefix and pass the length, position and suffix filters are verified on the whole sets,
+    each once. n_links counts the other rows that a row is linked to, those with an equal set among them.
 
-    Null, empty or blank texts: 0 shingles, a component of their own. Fewer than `width` words: one shingle. Repeated
-    doc_ids count as one document in component_id, null ids as -1. Extra columns are not read. An empty table gives none.
+    Null, empty or blank texts: 0 shingles, no links, a component of their own. Fewer than `width` words: one shingle.
+    Repeated doc_ids count as one document in component_id, null ids as -1. Extra columns are not read. An empty table
+    gives none.
     """
     spark = docs.sparkSession
     docs = docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = docs.select("doc_id").count()
     bits = int(min(20, max(12, np.ceil(np.log2(max(rows, 1))))))
     digest = materialise(docs.mapInArrow(_digest(width, bits), DIGEST))
-    sets = digest.where("slice is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sk")
+    sets = digest.where("slice is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sk", "least")
     total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     ranks = spark.sparkContext.broadcast(rarity(digest, bits))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(least, int(total // 5_000_000))
-    first = sets.where("n_shingles > 0").groupBy("sk").agg(F.min("doc_id").alias("doc_id"))
-    id_bits = bits + 4
+    first = sets.where("n_shingles > 0").groupBy("sk").agg(F.min("doc_id").alias("doc_id"), F.min("least").alias("least"), F.count(F.lit(1)).alias("copies"))
 
     postings = docs.select("text").mapInArrow(_postings(width, bits, ranks), POSTING)
-    found = materialise(postings.repartition(parts, "token").mapInArrow(_first_pairs, FOUND))
-    pairs = found.where("kind = 0").select("x", "y").distinct()
-    links = _links(docs, pairs, first, width, id_bits, parts)
-    late = found.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("sk"), "n", "pos")
-    if not late.isEmpty():
-        known = components(links)
-        rooted = late.join(known.withColumnRenamed("node", "sk").hint("merge"), "sk", "left").select("token", "sk", "n", "pos", F.coalesce("root", "sk").alias("root"))
-        mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-        still = rooted.join(mixed.hint("merge"), "token", "left_semi").select("token", "sk", "n", "pos", "root")
-        more = materialise(still.repartition(parts, "token").mapInArrow(_open_pairs, FOUND).select("x", "y").distinct())
-        if not more.isEmpty():
-            links = links.unionByName(_links(docs, more, first, width, id_bits, parts))
+    pairs = materialise(postings.repartition(parts, "token").mapInArrow(_pairs, PAIR).distinct())
+    links = _links(docs, pairs, first, width, bits + 4, parts)
+    ends = links.select(F.col("a").alias("sk"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("sk"), F.col("a").alias("other")))
+    weighed = ends.join(first.select(F.col("sk").alias("other"), "copies").hint("merge"), "other").groupBy("sk").agg(F.sum("copies").alias("linked"))
+    counted = first.join(weighed.hint("merge"), "sk", "left").select("sk", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     roots = components(links)
     named = sets.join(roots.withColumnRenamed("node", "sk").hint("merge"), "sk", "left")
-    named = named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "sk")).alias("root"))
+    named = named.join(counted.hint("merge"), "sk", "left")
+    named = named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_shingles") > 0, F.coalesce("root", "sk")).alias("root"))
     smallest = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(smallest.hint("merge"), "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return named.join(smallest.hint("merge"), "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "n_links")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

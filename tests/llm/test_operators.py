@@ -99,6 +99,27 @@ def test_jaccard_join_against_brute_force(spark):
     assert kept.columns == docs(spark, ["a"]).columns and kept.count() == len(set(brute_components(sets)))
 
 
+@pytest.mark.parametrize("block", [2048, 2])  # 2: the postings of most shingles are dealt into blocks
+def test_jaccard_links_are_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "CELL_PAIRS", 4 * block)
+    rng = np.random.default_rng(8)
+    word = lambda: "w" + str(rng.integers(0, 4000))
+    texts = ["", None, "a b"]
+    for n in (15, 60, 120):
+        base = [word() for _ in range(n)]
+        for _ in range(25):  # one component of more than 8 different sets, with copies
+            t = list(base)
+            for _ in range(int(rng.integers(0, max(2, n // 18)))):
+                t[int(rng.integers(len(t)))] = word()
+            texts += [" ".join(t)] * int(rng.integers(1, 3))
+    sets = brute_sets(texts)
+    links = [sum(i != j and bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = {r.doc_id: r for r in jaccard_join.similar_components(docs(spark, texts)).collect()}
+    assert max(links) > 20 and [got[i].n_links for i in range(len(texts))] == links
+    assert [got[i].component_id for i in range(len(texts))] == brute_components(sets)
+
+
 def test_jaccard_limits():
     for na in range(1, 60):
         for nb in range(na, 60):
