@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -22,10 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which every executor sees; tests, where it is unset, get one under /tmp."""
+    """A new folder under spark.checkpoint.dir, which every executor sees.
+
+    Where that is unset a local session gets a folder of its own; on a cluster, where each executor would write to a
+    disk of its own, that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"/tmp/checkpoints/{os.getpid()}"
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints/{os.getpid()}"
     return f"{root}/cartolith-{uuid.uuid4().hex}"
 
 
@@ -170,14 +177,15 @@ def flat_lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 def ranked(df: DataFrame, groups: list[str], key: str, ties: list[str], bucket: Column, name: str) -> DataFrame:
     """df with `name`: the row's rank from 0 within its group in the order of (key, ties).
 
-    `bucket` is a monotone, deterministic function of key with enough values that one bucket of a group fits a task.
-    Bucket counts give each bucket its offset, so even a group with all rows is ranked by many tasks.
+    `bucket` is a monotone, deterministic function of key with enough values that one bucket of a group fits a task,
+    and few enough (65,536) that a group's bucket counts fit one as well. They give each bucket its offset, so even a
+    group with all rows is ranked by many tasks.
     """
     b, off = f"__b_{name}", f"__o_{name}"
     df = df.withColumn(b, bucket)
     counts = df.groupBy(*groups, b).agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(*groups).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
-    if not groups:  # the bucket counts are a small, bounded table
+    if not groups:
         before = W.partitionBy(F.lit(0)).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*groups, b, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(off))
     # null-safe keys: a null group is a group too

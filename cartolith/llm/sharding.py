@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from cartolith.llm.common import ranked, table
 
-#: Rows that one rank bucket holds, about.
+#: Rows that one rank bucket holds, about; in large tables there are at most 16^MOST_DIGITS buckets, and they hold more.
 BUCKET_ROWS = 20_000
+MOST_DIGITS = 4
 
 
 def shuffled(doc_id: Column, seed: int) -> Column:
@@ -20,14 +21,15 @@ def shuffled(doc_id: Column, seed: int) -> Column:
 
 def hash_bucket(key: Column, rows: int) -> Column:
     """The first hexadecimal digits of a hash: as many as give buckets of about BUCKET_ROWS rows."""
-    digits = max(0, math.ceil(math.log(max(rows, 1) / BUCKET_ROWS, 16)))
+    digits = min(MOST_DIGITS, max(0, math.ceil(math.log(max(rows, 1) / BUCKET_ROWS, 16))))
     return F.substring(key, 1, digits)
 
 
 def source_ranks(rows: DataFrame, total: int, seed: int) -> DataFrame:
     """rows(doc_id, source, ...) with `rank`, from 0 within each source in seeded order."""
+    ties = [c for c in rows.columns if c != "source"]  # rows that tie in all columns are the same
     rows = rows.withColumn("__h", shuffled(F.col("doc_id"), seed))
-    return ranked(rows, ["source"], "__h", ["doc_id"], hash_bucket(F.col("__h"), total), "rank").drop("__h")
+    return ranked(rows, ["source"], "__h", ties, hash_bucket(F.col("__h"), total), "rank").drop("__h")
 
 
 def shard(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
@@ -44,7 +46,7 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
     total = docs.select("doc_id").count()
     placed = source_ranks(rows, total, seed).alias("l").join(sizes.alias("r").hint("shuffle_hash"), F.col("l.source").eqNullSafe(F.col("r.source")))
     placed = placed.select("l.*", ((F.col("rank") + 0.5) / F.col("__of")).alias("__at"))
-    buckets = max(1, math.ceil(total / BUCKET_ROWS))
+    buckets = min(16**MOST_DIGITS, max(1, math.ceil(total / BUCKET_ROWS)))
     ordered = ranked(placed, [], "__at", ["source", "rank"], F.floor(F.col("__at") * buckets), "__g")
     ordered = ordered.withColumn("shard", F.expr(f"cast((__g * {shards}) div {max(total, 1)} as int)"))
     begin = F.expr(f"(shard * cast({max(total, 1)} as bigint) + {shards - 1}) div {shards}")

@@ -25,8 +25,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of a schedule that holds each source to its share of what is left, file by file."""
-    return source_mix.in_mixed_order(docs)
+    """All documents in the order of a schedule, file by file. Target weights: square roots of the sources' counts."""
+    return source_mix.in_mixed_order(docs, power=0.5)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -245,17 +245,45 @@ def test_secret_scan(spark, sample):
 # 6: mixing
 
 
-def test_pfair_pattern():
-    weights = source_mix.shares({"a": 5.0, "b": 3.0, "c": 1.0, None: 0.01})
-    assert sum(weights.values()) == source_mix.QUANTUM and min(weights.values()) >= 1
-    done = Counter()
-    for s, k, slot in source_mix.pattern(weights):
-        assert source_mix.release(k, weights[s]) <= slot < source_mix.deadline(k, weights[s])
-        done[s] += 1
-        assert all(abs(done[x] - (slot + 1) * w / source_mix.QUANTUM) < 1 for x, w in weights.items())
+def slot_by_slot(weights, blocks):
+    """Earliest deadline first without a heap: every slot looks at the next block of every source."""
+    total, done, out, slot = sum(weights.values()), dict.fromkeys(weights, 0), [], 0
+    while len(out) < sum(blocks.values()):
+        free = [(-(-(done[s] + 1) * total // a), str(s), s) for s, a in weights.items() if done[s] < blocks[s] and done[s] * total // a <= slot]
+        if free:
+            due, _, s = min(free, key=lambda x: x[:2])
+            out.append((s, done[s], slot, done[s] * total // weights[s], due))
+            done[s] += 1
+        slot += 1
+    return out
+
+
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(1, 30)), min_size=1, max_size=8))
+@settings(max_examples=60, deadline=None)
+def test_schedule_against_slot_by_slot(sources):
+    weights, blocks = {f"s{i}": a for i, (a, _) in enumerate(sources)}, {f"s{i}": n for i, (_, n) in enumerate(sources)}
+    assert source_mix.schedule(weights, blocks) == slot_by_slot(weights, blocks)
+
+
+def test_schedule_never_drifts():
+    assert source_mix.exact_weights({"a": 0.5, None: 0.25, "b": 3}) == {"a": 2, None: 1, "b": 12}
+    for weights, n in (({"a": 5.0, "b": 3.0, "c": 1.1, None: 0.01}, 200_000), (dict.fromkeys("abc", 1 / 3), 3_000_000)):
+        whole = source_mix.exact_weights(weights)
+        total, done = sum(whole.values()), dict.fromkeys(whole, 0)
+        for s, k, slot, released, due in itertools.islice(source_mix.schedule(whole, {s: n * a // total + 1 for s, a in whole.items()}), n):
+            assert released <= slot < due and k == done[s]
+            done[s] += 1
+            assert abs(done[s] * total - (slot + 1) * whole[s]) < total
+        assert all(abs(done[s] * total - n * a) < total for s, a in whole.items())
+    with pytest.raises(ValueError):
+        source_mix.exact_weights({"a": 1.0, "b": 0.0})
 
 
 def test_mix_sources(spark):
+    repeated = docs(spark, ["t"] * 100).withColumn("doc_id", F.when(F.col("doc_id") > 9, F.col("doc_id") % 7))
+    again = source_mix.mix_sources(repeated, block_rows=8).toPandas()
+    assert sorted(again.position) == list(range(100)) and again.doc_id.isna().sum() == 10
+    assert source_mix.in_mixed_order(repeated, rows_per_file=32).count() == 100
     n = 2000
     d = docs(spark, ["t"] * n, source=["hot"] * 1500 + [None] * 100 + ["b"] * 390 + ["c"] * 10)
     got = source_mix.mix_sources(d, power=0.5, block_rows=8).toPandas().sort_values("position")
@@ -355,16 +383,25 @@ def test_sharding_against_sql(spark):
 @given(st.lists(st.integers(1, 64), max_size=200), st.integers(1, 6))
 @settings(max_examples=100, deadline=None)
 def test_best_fit(lengths, open_bins):
-    bins, offsets = packing.best_fit(lengths, 64, open_bins)
-    fill = defaultdict(list)
-    for n, b, o in zip(lengths, bins, offsets):
-        fill[b].append((o, n))
-    for items in fill.values():
-        at = 0
-        for o, n in sorted(items):
-            assert o == at
-            at += n
-        assert at <= 64
+    """Against a packer that looks at every open bin."""
+    open_, fill, want, tick = [], [], [], itertools.count()
+    for n in lengths:
+        fits = [b for b in open_ if 64 - fill[b[0]] >= n]
+        if fits:
+            chosen = max(fits, key=lambda b: (fill[b[0]], b[1]))
+        else:
+            if len(open_) == open_bins:
+                open_.remove(max(open_, key=lambda b: (fill[b[0]], b[1])))
+            chosen = [len(fill), 0]
+            fill.append(0)
+            open_.append(chosen)
+        want.append((chosen[0], fill[chosen[0]]))
+        fill[chosen[0]] += n
+        chosen[1] = next(tick)
+        if fill[chosen[0]] == 64:
+            open_.remove(chosen)
+    assert list(zip(*packing.best_fit(lengths, 64, open_bins), strict=True)) == want if lengths else packing.best_fit([], 64, open_bins) == ([], [])
+    assert all(f <= 64 for f in fill)
 
 
 def test_packing(spark, sample):
@@ -386,6 +423,11 @@ def test_packing(spark, sample):
     by = got.sort_values(["sequence_id", "offset"])
     assert (by.groupby("sequence_id").length.cumsum() - by.length == by.offset).all() and by.groupby("sequence_id").length.sum().max() <= 4096
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 4096) * 1.02 + 1
+    # two packers whose runs are named alike in part, repeated rows and null ids
+    twice = docs(spark, ["a b c"] * 40).select(F.when(F.col("doc_id") > 3, F.col("doc_id") % 5).alias("doc_id"), "text", (F.col("doc_id") % 2).alias("run"))
+    parts = packing.pack_sequences(twice, js, 16, F.concat(F.lit("r"), "run"), F.lit(0)).toPandas()
+    assert len(parts) == 40 and parts.doc_id.isna().sum() == 4 and parts.groupby("sequence_id").length.sum().max() <= 16
+    assert (parts.sort_values(["sequence_id", "offset"]).groupby("sequence_id").length.cumsum() <= 16).all()
     assert packing.pack_sequences(d.limit(0), js).count() == 0
 
 
