@@ -303,6 +303,13 @@ def test_mix_sources(spark):
 # 7: exact dedup
 
 
+@pytest.mark.parametrize("text", ["".join(chr(x) for x in np.random.default_rng(6).integers(lo, hi, 20_000)) for lo, hi in ((0x4E00, 0x9000), (0x410, 0x450), (0x30, 0x3A))])
+def test_chunks_follow_the_content(spark, text):
+    """A change at the front leaves the chunks behind it as they are, in any script."""
+    a, b = (r[0] for r in spark.createDataFrame([(0, text), (1, "neu " + text)], "i int, t string").orderBy("i").select(exact_dedup.chunks(F.col("t"))).collect())
+    assert "".join(a) == text.encode().hex().upper() and len(set(a) & set(b)) > 0.8 * len(a)
+
+
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_groups(spark, weak):
     texts = edge_texts() + ["long " * 3000 + "end", "long " * 3000 + "end", "long \n" * 3000 + "end", "long " * 3000 + "End"]
@@ -317,6 +324,9 @@ def test_exact_groups(spark, weak):
 
     assert [(r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got] == [(g[0], len(g), i == g[0], hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(norm) for g in [groups[t]]]
     assert exact_dedup.drop_copies(d).count() == len(groups)
+    rows = [(1, "same"), (1, "same"), (None, "same"), (None, "none"), (None, "none"), (2, "x")]
+    odd = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), fingerprint).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in odd) == sorted([("1", "1", 3, True), ("1", "1", 3, False), ("None", "1", 3, False), ("None", "None", 2, True), ("None", "None", 2, False), ("2", "2", 1, True)])
     assert exact_dedup.exact_groups(d.limit(0)).count() == 0
 
 
