@@ -103,6 +103,7 @@ def test_jaccard_join_against_brute_force(spark):
 def test_jaccard_links_are_counted(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "CELL_PAIRS", 4 * block)
+    monkeypatch.setattr(jaccard_join, "COUNT_BLOCK", block)
     rng = np.random.default_rng(8)
     word = lambda: "w" + str(rng.integers(0, 4000))
     texts = ["", None, "a b"]
@@ -118,6 +119,26 @@ def test_jaccard_links_are_counted(spark, monkeypatch, block):
     got = {r.doc_id: r for r in jaccard_join.similar_components(docs(spark, texts)).collect()}
     assert max(links) > 20 and [got[i].n_links for i in range(len(texts))] == links
     assert [got[i].component_id for i in range(len(texts))] == brute_components(sets)
+    # names of a few bits: different sets share them, and all is the same
+    weak = {r.doc_id: r for r in jaccard_join.similar_components(docs(spark, texts), key_bits=4).collect()}
+    assert weak == got
+
+
+def test_jaccard_null_and_repeated_ids(spark):
+    one, two = (" ".join(f"{w}{k}" for k in range(40)) for w in "ab")
+    rows = [(None, one), (5, one + " x"), (-1, two), (None, two), (3, "c d"), (3, "e f"), (3, "c d"), (None, None), (None, None), (8, "")]
+    got = jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, 36, 5, 1), (5, 37, 5, 1), (-1, 36, -1, 1), (None, 36, -1, 1), (3, 1, 3, 1), (3, 1, 3, 0), (3, 1, 3, 1), (None, 0, None, 0), (None, 0, None, 0), (8, 0, 8, 0)]
+    assert sorted(map(str, got)) == sorted(f"Row(doc_id={w[0]}, n_shingles={w[1]}, component_id={w[2]}, n_links={w[3]})" for w in want)
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        a, b = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (60, 90))
+        b[:40] = a[:40]
+        bits = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(jaccard_join.parities(a), jaccard_join.parities(b)))
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
 def test_jaccard_limits():
