@@ -34,7 +34,8 @@ def exact_groups(docs: DataFrame, fingerprint=F.xxhash64) -> DataFrame:
     """
     rows = docs.select("doc_id", normalised(F.col("text")).alias("__t"))
     parts = rows.select(F.explode(chunks(F.col("__t"))).alias("chunk"))
-    distinct = parts.groupBy(fingerprint(F.col("chunk")).alias("fp"), "chunk").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.select(fingerprint(F.col("chunk")).alias("fp"), F.unhex("chunk").alias("chunk"))
+    distinct = parts.groupBy("fp", "chunk").agg(F.count(F.lit(1)).alias("n"))
     clashing = materialise(distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"))
     clash = not clashing.isEmpty()
     cut = chunks(F.col("__t"))
