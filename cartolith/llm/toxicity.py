@@ -1,4 +1,4 @@
-"""Toxic documents by a gap-weighted subsequence kernel on words, with Nystroem landmarks and a linear SVM."""
+"""Toxic documents by a gap-weighted subsequence kernel on the words of sentences, Nystroem landmarks and a linear SVM."""
 
 from __future__ import annotations
 
@@ -14,15 +14,19 @@ from cartolith.llm.common import held_out, materialise, pieces, shingle_sets, ta
 
 #: At most so many labelled documents are learned from: those with the smallest hashes.
 LEARN_TOXIC, LEARN_CLEAN = 3000, 6000
-LANDMARKS, PLAIN_LANDMARKS, PLAIN_WORDS = 256, 128, 6000
+#: Landmarks: words, and pairs of words that toxic sentences have beyond chance, and plain words that look like them.
+LANDMARKS, PAIR_LANDMARKS, PLAIN_LANDMARKS = 256, 64, 128
+#: Sentences of a labelled document that are learned from at most, the letters of a word that may become a landmark.
+SENTENCES, WORD_LETTERS = 8, 64
 #: Words that a task remembers at most.
 CACHE_WORDS = 600_000
 DECAY, GAPS = 0.6, (1, 2, 3)
-#: The kernel's power, and the similarity to some toxic landmark below which a word counts as unlike all of them.
+#: The word kernel is this power of the similarity, and none below a similarity of NEAR.
 POWER, NEAR = 4, 0.45
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _OTHER = re.compile(r"[^\w]|[\d_]")
 _SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
+_SENTENCE = re.compile(r"[.!?\n\u3002\uff01\uff1f]+(?=\s|$)")
 
 
 def plain(word: str) -> str:
@@ -42,6 +46,16 @@ def words(text: str) -> set[str]:
     return out
 
 
+def sentences(text: str) -> list[list[str]]:
+    """The plain words of each sentence of a text, and what a sentence's runs of single characters spell, behind them."""
+    out = []
+    for part in _SENTENCE.split(text.lower()):
+        spelt = [m.group().replace(" ", "") for m in _SPACED.finditer(part)]
+        if own := [p for w in [*part.split(), *spelt] if len(p := plain(w)) >= 3]:
+            out.append(own)
+    return out
+
+
 def subsequences(items: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(item, feature, weight) of all three-letter subsequences with gaps of at most two: weight DECAY^span.
 
@@ -71,7 +85,7 @@ def exact_norms(items: list[str]) -> np.ndarray:
 
 
 class Kernel:
-    """A power of the normalised subsequence kernel with fixed landmarks, as a table from features to landmarks."""
+    """The word kernel with fixed landmarks, as a table from subsequences to landmarks."""
 
     def __init__(self, landmarks: list[str]):
         at, keys, w = subsequences(landmarks)
@@ -79,6 +93,9 @@ class Kernel:
         self.table = np.zeros((len(self.keys), len(landmarks)))
         np.add.at(self.table, (back, at), w)
         self.table /= np.maximum(exact_norms(landmarks), 1e-12)
+        self.bound = self.table.max(1)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.keys % 1_048_573] = True
 
     def __call__(self, items: list[str]) -> np.ndarray:
         out = np.zeros((len(items), self.table.shape[1]))
@@ -92,10 +109,26 @@ class Kernel:
                 begins = np.flatnonzero(np.concatenate(([True], at[hit][1:] != at[hit][:-1])))
                 out[s + at[hit][begins]] = np.add.reduceat(self.table[i[hit]] * w[hit, None], begins)
             out[s : s + 512] /= np.maximum(exact_norms(part), 1e-12)[:, None]
-        return out**POWER
+        return np.where(out >= NEAR, out, 0.0) ** POWER
+
+    def near(self, items: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """The landmarks that each item is similar to, and how much; items without any are left out.
+
+        An item's similarity to any landmark is at most the sum of its subsequences' largest weights over its least
+        possible norm, so items for which that is less than NEAR needn't be compared.
+        """
+        at, keys, w = subsequences(items)
+        hit = np.flatnonzero(self.maybe[keys % 1_048_573])
+        i = np.minimum(np.searchsorted(self.keys, keys[hit]), len(self.keys) - 1)
+        ok = self.keys[i] == keys[hit]
+        top = np.bincount(at[hit[ok]], self.bound[i[ok]] * w[hit[ok]], len(items))
+        low = np.sqrt(np.bincount(at, w * w, len(items)))
+        close = [items[k] for k in np.flatnonzero(top >= NEAR * np.maximum(low, 1e-12) * (1 - 1e-9))]
+        values = self(close)
+        return {close[r]: (c, values[r, c]) for r in np.flatnonzero(values.any(1)) for c in [np.flatnonzero(values[r])]}
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 600, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 600, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """A linear SVM with squared hinge loss."""
     w, b, m, v = np.zeros(x.shape[1] + 1), 0.0, 0.0, 0.0
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
@@ -110,158 +143,230 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 600,
 
 
 class Scorer:
-    """Decision values of words. Only words that may be near a toxic landmark need the kernel; all others get the bias."""
+    """Decision values of sentences. The sentence kernel sums the word kernel over the words of both sentences.
 
-    def __init__(self, kernel: Kernel, landmark_weights: np.ndarray, bias: float, toxic: int):
-        self.kernel, self.weights, self.bias = kernel, landmark_weights, bias
-        self.bound = kernel.table[:, :toxic].max(1)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[kernel.keys[self.bound > 0] % 1_048_573] = True
-        self.slope, self.shift = 2.0, 0.0
+    A landmark is a sentence of one word, or of two: then the kernel is the product of the words' over the neighbouring
+    words, with at most one word between. `first` and `second` are the word landmarks of each pair.
+    """
+
+    def __init__(self, words: list[str], pairs: list[tuple[str, str]]):
+        self.names = sorted(set(words) | {w for p in pairs for w in p})
+        at = {w: k for k, w in enumerate(self.names)}
+        self.kernel = Kernel(self.names or ["aaa"])
+        self.single = np.array([at[w] for w in words], np.int64)
+        self.first, self.second = (np.array([at[p[k]] for p in pairs], np.int64) for k in (0, 1))
+        self.size = len(words) + len(pairs)
+        self.weights, self.bias, self.slope, self.shift = np.zeros(self.size), -1.0, 0.0, 0.0
         self.clear()
 
     def clear(self) -> None:
         """Forget the words met; a Python worker keeps them between its tasks."""
         self.met: set[str] = set()
-        self.hot: dict[str, float] = {}
-
-    def words(self, items: list[str]) -> np.ndarray:
-        at, keys, w = subsequences(items)
-        hit = np.flatnonzero(self.maybe[keys % 1_048_573])
-        i = np.minimum(np.searchsorted(self.kernel.keys, keys[hit]), len(self.kernel.keys) - 1)
-        ok = self.kernel.keys[i] == keys[hit]
-        hit, i = hit[ok], i[ok]
-        top = np.bincount(at[hit], self.bound[i] * w[hit], len(items))
-        low = np.sqrt(np.bincount(at, w * w, len(items)))  # at most the norm, so top / low bounds the similarity
-        out = np.full(len(items), self.bias)
-        near = np.flatnonzero(top >= NEAR * np.maximum(low, 1e-12))
-        if len(near):
-            out[near] += self.kernel([items[k] for k in near]) @ self.weights
-        return out
-
-    def texts(self, column: pa.Array) -> np.ndarray:
-        """The largest decision value among each text's words."""
+        self.hot: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # plain words near a landmark
+        self.marked: set[str] = set()  # words as written whose plain form is hot
+
+    def look_up(self, plains: set[str]) -> None:
+        self.hot |= self.kernel.near(sorted(plains))
+
+    def values(self, sentence: list[str]) -> np.ndarray | None:
+        """The sentence kernel with each landmark; None if no word is near one."""
+        where = [k for k, w in enumerate(sentence) if w in self.hot]
+        if not where:
+            return None
+        rows = np.zeros((len(where), len(self.names)))
+        for r, k in enumerate(where):
+            rows[r, self.hot[sentence[k]][0]] = self.hot[sentence[k]][1]
+        both = np.zeros(len(self.first))
+        for r, k in enumerate(where):
+            for q in range(r + 1, len(where)):
+                if where[q] - k > 2:
+                    break
+                both += rows[r, self.first] * rows[q, self.second]
+        return np.concatenate([rows.sum(0)[self.single], both])
+
+    def documents(self, column: pa.Array):
+        """(row, sentence values) of all sentences with a word near a landmark."""
         data, offsets = text_buffers(column)
-        out = np.full(len(offsets) - 1, self.bias)
-        for i, j in pieces(offsets):
-            sets = [words(data[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "replace")) for r in range(i, j)]
+        for i, j in pieces(offsets) if self.size else ():
+            texts = [data[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "replace") for r in range(i, j)]
+            own = [words(t) for t in texts]
             if len(self.met) > CACHE_WORDS:
                 self.clear()
-            new = set().union(*sets) - self.met
+            new = set().union(*own) - self.met
             self.met |= new
-            fresh = [(w, p) for w in new if len(p := plain(w)) >= 3]
+            fresh = {w: p for w in new if len(p := plain(w)) >= 3}
             if fresh:
-                value = self.words([p for _, p in fresh])
-                self.hot |= {fresh[k][0]: float(value[k]) for k in np.flatnonzero(value > self.bias + 1e-12)}
-            hot_words = set(self.hot)
-            for r, own in enumerate(sets, i):
-                if both := own & hot_words:
-                    out[r] = max(self.bias, max(self.hot[w] for w in both))
+                self.look_up(set(fresh.values()) - self.hot.keys())
+                self.marked |= {w for w, p in fresh.items() if p in self.hot}
+            for r, (mine, text) in enumerate(zip(own, texts, strict=True), i):
+                if not mine.isdisjoint(self.marked):
+                    for sentence in sentences(text):
+                        if (v := self.values(sentence)) is not None:
+                            yield r, v
+
+    def texts(self, column: pa.Array) -> np.ndarray:
+        """The largest decision value among each text's sentences; that of a sentence without any landmark is the bias."""
+        out = np.full(len(column), self.bias)
+        for r, v in self.documents(column):
+            out[r] = max(out[r], self.bias + v @ self.weights)
         return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (self.texts(column) - self.shift), -30, 30)))
 
 
+_ROWS = "doc_id long, toxic int, text string, m0 long, m1 long, m2 long, words array<string>, pairs array<string>"
+
+
 def _rows(batches):
-    """Per document min-hashes, which near copies share, and its distinct plain words."""
+    """Per document min-hashes, which near copies share, its distinct plain words and its sentences' pairs of neighbours."""
     for b in batches:
         marks: list[list[int]] = [[] for _ in range(b.num_rows)]
-        for r, s in shingle_sets(b.column(1), 3):
+        for r, s in shingle_sets(b.column(2), 3):
             marks[r] = [int((s * np.uint64(2 * k + 1) * np.uint64(0x9E3779B97F4A7C15)).min() >> np.uint64(1)) if len(s) else -1 - r for k in range(3)]
-        data, offsets = text_buffers(b.column(1))
-        own = [sorted({p for w in words(data[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "replace")) if 3 <= len(p := plain(w)) <= 40}) for r in range(b.num_rows)]
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), *[pa.array([m[k] for m in marks], pa.int64()) for k in range(3)], pa.array(own, pa.list_(pa.string()))], ["toxic", "m0", "m1", "m2", "words"])
+        own, two = [], []
+        for text in b.column(2).to_pylist():
+            parts = [[w for w in part if len(w) <= WORD_LETTERS] for part in sentences(text or "")]
+            own.append(sorted({w for part in parts for w in part}))
+            two.append(sorted({f"{x} {y}" for part in parts for x, y in zip(part, part[1:], strict=False)}))
+        kinds = pa.list_(pa.string())
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int32()), b.column(2), *[pa.array([m[k] for m in marks], pa.int64()) for k in range(3)], pa.array(own, kinds), pa.array(two, kinds)], ["doc_id", "toxic", "text", "m0", "m1", "m2", "words", "pairs"])
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
-    """Words that toxic documents have beyond chance are the toxic examples and landmarks, words of clean ones the others.
+def _beyond_chance(made: DataFrame, column: str, share: float, most: int) -> list[str]:
+    """The items that toxic documents have beyond chance, the most frequent first.
 
-    The labels are of documents; a document's label stands for the words that it has and others haven't.
+    df documents of which a share is toxic hold `bad` toxic ones or more with a probability of at most
+    exp(-df * KL(bad / df, share)), whatever df is; times the number of items as frequent, it has to be below 0.05.
     """
+    counts = materialise(made.select("toxic", F.explode(column).alias("item")).groupBy("item").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("df")))
+    many = {r[0]: r[1] for r in counts.groupBy(F.least("df", F.lit(100)).alias("df")).count().collect()}
+    rate = F.col("bad") / F.col("df")
+    rest = F.when(rate < 1, (1 - rate) * F.log((1 - rate) / F.lit(1 - share))).otherwise(F.lit(0.0))
+    tail = F.col("df") * (rate * F.log(rate / F.lit(share)) + rest)
+    found = counts.where((F.col("bad") >= 2) & (rate > max(share, 0.8))).withColumn("tail", tail).orderBy(F.desc("tail"), "item").limit(20_000).collect()
+    as_frequent = {d: sum(c for k, c in many.items() if k >= d) for d in range(1, 101)}
+    kept = [r for r in found if math.exp(-r["tail"]) * as_frequent[min(r["df"], 100)] < 0.05]
+    return [r["item"] for r in sorted(kept, key=lambda r: (-r["bad"], r["item"]))[:most]]
+
+
+def _with_gap(word: str) -> list[str]:
+    return [word[:k] + "x" + word[k:] for k in (1, len(word) // 2)]
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
+    """A multiple-instance SVM on sentences: of a toxic document the sentence that looks most toxic is its example, of a
+    clean one all of its sentences are. Landmarks are the words and pairs that toxic documents have beyond chance, and
+    the plain words most like them."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(LEARN_TOXIC).unionByName(known.where("toxic = 0").orderBy(*order).limit(LEARN_CLEAN))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    made = materialise(rows.mapInArrow(_rows, "toxic int, m0 long, m1 long, m2 long, words array<string>"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.col("text").cast("string"))
+    made = materialise(rows.mapInArrow(_rows, _ROWS))
     for k in range(3):  # one of each group of near copies
-        made = made.dropDuplicates([f"m{k}"])
+        made = made.groupBy(f"m{k}").agg(F.min(F.struct("doc_id", *[c for c in made.columns if c not in ("doc_id", f"m{k}")])).alias("r")).select(f"m{k}", "r.*")
     made = materialise(made)
     n = {r[0]: r[1] for r in made.groupBy("toxic").count().collect()}
-    empty = Scorer(Kernel(["aaa"]), np.zeros(1), -1.0, 1)
     if not n.get(1) or not n.get(0):
-        empty.slope, empty.shift = 0.0, 0.0
-        return empty
-    counts = materialise(made.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("df")))
+        return Scorer([], [])
     share = n[1] / (n[0] + n[1])
-    many = {r[0]: r[1] for r in counts.groupBy(F.least("df", F.lit(100)).alias("df")).count().collect()}
-    most = sorted(counts.where("bad >= 2 and bad > 4 * (df - bad)").orderBy(F.desc("bad"), "word").limit(20_000).collect(), key=lambda r: (-r["bad"], r["word"]))
-
-    def by_chance(bad: int, df: int) -> float:
-        """How many words of this frequency would be so toxic by chance."""
-        tail = sum(math.comb(df, k) * share**k * (1 - share) ** (df - k) for k in range(bad, df + 1)) if df < 400 else 0.0
-        return tail * sum(c for d, c in many.items() if d >= min(df, 100))
-
-    toxic = [r for r in most if by_chance(r["bad"], r["df"]) < 0.05][:LANDMARKS]
-    if not toxic:
-        return empty
-    plain_words = counts.where("bad < 0.5 * df")
-    clean = [(r["word"], r["df"]) for r in plain_words.orderBy(F.xxhash64("word"), "word").limit(PLAIN_WORDS).collect()]
-    # words with inserted characters are toxic as well
-    examples = [(r["word"], float(r["bad"])) for r in toxic] + [(r["word"][:i] + "x" + r["word"][i:], r["bad"] / 8) for r in toxic for i in (1, len(r["word"]) // 2)]
-    hard: list[tuple[str, int]] = []
-    insults = [r["word"] for r in toxic] + [r["word"][: len(r["word"]) // 2] + "x" + r["word"][len(r["word"]) // 2 :] for r in toxic[:64]]
-    for _ in range(2):  # the second time with the clean words that look most toxic
-        landmarks = insults + [w for w, _ in (hard or clean)[:PLAIN_LANDMARKS]]
-        kernel = Kernel(landmarks)
-        values, vectors = np.linalg.eigh(kernel(landmarks) + 1e-3 * np.eye(len(landmarks)))
-        root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-        x = np.concatenate([kernel([w for w, _ in examples]), kernel([w for w, _ in clean + hard])]) @ root
-        y = np.concatenate([np.ones(len(examples)), -np.ones(len(clean) + len(hard))])
-        weights = [np.sqrt([float(n) for _, n in z]) for z in (examples, clean, hard)]
-        w, bias = fit_svm(x, y, np.concatenate([z / max(z.sum(), 1e-9) for z in weights]))
-        scorer = Scorer(kernel, root @ w, bias, len(insults))
-        if not hard:
-            hard = _most_toxic(plain_words, scorer)
-    got = made.select("toxic", F.array_join("words", " ").alias("text"))
+    insults = _beyond_chance(made, "words", share, LANDMARKS)
+    taken = set(insults)
+    pairs = [p for x in _beyond_chance(made, "pairs", share, 4 * PAIR_LANDMARKS) if taken.isdisjoint(p := tuple(x.split(" ")))][:PAIR_LANDMARKS]
+    if not insults and not pairs:
+        return Scorer([], [])
+    scorer = Scorer(insults + [_with_gap(w)[1] for w in insults[:64]], pairs)
+    plain_words = _most_alike(made.where("toxic = 0"), scorer)
+    scorer = Scorer(insults + [_with_gap(w)[1] for w in insults[:64]] + plain_words, pairs)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def values_of(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.texts(b.column(1)))], ["y", "v"])
+            best: dict[int, list[np.ndarray]] = {}
+            for r, v in shared.value.documents(b.column(2)):
+                best.setdefault(r, []).append(v)
+            rows = [(r, v) for r, own in best.items() for v in sorted(own, key=lambda v: -v.sum())[:SENTENCES]]
+            ids, toxic = b.column(0).to_pylist(), b.column(1).to_pylist()
+            at = [np.flatnonzero(v) for _, v in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r, _ in rows], pa.int64()), pa.array([toxic[r] for r, _ in rows], pa.int32()), pa.array([a.tolist() for a in at], pa.list_(pa.int32())), pa.array([v[a].tolist() for a, (_, v) in zip(at, rows, strict=True)], pa.list_(pa.float64()))], ["doc_id", "toxic", "at", "v"])
+
+    # at most SENTENCES rows for each of the labelled documents
+    got = made.select("doc_id", "toxic", "text").mapInArrow(values_of, "doc_id long, toxic int, at array<int>, v array<double>").toArrow().to_pandas()
+    got = got.sort_values(["doc_id"], kind="stable").reset_index(drop=True)
+    x = np.zeros((len(got), scorer.size))
+    for r, (at, v) in enumerate(zip(got["at"], got["v"], strict=True)):
+        x[r, np.asarray(at, np.int64)] = v
+    _fit(scorer, x, got["toxic"].to_numpy(), got["doc_id"].to_numpy(), insults, n)
+    return scorer
 
-    fitted = got.mapInArrow(values_of, "y int, v double").toArrow().to_pandas()
-    v, y = fitted["v"].to_numpy(), fitted["y"].to_numpy()
-    # the cut with the fewest errors, in the middle of its gap; a score of 0.7 lies on it
+
+def _fit(scorer: Scorer, x: np.ndarray, toxic: np.ndarray, doc: np.ndarray, insults: list[str], n: dict[int, int]) -> None:
+    """Weights, bias and calibration from the sentences' kernel values; n: labelled documents of each kind."""
+    words = scorer.kernel(scorer.names)
+    gram = np.zeros((scorer.size, scorer.size))
+    k = len(scorer.single)
+    gram[:k, :k] = words[np.ix_(scorer.single, scorer.single)]
+    gram[k:, k:] = words[np.ix_(scorer.first, scorer.first)] * words[np.ix_(scorer.second, scorer.second)]
+    values, vectors = np.linalg.eigh(gram + 1e-3 * np.eye(scorer.size))
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
+    # sentences of one insult with an inserted character, and a sentence without any landmark
+    gaps = [g for w in insults for g in _with_gap(w)]
+    made = np.concatenate([scorer.kernel(gaps)[:, scorer.single], np.zeros((len(gaps), scorer.size - k))], 1) if gaps else np.zeros((0, scorer.size))
+    clean, bags = x[toxic == 0], x[toxic == 1]
+    owner = doc[toxic == 1]
+    begins = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
+    ends = np.append(begins[1:], len(owner))
+    score = bags.sum(1)
+    for _ in range(4):  # the sentence that a toxic document stands for is the most toxic one so far
+        best = np.array([b + int(score[b:e].argmax()) for b, e in zip(begins, ends, strict=True)], np.int64)
+        positive = np.concatenate([bags[best], made])
+        data = np.concatenate([positive, clean, np.zeros((1, scorer.size))]) @ root
+        y = np.concatenate([np.ones(len(positive)), -np.ones(len(clean) + 1)])
+        weight = np.concatenate([np.ones(len(best)) / max(len(best), 1), np.full(len(made), 0.25 / max(len(made), 1)), np.full(len(clean), 0.5 / max(len(clean), 1)), [0.75]])
+        w, scorer.bias = fit_svm(data, y, weight)
+        scorer.weights = root @ w
+        score = bags @ scorer.weights
+    v = np.full(n[0] + n[1], scorer.bias)
+    y = np.concatenate([np.ones(n[1]), np.zeros(n[0])])
+    for kind, first in ((1, 0), (0, n[1])):  # each document's most toxic sentence
+        mine, value = doc[toxic == kind], scorer.bias + x[toxic == kind] @ scorer.weights
+        _, at = np.unique(mine, return_inverse=True)
+        np.maximum.at(v, first + at, value)
+    # the cut with the fewest errors, clean documents weighing more, in the middle of its gap; a score of 0.7 lies on it
     cuts = np.quantile(v, np.linspace(0, 1, 2001))
-    errors = np.array([(v[y == 1] < c).mean() + 2 * (v[y == 0] >= c).mean() for c in cuts])
+    errors = np.array([(v[y == 1] < c).mean() + 4 * (v[y == 0] >= c).mean() for c in cuts])
     best = np.flatnonzero(errors <= errors.min() + 1e-12)
     cut = (cuts[best[0]] + cuts[best[-1]]) / 2
+    if best[0] and cuts[best[0]] > cuts[best[0] - 1]:
+        cut = (cut + cuts[best[0] - 1]) / 2
     scorer.slope = 6.0 / max(v[y == 1].std() + v[y == 0].std(), 0.2)
     scorer.shift = float(cut - math.log(0.7 / 0.3) / scorer.slope)
-    return scorer
 
 
-def _most_toxic(words: DataFrame, scorer: Scorer) -> list[tuple[str, int]]:
-    """Those of words(word, df) that the model takes for toxic, the worst PLAIN_WORDS / 10 of them."""
-    shared = words.sparkSession.sparkContext.broadcast(scorer)
+def _most_alike(clean: DataFrame, scorer: Scorer) -> list[str]:
+    """Words of clean documents that are most like the insults, frequent ones before rare ones."""
+    shared = clean.sparkSession.sparkContext.broadcast(scorer.kernel)
+    counts = clean.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
     def values(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared.value.words(b.column(0).to_pylist()))], ["word", "df", "v"])
+            near = shared.value.near(b.column(0).to_pylist())
+            rows = [(w, d, float(near[w][1].max())) for w, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if w in near]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["word", "df", "v"])
 
-    scored = words.select("word", "df").mapInArrow(values, "word string, df long, v double").where(F.col("v") > scorer.bias + 0.3)
-    worst = scored.orderBy(F.desc(F.col("v") + 0.2 * F.log(F.col("df"))), "word").limit(PLAIN_WORDS // 10)
-    return [(r["word"], r["df"]) for r in worst.collect()]
+    scored = counts.mapInArrow(values, "word string, df long, v double")
+    known = set(scorer.names)
+    worst = scored.orderBy(F.desc(F.col("v") * F.log1p("df")), "word").limit(PLAIN_LANDMARKS + len(known))
+    return [r["word"] for r in worst.collect() if r["word"] not in known][:PLAIN_LANDMARKS]
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score (0 to 1), predicted (1 from 0.7 on).
 
-    A document is as toxic as the word in it that is most like the insults learned, with gaps, inserted characters,
-    digits for letters and letters set apart. Whole texts are scored; null counts as empty and gets the lowest score.
-    Labels other than 0 and 1 are ignored; a doc_id with both counts as 1; without labels of both kinds each score is
-    0.5. Repeated rows stay; extra columns are not read; an empty table gives an empty result.
+    A document is as toxic as the sentence in it that is most like the toxic sentences learned, with gaps, inserted
+    characters, digits for letters and letters set apart. Whole texts are scored; null counts as empty and gets the
+    lowest score. Labels other than 0 and 1 are ignored; a doc_id with both counts as 1; without labels of both kinds
+    each score is 0.5. Repeated rows stay; extra columns are not read; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
