@@ -50,6 +50,21 @@ def index_prefix(n):
     return n - -(-8 * n // 9) + 1
 
 
+_M = (1 << 64) - 1
+
+
+def _mixed(x: int) -> int:
+    """The finaliser of splitmix64 for one number."""
+    x &= _M
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _M
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _M
+    return x ^ x >> 31
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 class Keys:
     """Names sets of n-grams, so that equal sets are one vertex of the join.
 
@@ -60,24 +75,21 @@ class Keys:
     def __init__(self, clash: frozenset[int] = frozenset(), bits: int = 64):
         self.clash, self.bits = clash, bits
 
-    def both(self, s: np.ndarray) -> tuple[int, int]:
-        """The 64 bits, and the name to take where they clash."""
-        with np.errstate(over="ignore"):
-            size = np.uint64(len(s)) * np.uint64(0xD6E8FEB86659FD93)
-            k = mix(np.array([s.sum(dtype=np.uint64) + size, np.bitwise_xor.reduce(s * np.uint64(0xFF51AFD7ED558CCD)), mix(s).sum(dtype=np.uint64)], np.uint64))
-            first, second = mix(k[:1] ^ (k[1:2] * np.uint64(5)))[0], k[2]
-            both = mix(np.array([first ^ (second * np.uint64(9))], np.uint64))[0]
-        return int((first >> np.uint64(64 - self.bits)).astype(np.int64)), int(both.astype(np.int64))
+    def both(self, s: np.ndarray, mixed: np.ndarray) -> tuple[int, int]:
+        """The 64 bits, and the name to take where they clash; mixed: mix(s)."""
+        first = _mixed(int(s.sum(dtype=np.uint64)) + len(s) * 0xD6E8FEB86659FD93 ^ int(np.bitwise_xor.reduce(mixed)))
+        second = int(mixed.sum(dtype=np.uint64))
+        return _signed(first >> (64 - self.bits)), _signed(_mixed(first ^ second * 9))
 
     def __call__(self, s: np.ndarray) -> int:
-        name, other = self.both(s)
+        name, other = self.both(s, mix(s))
         return other if name in self.clash else name
 
 
-def parities(s: np.ndarray) -> tuple[int, int]:
+def parities(mixed: np.ndarray) -> np.ndarray:
     """For 128 ranges of hashes whether a set has an odd number in each: sets differ in at least as many elements as bits."""
-    odd = np.bincount((mix(s) >> np.uint64(57)).astype(np.int64), minlength=128) & 1
-    return tuple(int(x) for x in np.packbits(odd.astype(np.uint8)).view(">i8"))
+    odd = np.bincount((mixed >> np.uint64(57)).astype(np.int64), minlength=128) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8")
 
 
 def _digest(width: int, bits: int, keys: Keys):
@@ -89,17 +101,23 @@ def _digest(width: int, bits: int, keys: Keys):
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int32)
             rest = np.zeros((5, batch.num_rows), np.int64)
+            held: list[np.ndarray] = []
             for r, s in shingle_sets(batch.column(1), width):
                 n[r] = len(s)
                 if len(s):
-                    rest[:, r] = *keys.both(s), s[:1].view(np.int64)[0], *parities(s)
-                    np.add.at(counts, (s >> shift).astype(np.int64), 1)
+                    mixed = mix(s)
+                    rest[:2, r], rest[2, r], rest[3:, r] = keys.both(s, mixed), s[:1].view(np.int64)[0], parities(mixed)
+                    held.append((s >> shift).astype(np.int32))
+                if held and (r + 1 == batch.num_rows or len(held) == 256):
+                    np.add.at(counts, np.concatenate(held), 1)
+                    held = []
             none = pa.nulls(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), *[pa.array(x) for x in rest], none.cast(pa.int32()), none.cast(pa.binary())], DIGEST.names)
         size = min(SLICE, len(counts))
         for i in np.flatnonzero(counts.reshape(-1, size).any(1)):
             none = pa.nulls(1).cast(pa.int64())
-            packed = zlib.compress(counts[i * size : (i + 1) * size].astype(np.int64).tobytes(), 1)
+            c = counts[i * size : (i + 1) * size]
+            packed = zlib.compress(c.astype(np.uint8 if c.max() < 256 else np.int32).tobytes(), 1)
             yield pa.RecordBatch.from_arrays([none, none, none.cast(pa.int32()), *[none] * 5, pa.array([i], pa.int32()), pa.array([packed], pa.binary())], DIGEST.names)
 
     return run
@@ -110,7 +128,8 @@ def _sum_slices(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            c = np.frombuffer(zlib.decompress(x), np.int64)
+            raw = zlib.decompress(x)
+            c = np.frombuffer(raw, np.uint8 if len(raw) <= SLICE else np.int32).astype(np.int64)
             total[i] = total[i] + c if i in total else c
     # half powers of two are enough for an order from rare to frequent
     rank = [np.round(2 * np.log2(c + 1.0)).astype(np.uint8).tobytes() for c in total.values()]

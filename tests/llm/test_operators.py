@@ -137,7 +137,7 @@ def test_parities_never_exceed_the_difference():
     for _ in range(50):
         a, b = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (60, 90))
         b[:40] = a[:40]
-        bits = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(jaccard_join.parities(a), jaccard_join.parities(b)))
+        bits = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(*(map(int, jaccard_join.parities(common.mix(x))) for x in (a, b))))
         assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
@@ -207,14 +207,51 @@ def test_language_id(spark, sample):
     assert language_id.identify(documents.limit(0)).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    g = language_id.grams("the quick brown fox jumps over the lazy dog and the other dog")
-    keys, n = np.unique(g, return_counts=True)
-    model = language_id.KneserNey({"en": (keys, n.astype(float))})
-    chars = np.unique(g & np.uint64(0xFFFF))
-    for ctx in np.unique(g >> np.uint64(16))[:10]:
-        total = model._p((np.uint64(ctx) << np.uint64(16)) | chars, 3).sum()
-        assert 0.9 < total <= 1.0001  # the rest belongs to characters never seen
+def plain_kneser_ney(texts):
+    """Interpolated Kneser-Ney by dictionaries: a function from a 4-gram of characters to its probability."""
+    tables = {4: Counter(g for t in texts for g in language_id.grams(t).tolist())}
+    for k in (3, 2, 1):
+        tables[k] = Counter(g & ((1 << (16 * k)) - 1) for g in tables[k + 1])
+    less = {k: language_id.discount(sum(n == 1 for n in t.values()), sum(n == 2 for n in t.values())) for k, t in tables.items()}
+
+    def p(gram, k=4):
+        if k == 0:
+            return 1 / (len(tables[1]) + 2)
+        own = {g: n for g, n in tables[k].items() if g >> 16 == gram >> 16}
+        total, lower = sum(own.values()), p(gram & ((1 << (16 * (k - 1))) - 1), k - 1)
+        return lower if not own else (max(own.get(gram, 0) - less[k], 0) + less[k] * len(own) * lower) / total if gram in own else less[k] * len(own) * lower / total
+
+    return p, tables, less
+
+
+def test_models_against_dictionaries(spark, monkeypatch):
+    texts = {"en": ["the quick brown fox jumps over the lazy dog", "the other dog and the other fox"], "de": ["der schnelle braune fuchs", "der hund und der andere fuchs"]}
+    frame = spark.createDataFrame([(w, t) for w, ts in texts.items() for t in ts], "lang string, text string")
+    model = language_id.train(frame)
+    assert model.langs == ["de", "en"]
+    for j, w in enumerate(model.langs):
+        p, tables, _ = plain_kneser_ney(texts[w])
+        asked = np.array([*tables[4], *language_id.grams("never seen the like"), *language_id.grams("zzz")], np.uint64)
+        assert np.allclose(model._p(asked, 3)[:, j], [p(int(g)) for g in asked], rtol=1e-5)
+    # pruning: the discounts stay those of the full counts, and what is dropped goes to the shorter grams
+    small = language_id.train(frame, most=40)
+    for j, w in enumerate(small.langs):
+        _, tables, less = plain_kneser_ney(texts[w])
+        assert (small.grams[3].lang == j).sum() <= 20
+        chars = np.array(sorted(tables[1]), np.uint64)
+        for ctx in list({g >> 16 for g in tables[4]})[:10]:
+            full = model._p((np.uint64(ctx) << np.uint64(16)) | chars, 3)[:, j].sum()
+            assert abs(full - small._p((np.uint64(ctx) << np.uint64(16)) | chars, 3)[:, j].sum()) < 0.1 and 0.9 < full <= 1.0001
+        top = max(tables[4], key=lambda g: (tables[4][g], g))
+        total = sum(n for g, n in tables[4].items() if g >> 16 == top >> 16)
+        assert small._p(np.array([top], np.uint64), 3)[0, j] >= (tables[4][top] - less[4]) / total - 1e-6
+
+
+def test_every_gram_often(spark):
+    """With all grams seen many times the models stay within their bound."""
+    rows = [("en", " ".join(f"{a}{b}" for a in "abcdefgh" for b in "mnopqrst"))] * 70
+    model = language_id.train(spark.createDataFrame(rows, "lang string, text string"), most=50)
+    assert all(len(g.value) <= 50 for g in model.grams) and model.langs == ["en"]
 
 
 # 4: toxicity
@@ -238,10 +275,48 @@ def test_toxicity(spark):
     assert toxicity.toxicity_scores(d.limit(0), known).count() == 0
 
 
+def test_toxic_pairs_of_plain_words(spark):
+    """An insult of two words, each of which clean documents have as well."""
+    rng = np.random.default_rng(9)
+    plain = ["haus", "baum", "licht", "wasser", "stein", "feuer", "hohle", "birne", "regen", "sonne", "wind", "feld"]
+
+    def text(toxic, gap=""):
+        w = [x for x in rng.choice(plain, 30)]
+        w = [x for k, x in enumerate(w) if not (x == "birne" and k and "hohle" in w[max(0, k - 2) : k])]
+        return " ".join([*w, "heute. du", "hohle", *([gap] if gap else []), "birne", "am abend."] if toxic else [*w, "heute. die birne am abend, der hohle baum."])
+
+    labels = [int(i % 3 == 0) for i in range(240)]
+    d = docs(spark, [text(t) + f" n{i}" for i, t in enumerate(labels)] + [text(1, "alte"), "die hohxle birne", "die birne hier", "hohle " + "wort " * 50_000, "x" * 300_000])
+    got = toxicity.toxicity_scores(d, spark.createDataFrame([(i, 1, t) for i, t in enumerate(labels)], LABELS)).orderBy("doc_id").toPandas()
+    held = got[:240][got.held_out[:240]]
+    assert (held.predicted == [labels[i] for i in held.doc_id]).mean() > 0.95
+    assert got.predicted[240] == 1 and got.score[241] > max(got.score[242:]) and got.predicted[243:].tolist() == [0, 0]
+
+
+def test_toxicity_on_held_out_documents(spark):
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    got = toxicity.toxicity_scores(documents, labels).join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").toPandas()
+    held = got[got.held_out]
+    assert len(held) > 60 and held[held.toxic == 0].predicted.mean() < 0.02 and held[held.toxic == 1].predicted.mean() > 0.5
+
+
 def test_kernel_tolerates_gaps():
     k = toxicity.Kernel(["blockhead"])
     same, gap, other = k(["blockhead", "blockxhead", "meadow"])[:, 0]
-    assert abs(same - 1) < 1e-9 and same > gap > 10 * other
+    assert abs(same - 1) < 1e-9 and same > gap > 0.1 and other == 0
+    assert set(k.near(["blockhead", "blockxhead", "meadow"])) == {"blockhead", "blockxhead"}
+
+
+def test_word_bound_keeps_all_similar_words():
+    rng = np.random.default_rng(2)
+    items = ["".join(rng.choice(list("abcde"), int(rng.integers(3, 12)))) for _ in range(400)]
+    k = toxicity.Kernel(items[:40])
+    exact = k(items)
+    near = k.near(items)
+    for w, row in zip(items, exact, strict=True):
+        assert (w in near) == bool(row.any())
+        if w in near:
+            assert near[w][0].tolist() == np.flatnonzero(row).tolist() and np.allclose(near[w][1], row[row > 0])
 
 
 # 5: secrets
