@@ -191,8 +191,8 @@ def line_array(text: Column) -> Column:
 
 
 def columns_of(line: Column, tab: int = 4, most: int = 120) -> Column:
-    """The width of a line with tab stops, at most `most`."""
-    chars = F.filter(F.split(line, ""), lambda c: c != "")
+    """The width of a line with tab stops, at most `most`. A character takes a column at least, so no more are looked at."""
+    chars = F.filter(F.split(F.substring(line, 1, most), ""), lambda c: c != "")
     width = F.aggregate(chars, F.lit(0), lambda col, ch: F.when(col >= most, col).when(ch == "\t", (F.floor(col / tab).cast("int") + 1) * tab).otherwise(col + 1))
     return F.least(width, F.lit(most))
 

@@ -37,15 +37,20 @@ def oldest_queued(rows: DataFrame) -> DataFrame:
     return rows.where("status = 'QUEUED'").orderBy("created_at", "job_id").limit(1)
 
 
+def newest_repos(repos: DataFrame) -> DataFrame:
+    """Repositories, newest first."""
+    return repos.orderBy(F.desc("created_at"), "repo_id")
+
+
 def with_latest(repos: DataFrame, rows: DataFrame) -> DataFrame:
     """repos with their newest job, null if none."""
     return repos.join(latest(rows, "repo_id"), "repo_id", "left")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old and those rows of new whose key isn't there yet, one a key; old rows stay as they are."""
-    added = new.join(old.select(key), key, "left_anti").dropDuplicates([key])
-    return old.unionByName(added)
+    """old and those rows of new whose key isn't there yet, of each key the least row; old rows stay as they are."""
+    added = new.join(old.select(key), key, "left_anti").groupBy(key).agg(F.min(F.struct(*[c for c in new.columns if c != key])).alias("r"))
+    return old.unionByName(added.select(key, "r.*"))
 
 
 def enqueue(requests: DataFrame, rows: DataFrame) -> DataFrame:

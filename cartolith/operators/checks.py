@@ -11,7 +11,7 @@ def not_once_at_max_zoom(tiled: DataFrame, files: DataFrame) -> DataFrame:
     """Files that aren't in exactly one tile of the largest zoom."""
     most = tiled.groupBy("repo_id").agg(F.max("z").alias("z"))
     seen = tiled.join(most, ["repo_id", "z"]).select("repo_id", F.explode("features").alias("f")).where("f.kind = 'file'").groupBy("repo_id", F.col("f.id").alias("file_id")).agg(F.count(F.lit(1)).alias("n"))
-    return files.select("repo_id", "file_id").join(seen, ["repo_id", "file_id"], "left").where(F.coalesce("n", F.lit(0)) != 1)
+    return files.select("repo_id", "file_id").join(seen.hint("merge"), ["repo_id", "file_id"], "left").where(F.coalesce("n", F.lit(0)) != 1)
 
 
 def area_error(placed: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def misaligned(tiled: DataFrame, layered: DataFrame) -> DataFrame:
 def bad_spans(spans: DataFrame, texts: DataFrame) -> DataFrame:
     """Spans that overlap the next one or end after the text."""
     after = F.lead("start").over(W.partitionBy("repo_id", "path").orderBy("start"))
-    rows = spans.withColumn("after", after).join(texts.select("repo_id", "path", F.octet_length("content").alias("size")), ["repo_id", "path"])
+    rows = spans.withColumn("after", after).join(texts.select("repo_id", "path", F.octet_length("content").alias("size")).hint("merge"), ["repo_id", "path"])
     return rows.where((F.col("after") < F.col("start") + F.col("len")) | (F.col("start") + F.col("len") > F.col("size")))
 
 
@@ -47,7 +47,10 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of one table that the other lacks, as often as they are missing."""
-    return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
+    both = a.withColumn("__n", F.lit(1)).unionByName(b.withColumn("__n", F.lit(-1)))
+    more = both.groupBy(*a.columns).agg(F.sum("__n").alias("__n")).where("__n <> 0")
+    side = F.when(F.col("__n") > 0, F.lit("a")).otherwise(F.lit("b"))
+    return more.select(*a.columns, side.alias("side"), F.explode(F.array_repeat(F.lit(0), F.abs("__n").cast("int"))).alias("__k")).drop("__k")
 
 
 def orphans(rows: DataFrame, parents: DataFrame, on: list[str]) -> DataFrame:

@@ -77,8 +77,12 @@ def drop_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     base first; a file below an ignored directory stays ignored whatever its own rules say."""
     p = c.parts(F.col("path"))
     levels = F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.struct(F.array_join(F.slice(p, F.lit(1), i), "/").alias("at"), (i < F.size(p)).alias("is_dir")))
-    asked = files.select("repo_id", "path", F.explode(levels).alias("l")).select("repo_id", "path", "l.at", "l.is_dir").distinct()
-    hit = asked.join(rules, "repo_id").where(F.startswith("at", F.col("base")) & (F.col("is_dir") | ~F.col("only_dirs"))).where(F.expr("rlike(substring(at, length(base) + 1), regex)"))
-    last = hit.groupBy("repo_id", "path", "at").agg(F.max_by("negated", F.struct(F.length("base"), "rule_no")).alias("negated"))
-    ignored = last.groupBy("repo_id", "path").agg(F.bool_or(~F.col("negated")).alias("ignored")).where("ignored").select("repo_id", "path")
-    return files.join(ignored, ["repo_id", "path"], "left_anti")
+    each = files.select("repo_id", "path", F.explode(levels).alias("l")).select("repo_id", "path", "l.at", "l.is_dir")
+    # a rule meets the paths below its own folder only, each once
+    q = c.parts(F.col("at"))
+    bases = F.transform(F.sequence(F.lit(0), F.size(q) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(q, F.lit(1), i), "/"), F.lit("/"))))
+    asked = each.select("repo_id", "at", "is_dir").distinct().select("repo_id", "at", "is_dir", F.explode(bases).alias("base"))
+    hit = asked.join(rules.hint("merge"), ["repo_id", "base"]).where((F.col("is_dir") | ~F.col("only_dirs")) & F.expr("rlike(substring(at, length(base) + 1), regex)"))
+    last = hit.groupBy("repo_id", "at", "is_dir").agg(F.max_by("negated", F.struct(F.length("base"), "rule_no")).alias("negated")).where("not negated")
+    ignored = each.join(last.select("repo_id", "at", "is_dir").hint("merge"), ["repo_id", "at", "is_dir"], "left_semi").select("repo_id", "path").distinct()
+    return files.join(ignored.hint("merge"), ["repo_id", "path"], "left_anti")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from cartolith.sources.storage import staged
+
 
 def churn(commits: DataFrame, since=None) -> DataFrame:
     """Per file its commits and changed lines. commits: repo_id, path, commit, author, at, added, deleted, message."""
@@ -29,8 +31,9 @@ def agent_share(commits: DataFrame) -> DataFrame:
 
 
 def custom_layer(values: DataFrame, files: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """values(path, value) of an upload that name known files; the row limit of uploads applies first."""
-    return files.join(values.limit(most).dropDuplicates(["path"]), "path").select("repo_id", "file_id", "path", "value")
+    """An upload's values(row, path, value) for known files: its first `most` rows, and of a path given twice the first."""
+    given = values.where(F.col("row") < most).groupBy("path").agg(F.min_by("value", "row").alias("value"))
+    return files.join(given.hint("merge"), "path").select("repo_id", "file_id", "path", "value")
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -45,11 +48,11 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     tidy = F.regexp_replace(F.regexp_replace("module", r"^(\./)+", ""), r"^(crate|self)::", "")
     slashed = F.regexp_replace(F.regexp_replace(tidy, "::", "/"), r"(?<=\w)\.(?=\w)", "/")
     tries = F.array_distinct(F.array(F.concat(here, tidy), tidy, slashed, F.concat(here, slashed)))
-    exact = imports.select("repo_id", F.col("path").alias("src"), "module", F.explode(tries).alias("key")).join(keys, ["repo_id", "key"]).select("repo_id", "src", "module", "dst", F.lit("exact").alias("confidence"))
+    exact = imports.select("repo_id", F.col("path").alias("src"), "module", F.explode(tries).alias("key")).join(keys.hint("merge"), ["repo_id", "key"]).select("repo_id", "src", "module", "dst", F.lit("exact").alias("confidence"))
     last = lambda c_: F.regexp_extract(c_, r"([^/]+)$", 1)
     tails = keys.select("repo_id", "dst", last(F.col("key")).alias("tail")).distinct()
-    unique = tails.groupBy("repo_id", "tail").agg(F.count(F.lit(1)).alias("n"), F.first("dst").alias("dst")).where("n = 1").drop("n")
-    guess = imports.select("repo_id", F.col("path").alias("src"), "module", last(slashed).alias("tail")).join(unique, ["repo_id", "tail"]).select("repo_id", "src", "module", "dst", F.lit("heuristic").alias("confidence"))
+    unique = tails.groupBy("repo_id", "tail").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("dst")).where("n = 1").drop("n")
+    guess = imports.select("repo_id", F.col("path").alias("src"), "module", last(slashed).alias("tail")).join(unique.hint("merge"), ["repo_id", "tail"]).select("repo_id", "src", "module", "dst", F.lit("heuristic").alias("confidence"))
     both = exact.unionByName(guess).where("src <> dst")
     best = F.row_number().over(W.partitionBy("repo_id", "src", "module").orderBy("confidence", "dst"))
     return both.withColumn("r", best).where("r = 1").select("repo_id", "src", "dst", "confidence").distinct()
@@ -59,34 +62,41 @@ def bundle_edges(edges: DataFrame, cut: DataFrame) -> DataFrame:
     """Edges between the nodes that are drawn at each zoom: edges(repo_id, src_path, dst_path) summed by the visible
     ancestors (or selves) of both ends. cut: visible nodes (repo_id, z, id, path)."""
     p = lambda name: F.transform(F.sequence(F.lit(1), F.size(F.split(name, "/"))), lambda i: F.array_join(F.slice(F.split(name, "/"), F.lit(1), i), "/"))
-    ends = edges.select("repo_id", "src_path", "dst_path").withColumn("e", F.xxhash64("repo_id", "src_path", "dst_path"))
-    shown = cut.select("repo_id", "z", "id", "path")
-    src = ends.select("e", "repo_id", F.explode(p("src_path")).alias("path")).join(shown, ["repo_id", "path"]).select("e", "z", "repo_id", F.col("id").alias("src_id"))
-    dst = ends.select("e", "repo_id", F.explode(p("dst_path")).alias("path")).join(shown, ["repo_id", "path"]).select("e", "z", F.col("id").alias("dst_id"))
-    return src.join(dst, ["e", "z"]).where("src_id <> dst_id").groupBy("repo_id", "z", "src_id", "dst_id").agg(F.count(F.lit(1)).alias("n"))
+    ends = ["repo_id", "src_path", "dst_path"]
+    counted = edges.groupBy(*ends).agg(F.count(F.lit(1)).alias("n"))
+    shown = cut.select("repo_id", "z", "id", "path").hint("merge")
+    src = counted.select("*", F.explode(p("src_path")).alias("path")).join(shown, ["repo_id", "path"]).select(*ends, "z", "n", F.col("id").alias("src_id"))
+    dst = counted.select(*ends, F.explode(p("dst_path")).alias("path")).join(shown, ["repo_id", "path"]).select(*ends, "z", F.col("id").alias("dst_id"))
+    both = src.join(dst.hint("merge"), [*ends, "z"]).where("src_id <> dst_id")
+    return both.groupBy("repo_id", "z", "src_id", "dst_id").agg(F.sum("n").alias("n"))
 
 
-def reachable(edges: DataFrame, entries: DataFrame, rounds: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """repo_id, path, hops of all files that the entry points reach: frontier joins until nothing is new."""
-    sc = edges.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/reachable")
-    seen = entries.select("repo_id", "path").distinct().withColumn("hops", F.lit(0)).checkpoint()
-    front = seen
-    for hop in range(1, rounds + 1):
-        nxt = front.join(edges.select("repo_id", F.col("src").alias("path"), "dst"), ["repo_id", "path"]).select("repo_id", F.col("dst").alias("path")).distinct()
-        front = nxt.join(seen, ["repo_id", "path"], "left_anti").withColumn("hops", F.lit(hop)).checkpoint()
+    steps = edges.select("repo_id", F.col("src").alias("path"), "dst").distinct()
+    seen = front = staged(entries.select("repo_id", "path").distinct().withColumn("hops", F.lit(0)))
+    hop = 0
+    while True:
+        hop += 1
+        nxt = front.join(steps.hint("merge"), ["repo_id", "path"]).select("repo_id", F.col("dst").alias("path")).distinct()
+        front = staged(nxt.join(seen.hint("merge"), ["repo_id", "path"], "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
-    return seen
+
+
+def version_key(version):
+    """A version as an array in whose order versions stand: numbers by value, and words (rc, alpha) before the release."""
+    part = lambda x: F.struct(F.when(x.rlike("^[0-9]+$"), F.try_to_number(x, F.lit("999999999999")).cast("long")).otherwise(F.lit(-2).cast("long")).alias("n"), F.when(x.rlike("^[0-9]+$"), F.lit("")).otherwise(x).alias("s"))
+    pieces = F.filter(F.split(F.regexp_replace(F.lower(version), r"(?<=[0-9])(?=[a-z])|(?<=[a-z])(?=[0-9])", "."), r"[.\-_]"), lambda x: x != "")
+    return F.concat(F.transform(pieces, part), F.array(F.struct(F.lit(-1).cast("long").alias("n"), F.lit("").alias("s"))))
 
 
 def vulnerable(packages: DataFrame, advisories: DataFrame, imports: DataFrame) -> DataFrame:
     """Files that import a package with a version inside an advisory's range [introduced, fixed)."""
-    key = lambda c_: F.transform(F.split(c_, r"\."), lambda x: F.coalesce(F.try_to_number(x, F.lit("999999999")).cast("long"), F.lit(0).cast("long")))
-    hit = packages.join(advisories, "package").where((key("version") >= key("introduced")) & (F.col("fixed").isNull() | (key("version") < key("fixed"))))
-    return imports.join(hit.select("repo_id", F.col("package").alias("module"), "advisory").distinct(), ["repo_id", "module"]).select("repo_id", "path", "advisory").distinct()
+    key = lambda name: version_key(F.regexp_replace(name, r"\+.*$", ""))
+    hit = packages.join(advisories.hint("merge"), "package").where((key("version") >= key("introduced")) & (F.col("fixed").isNull() | (key("version") < key("fixed"))))
+    return imports.join(hit.select("repo_id", F.col("package").alias("module"), "advisory").distinct().hint("merge"), ["repo_id", "module"]).select("repo_id", "path", "advisory").distinct()
 
 
 def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:

@@ -58,14 +58,15 @@ def index_summary(files: DataFrame, symbols: DataFrame, imports: DataFrame, excl
 def counts_by_file(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """files with n_symbols and n_imports, 0 where there are none."""
     n = lambda df, name: df.groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias(name))
-    out = files.join(n(symbols, "n_symbols"), ["repo_id", "path"], "left").join(n(imports, "n_imports"), ["repo_id", "path"], "left")
+    out = files.join(n(symbols, "n_symbols").hint("merge"), ["repo_id", "path"], "left").join(n(imports, "n_imports").hint("merge"), ["repo_id", "path"], "left")
     return out.na.fill(0, ["n_symbols", "n_imports"])
 
 
 def nearest_rank(values: DataFrame, group: str, value: str, ranks: tuple[float, ...] = (0.5, 0.95, 0.99), approximate: bool = False) -> DataFrame:
     """Per group: n, mean, max, and percentiles by sorted[round((n - 1) * p)], halves away from zero.
 
-    Exact: equal values are first counted together, so a group is ranked by its distinct values.
+    Exact: equal values are first counted together, and a group's distinct values are dealt into buckets between
+    approximate quantiles, whose counts give each bucket its first rank: a large group isn't one task.
     """
     named = [(p, f"p{int(p * 100)}") for p in ranks]
     base = values.groupBy(group).agg(F.count(value).alias("n"), (F.sum(value) / F.greatest(F.count(value), F.lit(1))).alias("mean"), F.max(value).alias("max"))
@@ -73,8 +74,12 @@ def nearest_rank(values: DataFrame, group: str, value: str, ranks: tuple[float,
         quick = values.groupBy(group).agg(*[F.percentile_approx(value, p, 10_000).alias(name) for p, name in named])
         return base.join(quick, group)
     times = values.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("k"))
-    w = W.partitionBy(group).orderBy(value)
-    upto = times.withColumn("hi", F.sum("k").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("k").over(W.partitionBy(group)))
+    cuts = values.groupBy(group).agg(F.percentile_approx(value, [k / 64 for k in range(1, 64)], 1000).alias("__cuts"))
+    times = times.join(cuts.hint("merge"), group).withColumn("__b", F.size(F.filter("__cuts", lambda q: q < F.col(value)))).drop("__cuts")
+    sums = times.groupBy(group, "__b").agg(F.sum("k").alias("__k"))
+    firsts = sums.select(group, "__b", F.coalesce(F.sum("__k").over(W.partitionBy(group).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__first"), F.sum("__k").over(W.partitionBy(group)).alias("n"))
+    w = W.partitionBy(group, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    upto = times.join(firsts.hint("merge"), [group, "__b"]).withColumn("hi", F.col("__first") + F.sum("k").over(w))
     at = lambda p: F.round((F.col("n") - 1) * p)
     picked = upto.groupBy(group).agg(*[F.min(F.when(F.col("hi") > at(p), F.col(value))).alias(name) for p, name in named])
-    return base.join(picked, group)
+    return base.join(picked.hint("merge"), group)

@@ -30,7 +30,7 @@ def tiles(placed: DataFrame) -> DataFrame:
     placed: nodes with zooms and rectangles. Bounded by the visible cut, a tile holds few thousand features.
     """
     sides = placed.where("parent_path = ''").groupBy("repo_id").agg(F.sqrt(F.greatest(F.sum("weight"), F.lit(1)).cast("double")).alias("side"))
-    cut = tree.visible_cut(placed).join(sides, "repo_id")
+    cut = tree.visible_cut(placed).join(sides.hint("shuffle_hash"), "repo_id")
     cut = cut.withColumn("tx", c.tile_coord(F.col("x") + F.col("w") / 2, F.col("side"), F.col("z"))).withColumn("ty", c.tile_coord(F.col("y") + F.col("h") / 2, F.col("side"), F.col("z")))
     tile = F.col("side") / F.pow(F.lit(2.0), F.col("z"))
     feature = F.struct(
@@ -43,7 +43,7 @@ def tiles(placed: DataFrame) -> DataFrame:
 def layers(tiled: DataFrame, categories: DataFrame) -> DataFrame:
     """layer, repo_id, z, tx, ty, values: one value for each feature, at its position."""
     names = categories.groupBy("repo_id").agg(F.array_sort(F.collect_set("language")).alias("names"))
-    rows = tiled.join(names, "repo_id", "left")
+    rows = tiled.join(names.hint("shuffle_hash"), "repo_id", "left")
     lines = rows.select(F.lit("lines").alias("layer"), "repo_id", "z", "tx", "ty", F.transform("features", lambda f: f["lines"].cast("double")).alias("values"))
     langs = rows.select(F.lit("language").alias("layer"), "repo_id", "z", "tx", "ty", F.transform("features", lambda f: F.greatest(F.coalesce(F.array_position(F.col("names"), f["language"]), F.lit(0)) - 1, F.lit(0)).cast("double")).alias("values"))
     return lines.unionByName(langs)
@@ -52,11 +52,17 @@ def layers(tiled: DataFrame, categories: DataFrame) -> DataFrame:
 def aligned(tiled: DataFrame, layered: DataFrame, default: float = 0.0) -> DataFrame:
     """Features with one layer's values by position: missing values get the default, surplus ones go."""
     at = ["repo_id", "z", "tx", "ty"]
-    rows = tiled.join(layered, at, "left")
+    rows = tiled.join(layered.hint("merge"), at, "left")
     value = lambda i: F.coalesce(F.try_element_at(F.coalesce("values", F.array().cast("array<double>")), (i + 1).cast("int")), F.lit(default))
     return rows.select(*at, F.transform("features", lambda f, i: F.struct(f["id"].alias("id"), value(i).alias("value"))).alias("features"))
 
 
+def bounding_boxes(tiled: DataFrame) -> DataFrame:
+    """repo_id, z, tx, ty and the least and greatest x and y of all vertices in the tile; null where it has none."""
+    of = lambda k: F.flatten(F.transform("features", lambda f: F.transform(f["vertices"], lambda v: v[k])))
+    return tiled.select("repo_id", "z", "tx", "ty", *[f(of(k)).alias(f"{name}_{k}") for k in "xy" for name, f in (("min", F.array_min), ("max", F.array_max))])
+
+
 def tile_keys(tiled: DataFrame) -> DataFrame:
     return tiled.select("repo_id", "z", F.col("tx").alias("x"), F.col("ty").alias("y")).distinct().orderBy("repo_id", "z", "x", "y")
 

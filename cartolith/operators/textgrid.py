@@ -22,7 +22,8 @@ def lines_in_window(texts: DataFrame, first: int | None = None) -> DataFrame:
 
 def characters(lines: DataFrame) -> DataFrame:
     """doc_id, line, pos, ch, col of visible characters: tabs go to stops, and columns from MAX_COLS on are left out."""
-    chars = F.filter(F.split("text", ""), lambda x: x != "")
+    # a character takes a column at least
+    chars = F.filter(F.split(F.substring("text", 1, MAX_COLS), ""), lambda x: x != "")
     step = lambda acc, ch: F.struct(
         F.when(ch == "\t", (F.floor(acc["col"] / TAB).cast("int") + 1) * TAB).otherwise(acc["col"] + 1).alias("col"),
         F.concat(acc["at"], F.array(acc["col"])).alias("at"),
@@ -60,7 +61,7 @@ def runs(chars: DataFrame) -> DataFrame:
 def placed_runs(rows: DataFrame, roofs: DataFrame, advance: float = 0.6, line_height: float = 1.2) -> DataFrame:
     """Rectangles of runs in a block centred on its roof. roofs: doc_id, x, y, w, h, cols, lines."""
     em = c.em_scale(F.col("w"), F.col("h"), F.col("cols"), F.col("lines"), advance, line_height)
-    r = rows.join(roofs, "doc_id").withColumn("em", em)
+    r = rows.join(roofs.hint("merge"), "doc_id").withColumn("em", em)
     left = F.col("x") + (F.col("w") - F.col("cols") * advance * F.col("em")) / 2
     top = F.col("y") + (F.col("h") + F.col("lines") * line_height * F.col("em")) / 2
     return r.select("doc_id", "line", "cls", (left + F.col("first_col") * advance * F.col("em")).alias("rx"), (top - (F.col("line") + 1) * line_height * F.col("em")).alias("ry"), ((F.col("last_col") - F.col("first_col") + 1) * advance * F.col("em")).alias("rw"), (line_height * F.col("em")).alias("rh"))

@@ -9,23 +9,36 @@ from pyspark.sql.window import Window as W
 from cartolith.functions import columns as c
 
 
+def ranked(rows: DataFrame, bucket: Column, order: list, name: str) -> DataFrame:
+    """rows with `name`: the place, from 1, within the repository in the given order.
+
+    `bucket` is a function that doesn't fall along the order. Counts by bucket give each bucket its first place, so only
+    the rows of one bucket are sorted together: a repository with most rows isn't one task.
+    """
+    keyed = rows.withColumn("__b", bucket)
+    counts = keyed.groupBy("repo_id", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy("repo_id").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    firsts = counts.select("repo_id", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    place = F.col("__first") + F.row_number().over(W.partitionBy("repo_id", "__b").orderBy(*order))
+    return keyed.join(firsts.hint("merge"), ["repo_id", "__b"]).withColumn(name, place.cast("long")).drop("__b", "__first")
+
+
 def file_ids(files: DataFrame, depth: int = 3) -> DataFrame:
     """files with file_id: 1, 2, ... within a repository, in the order of path components.
 
-    Files below one directory are neighbours in that order, so counts by the first `depth` components give each such
-    directory its first id, and only its own files are sorted together: a repository with most rows isn't one task.
+    Files below one directory are neighbours in that order; the first `depth` components are the bucket.
     """
-    keyed = files.withColumn("__parts", F.split("path", "/")).withColumn("__top", F.slice("__parts", 1, depth))
-    tops = keyed.groupBy("repo_id", "__top").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy("repo_id").orderBy("__top").rowsBetween(W.unboundedPreceding, -1)
-    offsets = tops.select("repo_id", "__top", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    rank = F.row_number().over(W.partitionBy("repo_id", "__top").orderBy("__parts"))
-    return keyed.join(offsets, ["repo_id", "__top"]).withColumn("file_id", F.col("__first") + rank).drop("__parts", "__top", "__first")
+    return ranked(files, F.slice(F.split("path", "/"), 1, depth), [F.split("path", "/")], "file_id")
+
 
+def ids_in_order(rows: DataFrame, order: list[str], name: str = "id", bucket: Column | None = None) -> DataFrame:
+    """Ids within each repository in the given order (symbols, imports, exclusions).
 
-def ids_in_order(rows: DataFrame, order: list[str], name: str = "id") -> DataFrame:
-    """Ids within each repository in the given order (symbols, imports, exclusions)."""
-    return rows.withColumn(name, F.row_number().over(W.partitionBy("repo_id").orderBy(*order)).cast("long"))
+    Rows in the order of their files are sorted by 1024 files together; other orders need a bucket of their own.
+    """
+    if bucket is None:
+        bucket = F.shiftright("file_id", 10) if order[0] == "file_id" else F.lit(0)
+    return ranked(rows, bucket, order, name)
 
 
 def _above(path: Column) -> Column:
@@ -70,10 +83,12 @@ def tree_nodes(files: DataFrame) -> DataFrame:
     files needs repo_id, file_id, path, language, lines, bytes. Directory ids follow the file ids, in the order in
     which the files' sorted paths first meet them, outer directories first; the root's id is 0.
     """
-    dirs = dir_rollup(files).where("dir <> ''").join(dominant_language(files), ["repo_id", "dir"])
+    dirs = dir_rollup(files).where("dir <> ''").join(dominant_language(files).hint("merge"), ["repo_id", "dir"])
     most = files.groupBy("repo_id").agg(F.max("file_id").alias("most"))
-    rank = F.row_number().over(W.partitionBy("repo_id").orderBy("min_file_path", "depth"))
-    dirs = dirs.join(most, "repo_id").withColumn("id", (F.col("most") + rank).cast("long"))
+    # the path up to its third slash, that included, never falls along the order of paths
+    top = F.regexp_extract("min_file_path", "^(?:[^/]*/){3}|^.*", 0)
+    dirs = ranked(dirs, top, ["min_file_path", "depth"], "__place")
+    dirs = dirs.join(most.hint("shuffle_hash"), "repo_id").withColumn("id", (F.col("most") + F.col("__place")).cast("long"))
     dir_nodes = dirs.select("repo_id", "id", F.lit("dir").alias("kind"), F.col("dir").alias("path"), "depth", "lines", "bytes", "weight", "language", "min_file_path")
     leaf_nodes = files.select(
         "repo_id", F.col("file_id").alias("id"), F.lit("file").alias("kind"), "path", F.size(c.parts(F.col("path"))).alias("depth"), "lines", "bytes",
@@ -81,7 +96,7 @@ def tree_nodes(files: DataFrame) -> DataFrame:
     )
     nodes = dir_nodes.unionByName(leaf_nodes).withColumn("parent_path", parent_path(F.col("path")))
     ids = dir_nodes.select("repo_id", F.col("path").alias("parent_path"), F.col("id").alias("parent_id"))
-    return nodes.join(ids, ["repo_id", "parent_path"], "left").na.fill(0, ["parent_id"])
+    return nodes.join(ids.hint("merge"), ["repo_id", "parent_path"], "left").na.fill(0, ["parent_id"])
 
 
 def world(files: DataFrame) -> DataFrame:
@@ -97,12 +112,12 @@ def node_zooms(nodes: DataFrame) -> DataFrame:
     zoom among that directory's children; a node appears where its parent splits. Areas are weights.
     """
     total = nodes.where("parent_path = ''").groupBy("repo_id").agg(F.sum("weight").alias("__world"))
-    natural = nodes.join(total, "repo_id").withColumn("__z", c.natural_zoom(F.col("weight").cast("double"), F.greatest("__world", F.lit(1)).cast("double")))
+    natural = nodes.join(total.hint("shuffle_hash"), "repo_id").withColumn("__z", c.natural_zoom(F.col("weight").cast("double"), F.greatest("__world", F.lit(1)).cast("double")))
     least = natural.groupBy("repo_id", "parent_path").agg(F.min("__z").alias("__m")).where("parent_path <> ''")
     up = nodes.where("kind = 'dir'").select("repo_id", "path", F.explode(F.concat(F.filter(_above(F.col("path")), lambda x: x != ""), F.array("path"))).alias("parent_path"))
-    split = up.join(least, ["repo_id", "parent_path"]).groupBy("repo_id", "path").agg(F.max("__m").alias("split_z"))
-    out = nodes.join(split.select("repo_id", F.col("path").alias("parent_path"), F.col("split_z").alias("appear_z")), ["repo_id", "parent_path"], "left").na.fill(0, ["appear_z"])
-    return out.join(split, ["repo_id", "path"], "left").withColumn("split_z", F.coalesce("split_z", "appear_z"))
+    split = up.join(least.hint("merge"), ["repo_id", "parent_path"]).groupBy("repo_id", "path").agg(F.max("__m").alias("split_z"))
+    out = nodes.join(split.select("repo_id", F.col("path").alias("parent_path"), F.col("split_z").alias("appear_z")).hint("merge"), ["repo_id", "parent_path"], "left").na.fill(0, ["appear_z"])
+    return out.join(split.hint("merge"), ["repo_id", "path"], "left").withColumn("split_z", F.coalesce("split_z", "appear_z"))
 
 
 def max_zoom(zoomed: DataFrame) -> DataFrame:
@@ -111,7 +126,7 @@ def max_zoom(zoomed: DataFrame) -> DataFrame:
 
 def visible_cut(zoomed: DataFrame) -> DataFrame:
     """One row per zoom at which a node is drawn: files from where they appear on, directories until they split."""
-    rows = zoomed.join(max_zoom(zoomed), "repo_id").withColumn("__hi", F.when(F.col("kind") == "file", F.col("max_z")).otherwise(F.least(F.col("split_z") - 1, F.col("max_z"))))
+    rows = zoomed.join(max_zoom(zoomed).hint("shuffle_hash"), "repo_id").withColumn("__hi", F.when(F.col("kind") == "file", F.col("max_z")).otherwise(F.least(F.col("split_z") - 1, F.col("max_z"))))
     # sequence() counts down when its end is smaller
     return rows.where(F.col("__hi") >= F.col("appear_z")).withColumn("z", F.explode(F.sequence("appear_z", "__hi"))).drop("__hi")
 

@@ -3,43 +3,43 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartolith.sources.storage import staged
+
 PLACED = "repo_id string, path string, x double, y double, w double, h double"
 #: Repositories with fewer nodes are laid out by one task each.
 WHOLE_NODES = 200_000
 
 
+def ratio(total: float, low: float, high: float, side: float) -> float:
+    """The worst aspect ratio of a row with this sum, least and greatest area along a side: max(s^2 R+ / t^2, t^2 / (s^2 R-))."""
+    if total <= 0 or side <= 0:
+        return math.inf
+    s2, t2 = side * side, total * total
+    return max(s2 * high / t2, t2 / (s2 * low) if low > 0 else math.inf)
+
+
 def squarify(areas: list[float], x: float, y: float, w: float, h: float) -> list[tuple[float, float, float, float]]:
-    """A cell for each area, in order, in the rectangle.
+    """A cell for each area, in order, in the rectangle: the squarified treemap of Bruls, Huizing and van Wijk.
 
-    Rows run along the shorter side (a band across the width when width <= height). A row takes the next area as long
-    as its worst aspect ratio doesn't grow.
+    A row lies along the shorter side (across the width when width <= height) and takes the next area as long as its
+    worst aspect ratio doesn't grow.
     """
+    cells: list[tuple[float, float, float, float]] = []
+    row: list[float] = []
+    total = low = high = worst = 0.0
 
-    def worst(total: float, low: float, high: float, side: float) -> float:
-        if total <= 0 or side <= 0:
-            return math.inf
-        thick = total / side
-        return max(high / thick**2, thick**2 / low if low > 0 else math.inf)
-
-    cells, at = [], 0
-    while at < len(areas):
-        side = min(w, h)
-        total = low = high = areas[at]
-        end = at + 1
-        while end < len(areas):
-            a = areas[end]
-            if worst(total + a, min(low, a), max(high, a), side) > worst(total, low, high, side):
-                break
-            total, low, high, end = total + a, min(low, a), max(high, a), end + 1
-        thick = total / side if side > 0 else 0.0
-        run = 0.0
-        across = w <= h
-        for a in areas[at:end]:
+    def lay_down() -> None:
+        nonlocal x, y, w, h
+        across, side = w <= h, min(w, h)
+        thick, run = total / side if side > 0 else 0.0, 0.0
+        for a in row:
             length = a / thick if thick > 0 else 0.0
             cells.append((x + run, y, length, thick) if across else (x, y + run, thick, length))
             run += length
@@ -47,53 +47,81 @@ def squarify(areas: list[float], x: float, y: float, w: float, h: float) -> list
             y, h = y + thick, max(h - thick, 0.0)
         else:
             x, w = x + thick, max(w - thick, 0.0)
-        at = end
+
+    for a in areas:
+        if row:
+            grown = ratio(total + a, min(low, a), max(high, a), min(w, h))
+            if grown <= worst:
+                row.append(a)
+                total, low, high, worst = total + a, min(low, a), max(high, a), grown
+                continue
+            lay_down()
+        row, total, low, high = [a], a, a, a
+        worst = ratio(a, a, a, min(w, h))
+    if row:
+        lay_down()
     return cells
 
 
-def _children(group: pd.DataFrame) -> pd.DataFrame:
-    """The cells of one directory's children; each row has its parent's rectangle."""
-    group = group.sort_values(["weight", "path"], ascending=[False, True], kind="stable")
-    px, py, pw, ph = group[["px", "py", "pw", "ph"]].iloc[0]
-    cells = squarify(group["weight"].astype(float).tolist(), px, py, pw, ph)
-    return pd.DataFrame({"repo_id": group["repo_id"].values, "path": group["path"].values, **{k: [q[i] for q in cells] for i, k in enumerate("xywh")}})
+def _repository(group: pa.Table) -> pa.Table:
+    """All cells of a repository: its rows are sorted once, and each directory's children are a slice of them."""
+    rows = group.sort_by([("parent_path", "ascending"), ("weight", "descending"), ("path", "ascending")])
+    parent, path = rows["parent_path"].to_pylist(), rows["path"].to_pylist()
+    weight = rows["weight"].cast(pa.float64()).to_pylist()
+    begins = [i for i in range(len(parent)) if i == 0 or parent[i] != parent[i - 1]]
+    below = {parent[a]: (a, b) for a, b in zip(begins, [*begins[1:], len(parent)], strict=True)}
+    a, b = below.get("", (0, 0))
+    side = math.sqrt(max(sum(weight[a:b]), 1.0))
+    cells = np.zeros((len(parent), 4))
+    waiting = [("", 0.0, 0.0, side, side)] if b else []
+    while waiting:
+        at, *box = waiting.pop()
+        a, b = below[at]
+        own = squarify(weight[a:b], *box)
+        cells[a:b] = own
+        waiting += [(path[a + k], *cell) for k, cell in enumerate(own) if path[a + k] in below]
+    return pa.table({"repo_id": rows["repo_id"], "path": rows["path"], **{k: cells[:, i] for i, k in enumerate("xywh")}})
 
 
-def _repository(group: pd.DataFrame) -> pd.DataFrame:
-    """All cells of a repository."""
-    side = math.sqrt(max(float(group.loc[group["parent_path"] == "", "weight"].sum()), 1.0))
-    below = {k: g for k, g in group.groupby("parent_path", sort=False)}
-    done, waiting = [], [("", 0.0, 0.0, side, side)]
-    while waiting:
-        parent, x, y, w, h = waiting.pop()
-        if parent in below:
-            cells = _children(below[parent].assign(px=x, py=y, pw=w, ph=h))
-            done.append(cells)
-            waiting += [r for r in cells[["path", "x", "y", "w", "h"]].itertuples(index=False, name=None) if r[0] in below]
-    return pd.concat(done) if done else pd.DataFrame(columns=["repo_id", "path", "x", "y", "w", "h"])
+def _directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of rows that come sorted by repository, parent, weight and path, with their parents' rectangles."""
+    at, held = None, []
+
+    def placed():
+        cells = squarify([r[3] for r in held], *held[0][4:])
+        columns = [[r[0] for r in held], [r[2] for r in held], *[[c[k] for c in cells] for k in range(4)]]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string()] * 2 + [pa.float64()] * 4, strict=True)], ["repo_id", "path", "x", "y", "w", "h"])
+
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if at != r[:2]:
+                if held:
+                    yield placed()
+                at, held = r[:2], []
+            held.append(r)
+    if held:
+        yield placed()
 
 
 def lay_out(nodes: DataFrame, whole_nodes: int = WHOLE_NODES) -> DataFrame:
-    """nodes with rectangles x, y, w, h. Small repositories are groups of their own; in large ones each directory's
-    children are a group, one level after the other, as a cell's shape depends on its parent's."""
-    spark = nodes.sparkSession
+    """nodes with rectangles x, y, w, h. Small repositories are groups of their own; in large ones the directories of a
+    level are dealt over all tasks, one level after the other, as a cell's shape depends on its parent's. The children
+    of one directory are laid out in order, so they are one task's."""
     sizes = nodes.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("deepest"), F.sum(F.when(F.col("parent_path") == "", F.col("weight"))).alias("total"))
+    sizes = staged(sizes)
     slim = nodes.select("repo_id", "path", "parent_path", "weight", "depth")
-    small = slim.join(sizes.where(F.col("n") <= whole_nodes).select("repo_id"), "repo_id", "left_semi")
-    placed = small.groupBy("repo_id").applyInPandas(_repository, PLACED)
+    small = slim.join(sizes.where(F.col("n") <= whole_nodes).select("repo_id").hint("shuffle_hash"), "repo_id", "left_semi")
+    placed = staged(small.groupBy("repo_id").applyInArrow(_repository, PLACED))
     large = sizes.where(F.col("n") > whole_nodes)
     deepest = large.agg(F.max("deepest")).first()[0] or 0
     if deepest:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if root and not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(root)
-        elif not root and not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir("/tmp/checkpoints/treemap")
         side = F.sqrt(F.greatest("total", F.lit(1)).cast("double"))
         level = large.select("repo_id", F.lit("").alias("path"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), side.alias("w"), side.alias("h"))
-        big = slim.join(large.select("repo_id"), "repo_id", "left_semi")
+        big = slim.join(large.select("repo_id").hint("shuffle_hash"), "repo_id", "left_semi")
         for d in range(1, deepest + 1):  # as many rounds as the tree is deep
-            parents = level.select("repo_id", F.col("path").alias("parent_path"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("w").alias("pw"), F.col("h").alias("ph"))
-            level = big.where(F.col("depth") == d).join(parents, ["repo_id", "parent_path"]).groupBy("repo_id", "parent_path").applyInPandas(_children, PLACED).checkpoint()
+            parents = level.select("repo_id", F.col("path").alias("parent_path"), "x", "y", "w", "h").hint("merge")
+            rows = big.where(F.col("depth") == d).join(parents, ["repo_id", "parent_path"]).select("repo_id", "parent_path", "path", F.col("weight").cast("double").alias("weight"), "x", "y", "w", "h")
+            rows = rows.repartition("repo_id", "parent_path").sortWithinPartitions("repo_id", "parent_path", F.desc("weight"), "path")
+            level = staged(rows.mapInArrow(_directories, PLACED))
             placed = placed.unionByName(level)
-    return nodes.join(placed, ["repo_id", "path"])
+    return nodes.join(placed.hint("merge"), ["repo_id", "path"])

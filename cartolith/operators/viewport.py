@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolith.functions import columns as c
+from cartolith.sources.storage import staged
 
 SPLIT_FRACTION = 0.6
 
@@ -13,13 +14,13 @@ SPLIT_FRACTION = 0.6
 def with_boxes(keys: DataFrame, sides: DataFrame) -> DataFrame:
     """keys(repo_id, z, x, y) with x0, y0 and size of each tile in the world square."""
     size = F.col("side") / F.pow(F.lit(2.0), F.col("z"))
-    return keys.join(sides.select("repo_id", "side"), "repo_id").withColumns({"size": size, "x0": F.col("x") * size, "y0": F.col("y") * size})
+    return keys.join(sides.select("repo_id", "side").hint("shuffle_hash"), "repo_id").withColumns({"size": size, "x0": F.col("x") * size, "y0": F.col("y") * size})
 
 
 def has_children(keys: DataFrame) -> DataFrame:
     """keys with has_children: whether a tile of the next zoom lies in it."""
     up = keys.where("z > 0").select("repo_id", (F.col("z") - 1).alias("z"), F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y")).distinct()
-    return keys.join(up.withColumn("has_children", F.lit(True)), ["repo_id", "z", "x", "y"], "left").na.fill(False, ["has_children"])
+    return keys.join(up.withColumn("has_children", F.lit(True)).hint("merge"), ["repo_id", "z", "x", "y"], "left").na.fill(False, ["has_children"])
 
 
 def select_tiles(cameras: DataFrame, keys: DataFrame, sides: DataFrame) -> DataFrame:
@@ -30,8 +31,7 @@ def select_tiles(cameras: DataFrame, keys: DataFrame, sides: DataFrame) -> DataF
     the screen or have no children; a tile is chosen when it is in view, stops, and every tile above it exists, is in
     view and doesn't stop. Without any the roots are chosen. Cameras meet the tiles of their own repository only.
     """
-    boxed = with_boxes(has_children(keys), sides)
-    rows = boxed.join(cameras, "repo_id")
+    boxed = staged(with_boxes(has_children(keys), sides))
     top = lambda n, lo, hi: F.when(n >= 0, hi).otherwise(lo)
     x0, y0, x1, y1 = F.col("x0"), F.col("y0"), F.col("x0") + F.col("size"), F.col("y0") + F.col("size")
     visible = F.forall("planes", lambda p: p["a"] * top(p["a"], x0, x1) + p["b"] * top(p["b"], y0, y1) + p["c"] * top(p["c"], F.lit(0.0), F.col("max_height")) + p["d"] >= 0)
@@ -39,21 +39,29 @@ def select_tiles(cameras: DataFrame, keys: DataFrame, sides: DataFrame) -> DataF
     dist = F.greatest(F.sqrt(dx * dx + dy * dy + dz * dz), F.lit(0.001))
     small = F.col("size") / dist * F.col("px_per_world") <= F.col("viewport_h") * SPLIT_FRACTION
     at = ["camera_id", "repo_id", "z", "x", "y"]
-    judged = rows.select(*at, visible.alias("visible"), (small | ~F.col("has_children")).alias("stop"))
-    stops = judged.where("visible and stop")
-    open_ = judged.where("visible and not stop").select(*at)
-    above = stops.select("camera_id", "repo_id", F.struct("z", "x", "y").alias("t"), F.explode(F.slice(c.ancestors(F.col("z"), F.col("x"), F.col("y")), F.lit(2), F.greatest(F.col("z"), F.lit(1)))).alias("a")).where("a.z < t.z")
-    need = above.select("camera_id", "repo_id", "t", "a.z", "a.x", "a.y")
-    blocked = need.join(open_, at, "left_anti").select("camera_id", "repo_id", "t.z", "t.x", "t.y").distinct()
-    chosen = stops.select(*at).join(blocked, at, "left_anti")
-    roots = keys.where("z = 0").join(cameras.select("camera_id", "repo_id").join(chosen.select("camera_id").distinct(), "camera_id", "left_anti"), "repo_id").select(*at)
-    return chosen.unionByName(roots)
+    lens = ["planes", "eye", "viewport_h", "px_per_world", "max_height"]
+    # level by level, so a camera meets the tiles below those that it opens, not all of its repository's
+    roots = cameras.join(boxed.where("z = 0").hint("shuffle_hash"), "repo_id")
+    chosen, z, asked = None, 0, roots
+    while True:
+        judged = staged(asked.where(visible).withColumn("stop", small | ~F.col("has_children")).select(*at, *lens, "stop"))
+        stops = judged.where("stop").select(*at)
+        chosen = stops if chosen is None else chosen.unionByName(stops)
+        open_ = judged.where("not stop")
+        if open_.isEmpty():
+            break
+        below = F.explode(F.array(*[F.struct((F.col("x") * 2 + i).alias("x"), (F.col("y") * 2 + j).alias("y")) for j in (0, 1) for i in (0, 1)]))
+        z += 1
+        wanted = open_.select("camera_id", "repo_id", *lens, below.alias("t")).select("camera_id", "repo_id", *lens, F.lit(z).alias("z"), "t.x", "t.y")
+        asked = wanted.join(boxed.where(F.col("z") == z).hint("merge"), ["repo_id", "z", "x", "y"])
+    none = cameras.select("camera_id", "repo_id").join(chosen.select("camera_id").distinct().hint("merge"), "camera_id", "left_anti")
+    return chosen.unionByName(keys.where("z = 0").join(none.hint("merge"), "repo_id").select(*at))
 
 
 def nearest_available(wanted: DataFrame, available: DataFrame) -> DataFrame:
     """Per wanted tile (qid, z, x, y) itself or the deepest available tile above it; tiles without one are left out."""
     up = wanted.select("qid", F.explode(c.ancestors(F.col("z"), F.col("x"), F.col("y"))).alias("a")).select("qid", "a.z", "a.x", "a.y")
-    hit = up.join(available.select("z", "x", "y").distinct(), ["z", "x", "y"])
+    hit = up.join(available.select("z", "x", "y").distinct().hint("merge"), ["z", "x", "y"])
     return hit.groupBy("qid").agg(F.max_by(F.struct("z", "x", "y"), F.col("z")).alias("t")).select("qid", "t.z", "t.x", "t.y")
 
 

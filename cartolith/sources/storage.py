@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,9 +12,15 @@ from pyspark.sql import DataFrame
 def staged(df: DataFrame) -> DataFrame:
     """df written out and read back: what several branches use is computed once, and lost executors don't bring it back.
 
-    The folder is spark.checkpoint.dir; where it is unset, as in tests, one under /tmp.
+    The folder is spark.checkpoint.dir. Where that is unset a local session gets one of its own; on a cluster, where
+    each executor would write to a disk of its own, that is an error.
     """
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{os.getpid()}"
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints/{os.getpid()}"
     path = f"{root}/cartolith-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
