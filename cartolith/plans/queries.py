@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from cartolith.functions import columns as c
 from cartolith.functions import tables as t
@@ -13,9 +14,6 @@ from cartolith.operators import catalog, checks, classify, evolution, extract, p
 from cartolith.sources import corpus
 from cartolith.sources.storage import staged
 
-#: The oversize limit that the SQL below is written with; queries with SQL keep to it, all others to t.MAX_FILE_BYTES.
-SQL_MAX_BYTES = 16_384
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -34,28 +32,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _classified(spark: SparkSession, sf_dir: str, max_bytes: int = SQL_MAX_BYTES) -> DataFrame:
+def _classified(spark: SparkSession, sf_dir: str, max_bytes: int = t.MAX_FILE_BYTES) -> DataFrame:
     return classify.classify(corpus.corpus_files(_table(spark, sf_dir, "documents")), max_bytes=max_bytes)
 
 
-def _files(spark: SparkSession, sf_dir: str, max_bytes: int = SQL_MAX_BYTES) -> DataFrame:
+def _files(spark: SparkSession, sf_dir: str, max_bytes: int = t.MAX_FILE_BYTES) -> DataFrame:
     return classify.kept_files(_classified(spark, sf_dir, max_bytes))
 
 
-def _indexed(spark: SparkSession, sf_dir: str, max_bytes: int = SQL_MAX_BYTES) -> DataFrame:
-    return staged(tree.file_ids(_files(spark, sf_dir, max_bytes).select("repo_id", "path", "language", "lines", "bytes")))
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(tree.file_ids(_files(spark, sf_dir).select("repo_id", "path", "language", "lines", "bytes")))
 
 
-def _nodes(spark: SparkSession, sf_dir: str, max_bytes: int = SQL_MAX_BYTES) -> DataFrame:
-    return staged(tree.tree_nodes(_indexed(spark, sf_dir, max_bytes)))
+def _nodes(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
+    return staged(tree.tree_nodes(files or _indexed(spark, sf_dir)))
 
 
-def _zoomed(spark: SparkSession, sf_dir: str, max_bytes: int = SQL_MAX_BYTES) -> DataFrame:
-    return staged(tree.node_zooms(_nodes(spark, sf_dir, max_bytes)))
+def _zoomed(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
+    return staged(tree.node_zooms(_nodes(spark, sf_dir, files)))
 
 
-def _placed(spark: SparkSession, sf_dir: str, max_bytes: int = SQL_MAX_BYTES) -> DataFrame:
-    return staged(treemap.lay_out(_zoomed(spark, sf_dir, max_bytes)))
+def _placed(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
+    return staged(treemap.lay_out(_zoomed(spark, sf_dir, files)))
 
 
 # SQL of the same steps
@@ -72,7 +70,7 @@ CLASSIFIED = (
 named AS (SELECT *, string_split(path, '/') AS p, string_split(path, '/')[-1] AS name, regexp_extract(path, '[^/]\\.([^./]*)$', 1) AS ext,
   strlen(content) AS bytes FROM corpus),
 langs AS (SELECT *, p[1:len(p) - 1] AS dirs, coalesce({_case("name", t.LANGUAGE_BY_NAME)}, {_case("lower(ext)", t.LANGUAGE_BY_EXTENSION)}, 'Other') AS language,
-  bytes > {SQL_MAX_BYTES} AS is_oversize, false AS is_binary FROM named),
+  bytes > {t.MAX_FILE_BYTES} AS is_oversize, false AS is_binary FROM named),
 hits AS (SELECT *, list_min(list_filter({_DIRS}, lambda x: x IS NOT NULL)) AS hit,
   CASE WHEN language = 'TypeScript' AND ext = 'tsx' THEN 'TSX' WHEN language IN ({", ".join(repr(g) for g in t.GRAMMARS)}) THEN language END AS grammar,
   array_to_string(string_split(substring(content, 1, {t.HEADER_BYTES}), chr(10))[1:{t.HEADER_LINES}], chr(10)) AS head FROM langs),
@@ -152,8 +150,27 @@ def scan_flags(spark, sf_dir):
 
 @query(FILES + " SELECT repo_id, path, language, grammar, bytes, lines FROM files f WHERE NOT EXISTS (SELECT 1 FROM classified c WHERE c.outcome = 'excluded' AND c.repo_id = f.repo_id AND c.path = f.path)")
 def not_excluded(spark, sf_dir):
-    rows = _classified(spark, sf_dir).where("outcome <> 'pruned'").select("repo_id", "path", "language", "grammar", "bytes", "lines")
-    return rows.join(classify.excluded_paths(_classified(spark, sf_dir)), ["repo_id", "path"], "left_anti")
+    every = staged(_classified(spark, sf_dir).drop("content", "hash"))
+    rows = every.where("outcome <> 'pruned'").select("repo_id", "path", "language", "grammar", "bytes", "lines")
+    return rows.join(classify.excluded_paths(every), ["repo_id", "path"], "left_anti")
+
+
+OVERSIZE = 16_384
+
+
+@query(CLASSIFIED.replace(f"bytes > {t.MAX_FILE_BYTES} AS is_oversize", f"bytes > {OVERSIZE} AS is_oversize") + " SELECT repo_id, path, bytes, lines, is_oversize, parsed, outcome FROM classified")
+def oversize_rule(spark, sf_dir):
+    """The same rules with a limit that some texts exceed."""
+    return _classified(spark, sf_dir, OVERSIZE).select("repo_id", "path", "bytes", "lines", "is_oversize", "parsed", "outcome")
+
+
+@query(CLASSIFIED + " SELECT repo_id, path, bytes + (CASE WHEN bytes % 5 = 0 THEN 1 ELSE 0 END) AS bytes, bytes % 5 = 0 AS is_binary, CASE WHEN bytes % 5 = 0 THEN 0 ELSE lines END AS lines, parsed AND bytes % 5 <> 0 AS parsed FROM classified WHERE bytes < 8192")
+def binary_rule(spark, sf_dir):
+    """Texts with a NUL byte behind every fifth one of those that the first look covers."""
+    files = corpus.corpus_files(_table(spark, sf_dir, "documents")).where(F.octet_length("content") < 8192)
+    nul = F.when(F.octet_length("content") % 5 == 0, F.concat(F.col("content"), F.lit("\0"))).otherwise(F.col("content"))
+    rows = classify.classify(files.withColumn("content", F.encode(nul, "UTF-8")))
+    return rows.select("repo_id", "path", "bytes", "is_binary", "lines", "parsed")
 
 
 # tree
@@ -257,13 +274,14 @@ def tile_features(spark, sf_dir):
 
 @query()
 def tile_counts(spark, sf_dir):
-    return pyramid.tiles(_placed(spark, sf_dir, t.MAX_FILE_BYTES)).select("repo_id", "z", "tx", "ty", F.size("features").alias("features"))
+    return pyramid.tiles(_placed(spark, sf_dir)).select("repo_id", "z", "tx", "ty", F.size("features").alias("features"))
 
 
 @query()
 def tile_layers(spark, sf_dir):
-    tiled = staged(pyramid.tiles(_placed(spark, sf_dir, t.MAX_FILE_BYTES)))
-    return pyramid.layers(tiled, _nodes(spark, sf_dir, t.MAX_FILE_BYTES)).select("layer", "repo_id", "z", "tx", "ty", F.size("values").alias("n"), F.array_max("values").alias("most"))
+    placed = _placed(spark, sf_dir)
+    tiled = staged(pyramid.tiles(placed))
+    return pyramid.layers(tiled, placed).select("layer", "repo_id", "z", "tx", "ty", F.size("values").alias("n"), F.array_max("values").alias("most"))
 
 
 @query(ZOOMS + " SELECT 'lines' AS layer, repo_id, z::int AS z, count(*) AS n FROM cut GROUP BY repo_id, z UNION ALL SELECT 'language', repo_id, z::int, count(*) FROM cut GROUP BY repo_id, z")
@@ -275,8 +293,9 @@ def layer_alignment(spark, sf_dir):
 
 @query(NODES + " SELECT repo_id, 2 AS format_version, count(*) FILTER (kind = 'file') AS files, count(*) FILTER (kind = 'dir') AS directories, count(DISTINCT language) AS categories, true AS no_edges FROM nodes GROUP BY repo_id")
 def manifest_summary(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir)
-    m = pyramid.read_manifest(pyramid.manifest(nodes, _indexed(spark, sf_dir), staged(tree.node_zooms(nodes))))
+    files = _indexed(spark, sf_dir)
+    nodes = _nodes(spark, sf_dir, files)
+    m = pyramid.read_manifest(pyramid.manifest(nodes, files, staged(tree.node_zooms(nodes))))
     cats = F.size(F.element_at("m.layers", 1)["categories"]).cast("long")
     return m.select("repo_id", F.col("m.formatVersion").alias("format_version"), "m.stats.files", "m.stats.directories", cats.alias("categories"), (~F.col("m.hasEdges")).alias("no_edges"))
 
@@ -284,8 +303,8 @@ def manifest_summary(spark, sf_dir):
 @query()
 def viewport_tiles(spark, sf_dir):
     """Eight fixed boxes of the world as cameras of every repository."""
-    files = _indexed(spark, sf_dir, t.MAX_FILE_BYTES)
-    keys = staged(pyramid.tile_keys(pyramid.tiles(_placed(spark, sf_dir, t.MAX_FILE_BYTES))))
+    files = _indexed(spark, sf_dir)
+    keys = staged(pyramid.tile_keys(pyramid.tiles(_placed(spark, sf_dir, files))))
     box = lambda f: F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(0.0).alias("c"), d.alias("d")) for a, b, d in f])
     worlds = tree.world(files)
     cams = worlds.withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(8)])))
@@ -300,7 +319,7 @@ def viewport_tiles(spark, sf_dir):
 
 @query()
 def readable_roofs(spark, sf_dir):
-    return viewport.readable(viewport.roofs(_placed(spark, sf_dir, t.MAX_FILE_BYTES)), px_per_world=40.0, aim_line=600).select("repo_id", "file_id", "tier", "first_line")
+    return viewport.readable(viewport.roofs(_placed(spark, sf_dir)), px_per_world=40.0, aim_line=600).select("repo_id", "file_id", "tier", "first_line")
 
 
 _WANTED = """WITH wanted AS (SELECT doc_id AS qid, (doc_id % 6 + 2)::int AS z, (doc_id * 7919) % (1 << (doc_id % 6 + 2)::int) AS x, (doc_id * 104729) % (1 << (doc_id % 6 + 2)::int) AS y FROM documents),
@@ -359,32 +378,39 @@ def text_runs(spark, sf_dir):
     return textgrid.runs(textgrid.characters(textgrid.lines_in_window(docs)).withColumn("cls", _char_class()))
 
 
-_SPANS = "spans AS (SELECT doc_id, unnest(range(0, 40)) AS k FROM documents), sp AS (SELECT doc_id, k, k * 10 + doc_id % 5 AS start, 3 + (doc_id + k) % 5 AS len, (k % 9 + 1)::int AS cls FROM spans)"
+# the words between single spaces, with their class: 1 letters, 2 digits, 3 anything else first
+_SPANS = """words AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(0, len(string_split(text, ' ')))) AS k FROM documents),
+placed AS (SELECT doc_id, k, w, (sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(w) - 1)::bigint AS start FROM words),
+sp AS (SELECT doc_id, k, start, length(w)::bigint AS len, CASE WHEN w[1] BETWEEN '0' AND '9' THEN 2 WHEN regexp_matches(w, '^[A-Za-z]') THEN 1 ELSE 3 END AS cls FROM placed WHERE w <> '')"""
 
 
-def _demo_spans(spark, sf_dir):
-    """Forty disjoint spans for each document, from its id."""
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k"))
-    return rows.select("doc_id", F.col("k").cast("long").alias("k"), (F.col("k") * 10 + F.col("doc_id") % 5).alias("start"), (F.lit(3) + (F.col("doc_id") + F.col("k")) % 5).alias("len"), (F.col("k") % 9 + 1).cast("int").alias("cls"))
+def _word_spans(spark, sf_dir):
+    words = F.split("text", " ")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("k", "w"))
+    before = W.partitionBy("doc_id").orderBy("k")
+    rows = rows.withColumn("start", F.sum(F.length("w") + 1).over(before) - F.length("w") - 1).where("w <> ''")
+    cls = F.when(F.substring("w", 1, 1).between("0", "9"), 2).when(F.col("w").rlike("^[A-Za-z]"), 1).otherwise(3)
+    return rows.select("doc_id", F.col("k").cast("long").alias("k"), "start", F.length("w").cast("long").alias("len"), cls.alias("cls"))
 
 
 @query(f"WITH {_SPANS} SELECT doc_id, k, start - coalesce(lag(start + len) OVER (PARTITION BY doc_id ORDER BY start), 0) AS gap, start AS again FROM sp")
 def span_delta(spark, sf_dir):
-    """Gaps, and the starts that they give back."""
-    deltas = textgrid.span_deltas(_demo_spans(spark, sf_dir)).select("doc_id", "k", "gap", "len")
+    """Gaps between the words of every text, and the starts that they give back."""
+    deltas = textgrid.span_deltas(_word_spans(spark, sf_dir)).select("doc_id", "k", "gap", "len")
     return textgrid.span_starts(deltas, "k").select("doc_id", "k", "gap", F.col("start").alias("again"))
 
 
-@query(f"WITH {_SPANS}, off AS (SELECT doc_id, unnest(range(0, 50)) * 8 AS off FROM documents) SELECT o.doc_id, o.off, coalesce(s.cls, 0) AS cls FROM off o LEFT JOIN sp s ON o.doc_id = s.doc_id AND o.off >= s.start AND o.off < s.start + s.len")
+@query(f"WITH {_SPANS}, off AS (SELECT doc_id, unnest(range(0, length(text), 7)) AS off FROM documents) SELECT o.doc_id, o.off, coalesce(s.cls, 0) AS cls FROM off o LEFT JOIN sp s ON o.doc_id = s.doc_id AND o.off >= s.start AND o.off < s.start + s.len")
 def token_class_lookup(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    offsets = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("k")).select("doc_id", (F.col("k") * 8).cast("long").alias("off"))
-    return textgrid.classed_at(offsets, _demo_spans(spark, sf_dir))
+    """The class at every seventh character of every text."""
+    docs = _table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    offsets = docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.length("text").cast("long") - 1, F.lit(7).cast("long"))).alias("off"))
+    return textgrid.classed_at(offsets, _word_spans(spark, sf_dir))
 
 
-@query("SELECT l.doc_id, line, first FROM (SELECT doc_id, unnest(range(0, 40)) * 50 + doc_id % 50 AS line FROM documents) l, (SELECT greatest(k * 512 - 256, 0) AS first FROM range(0, 20) r(k)) w WHERE line >= first AND line < first + 1024")
+@query("SELECT l.doc_id, line, first FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents) l, (SELECT greatest(k * 512 - 256, 0) AS first FROM range(0, 400) r(k)) w WHERE line >= first AND line < first + 1024")
 def line_windows(spark, sf_dir):
-    lines = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k")).select("doc_id", (F.col("k") * 50 + F.col("doc_id") % 50).alias("line"))
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).select("doc_id", F.col("line").cast("long").alias("line"))
     return textgrid.windows_of_lines(lines)
 
 
@@ -393,23 +419,24 @@ def line_windows(spark, sf_dir):
 
 @query()
 def symbols_count(spark, sf_dir):
-    return extract.symbols(_files(spark, sf_dir, t.MAX_FILE_BYTES)).groupBy("repo_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return extract.symbols(_files(spark, sf_dir)).groupBy("repo_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def imports_count(spark, sf_dir):
-    return extract.imports(_files(spark, sf_dir, t.MAX_FILE_BYTES)).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("module").alias("modules"))
+    return extract.imports(_files(spark, sf_dir)).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("module").alias("modules"))
 
 
 @query()
 def token_histogram(spark, sf_dir):
-    return extract.one_per_start(extract.spans(_files(spark, sf_dir, t.MAX_FILE_BYTES))).groupBy("repo_id", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("bytes"))
+    return extract.one_per_start(extract.spans(_files(spark, sf_dir))).groupBy("repo_id", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("bytes"))
 
 
 @query()
 def index_summary(spark, sf_dir):
-    files = staged(_files(spark, sf_dir, t.MAX_FILE_BYTES))
-    return profile.index_summary(files, extract.symbols(files), extract.imports(files), classify.excluded_paths(_classified(spark, sf_dir, t.MAX_FILE_BYTES)))
+    every = staged(_classified(spark, sf_dir))
+    files = classify.kept_files(every)
+    return profile.index_summary(files, extract.symbols(files), extract.imports(files), classify.excluded_paths(every))
 
 
 # sources
@@ -472,11 +499,14 @@ def active_job_dedupe(spark, sf_dir):
     return catalog.enqueue(asked, _jobs(spark, sf_dir))
 
 
-@query("WITH o AS (SELECT url AS source, page_id AS id, 'old' AS state FROM pages WHERE page_id % 2 = 0), n AS (SELECT url AS source, page_id + 1000000 AS id, 'new' AS state FROM pages WHERE page_id % 3 = 0) SELECT * FROM o UNION ALL SELECT * FROM n WHERE source NOT IN (SELECT source FROM o)")
+@query(r"""WITH p AS (SELECT page_id, starts_with(url, 'https:') AS safe, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1) AS source FROM pages),
+o AS (SELECT source, min(page_id) AS id, 'old' AS state FROM p WHERE safe GROUP BY source), n AS (SELECT source, min(page_id) + 1000000 AS id, 'new' AS state FROM p WHERE NOT safe GROUP BY source)
+SELECT * FROM o UNION ALL SELECT * FROM n WHERE source NOT IN (SELECT source FROM o)""")
 def repo_upsert(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages")
-    old = pages.where("page_id % 2 = 0").select(F.col("url").alias("source"), F.col("page_id").alias("id"), F.lit("old").alias("state"))
-    new = pages.where("page_id % 3 = 0").select(F.col("url").alias("source"), (F.col("page_id") + 1_000_000).alias("id"), F.lit("new").alias("state"))
+    """Hosts of https pages are there already; those of all other pages come in."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.startswith("url", F.lit("https:")).alias("safe"), F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1).alias("source"))
+    old = pages.where("safe").groupBy("source").agg(F.min("page_id").alias("id"), F.lit("old").alias("state"))
+    new = pages.where("not safe").select("source", (F.col("page_id") + 1_000_000).alias("id"), F.lit("new").alias("state"))
     return catalog.upsert(old, new, "source")
 
 
@@ -526,16 +556,18 @@ def changed_files(spark, sf_dir):
 @query("WITH " + ZOOMS.split("WITH ", 1)[1] + """, e AS (SELECT a.repo_id, a.path AS src_path, b.path AS dst_path FROM files a JOIN files b ON a.repo_id = b.repo_id AND b.file_id = a.file_id + 7),
 s AS (SELECT e.repo_id, e.src_path, e.dst_path, c.z, c.id FROM e JOIN cut c ON e.repo_id = c.repo_id AND (e.src_path = c.path OR starts_with(e.src_path, c.path || '/'))),
 d AS (SELECT e.repo_id, e.src_path, e.dst_path, c.z, c.id FROM e JOIN cut c ON e.repo_id = c.repo_id AND (e.dst_path = c.path OR starts_with(e.dst_path, c.path || '/')))
-SELECT s.repo_id, s.z::int AS z, s.id AS src_id, d.id AS dst_id, count(*) AS n FROM s JOIN d USING (repo_id, src_path, dst_path, z) WHERE s.id <> d.id GROUP BY ALL""")
+SELECT s.repo_id, s.z::int AS z, s.id AS src_id, d.id AS dst_id, sum(length(src_path) % 3 + 1)::bigint AS n FROM s JOIN d USING (repo_id, src_path, dst_path, z) WHERE s.id <> d.id GROUP BY ALL""")
 def bundled_edges(spark, sf_dir):
     """Edges from each file to the seventh after it, summed between the nodes that are drawn at each zoom."""
     files = _indexed(spark, sf_dir)
     dst = files.select("repo_id", (F.col("file_id") - 7).alias("file_id"), F.col("path").alias("dst_path"))
     edges = files.join(dst, ["repo_id", "file_id"]).select("repo_id", F.col("path").alias("src_path"), "dst_path")
-    return evolution.bundle_edges(edges, tree.visible_cut(_zoomed(spark, sf_dir)))
+    # each edge comes once to three times
+    edges = edges.select("*", F.explode(F.sequence(F.lit(1), (F.length("src_path") % 3 + 1).cast("int")))).drop("col")
+    return evolution.bundle_edges(edges, tree.visible_cut(_zoomed(spark, sf_dir, files)))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directory sums with each directory's dominant language."""
-    files = staged(_files(spark, sf_dir, t.MAX_FILE_BYTES).select("repo_id", "path", "language", "lines", "bytes"))
+    files = staged(_files(spark, sf_dir).select("repo_id", "path", "language", "lines", "bytes"))
     return tree.dir_rollup(files).join(tree.dominant_language(files), ["repo_id", "dir"])
