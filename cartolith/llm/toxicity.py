@@ -16,8 +16,9 @@ from cartolith.llm.common import held_out, materialise, pieces, shingle_sets, ta
 LEARN_TOXIC, LEARN_CLEAN = 3000, 6000
 #: Landmarks: words, and pairs of words that toxic sentences have beyond chance, and plain words that look like them.
 LANDMARKS, PAIR_LANDMARKS, PLAIN_LANDMARKS = 256, 64, 128
-#: Sentences of a labelled document that are learned from at most, the letters of a word that may become a landmark.
-SENTENCES, WORD_LETTERS = 8, 64
+#: Sentences of a labelled document, and of all clean ones the most toxic ones, that are learned from at most; the letters
+#: of a word that may become a landmark.
+SENTENCES, CLEAN_SENTENCES, WORD_LETTERS = 8, 12_000, 64
 #: Words that a task remembers at most.
 CACHE_WORDS = 600_000
 DECAY, GAPS = 0.6, (1, 2, 3)
@@ -93,9 +94,14 @@ class Kernel:
         self.table = np.zeros((len(self.keys), len(landmarks)))
         np.add.at(self.table, (back, at), w)
         self.table /= np.maximum(exact_norms(landmarks), 1e-12)
-        self.bound = self.table.max(1)
+        self.look_for(np.ones(len(landmarks), bool))
+
+    def look_for(self, wanted: np.ndarray) -> None:
+        """From now on near() gives the items that are similar to one of these landmarks."""
+        self.wanted = wanted
+        self.bound = self.table[:, wanted].max(1, initial=0.0)
         self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[self.keys % 1_048_573] = True
+        self.maybe[self.keys[self.bound > 0] % 1_048_573] = True
 
     def __call__(self, items: list[str]) -> np.ndarray:
         out = np.zeros((len(items), self.table.shape[1]))
@@ -112,9 +118,9 @@ class Kernel:
         return np.where(out >= NEAR, out, 0.0) ** POWER
 
     def near(self, items: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        """The landmarks that each item is similar to, and how much; items without any are left out.
+        """The landmarks that each item is similar to, and how much; items without any that is looked for are left out.
 
-        An item's similarity to any landmark is at most the sum of its subsequences' largest weights over its least
+        An item's similarity to any of those is at most the sum of its subsequences' largest weights over its least
         possible norm, so items for which that is less than NEAR needn't be compared.
         """
         at, keys, w = subsequences(items)
@@ -125,12 +131,12 @@ class Kernel:
         low = np.sqrt(np.bincount(at, w * w, len(items)))
         close = [items[k] for k in np.flatnonzero(top >= NEAR * np.maximum(low, 1e-12) * (1 - 1e-9))]
         values = self(close)
-        return {close[r]: (c, values[r, c]) for r in np.flatnonzero(values.any(1)) for c in [np.flatnonzero(values[r])]}
+        return {close[r]: (c, values[r, c]) for r in np.flatnonzero(values[:, self.wanted].any(1)) for c in [np.flatnonzero(values[r])]}
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 600, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """A linear SVM with squared hinge loss."""
-    w, b, m, v = np.zeros(x.shape[1] + 1), 0.0, 0.0, 0.0
+def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 600, ridge: float = 1e-4, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """A linear SVM with squared hinge loss; start: weights and bias to begin with."""
+    w, b, m, v = np.zeros(x.shape[1] + 1) if start is None else start, 0.0, 0.0, 0.0
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
     weight = weight / weight.sum()
     for t in range(1, steps + 1):
@@ -157,16 +163,41 @@ class Scorer:
         self.first, self.second = (np.array([at[p[k]] for p in pairs], np.int64) for k in (0, 1))
         self.size = len(words) + len(pairs)
         self.weights, self.bias, self.slope, self.shift = np.zeros(self.size), -1.0, 0.0, 0.0
+        self.word_weights = np.ones(len(self.names))
         self.clear()
 
     def clear(self) -> None:
         """Forget the words met; a Python worker keeps them between its tasks."""
         self.met: set[str] = set()
         self.hot: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # plain words near a landmark
-        self.marked: set[str] = set()  # words as written whose plain form is hot
+        self.gain: dict[str, float] = {}  # what they add to a sentence on their own
+        self.raising: set[str] = set()  # those that can raise a sentence
+        self.marked: set[str] = set()  # words as written whose plain form is one of those
+
+    def use(self, weights: np.ndarray, bias: float) -> None:
+        """Take these weights. Words add to a sentence if they are near a landmark with a positive weight, or one of a pair."""
+        self.weights, self.bias = weights, bias
+        self.word_weights = np.zeros(len(self.names))
+        np.add.at(self.word_weights, self.single, weights[: len(self.single)])
+        wanted = self.word_weights > 0
+        wanted[self.first] = wanted[self.second] = True
+        self.kernel.look_for(wanted)
+        self.clear()
 
-    def look_up(self, plains: set[str]) -> None:
-        self.hot |= self.kernel.near(sorted(plains))
+    def look_up(self, plains: set[str]) -> set[str]:
+        """Add what is near a landmark; those of them that can raise a sentence."""
+        near = self.kernel.near(sorted(plains))
+        self.hot |= near
+        self.gain |= (gain := {w: float(v @ self.word_weights[at]) for w, (at, v) in near.items()})
+        paired = set(self.first) | set(self.second)
+        return {w for w, g in gain.items() if g > 0 or not paired.isdisjoint(near[w][0].tolist())}
+
+    def value(self, sentence: list[str]) -> float:
+        """The sentence's decision value."""
+        total = self.bias + sum(self.gain.get(w, 0.0) for w in sentence)
+        if len(self.first) and (v := self.values(sentence)) is not None:
+            total += float(v[len(self.single) :] @ self.weights[len(self.single) :])
+        return total
 
     def values(self, sentence: list[str]) -> np.ndarray | None:
         """The sentence kernel with each landmark; None if no word is near one."""
@@ -185,7 +216,7 @@ class Scorer:
         return np.concatenate([rows.sum(0)[self.single], both])
 
     def documents(self, column: pa.Array):
-        """(row, sentence values) of all sentences with a word near a landmark."""
+        """(row, sentence) of all sentences of the texts that hold a word which can raise one."""
         data, offsets = text_buffers(column)
         for i, j in pieces(offsets) if self.size else ():
             texts = [data[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "replace") for r in range(i, j)]
@@ -196,19 +227,18 @@ class Scorer:
             self.met |= new
             fresh = {w: p for w in new if len(p := plain(w)) >= 3}
             if fresh:
-                self.look_up(set(fresh.values()) - self.hot.keys())
-                self.marked |= {w for w, p in fresh.items() if p in self.hot}
+                self.raising |= self.look_up(set(fresh.values()) - self.gain.keys())
+                self.marked |= {w for w, p in fresh.items() if p in self.raising}
             for r, (mine, text) in enumerate(zip(own, texts, strict=True), i):
                 if not mine.isdisjoint(self.marked):
                     for sentence in sentences(text):
-                        if (v := self.values(sentence)) is not None:
-                            yield r, v
+                        yield r, sentence
 
     def texts(self, column: pa.Array) -> np.ndarray:
-        """The largest decision value among each text's sentences; that of a sentence without any landmark is the bias."""
+        """The largest decision value among each text's sentences, and at least that of one without any landmark."""
         out = np.full(len(column), self.bias)
-        for r, v in self.documents(column):
-            out[r] = max(out[r], self.bias + v @ self.weights)
+        for r, sentence in self.documents(column):
+            out[r] = max(out[r], self.value(sentence))
         return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -283,8 +313,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     def values_of(batches):
         for b in batches:
             best: dict[int, list[np.ndarray]] = {}
-            for r, v in shared.value.documents(b.column(2)):
-                best.setdefault(r, []).append(v)
+            for r, sentence in shared.value.documents(b.column(2)):
+                if (v := shared.value.values(sentence)) is not None:
+                    best.setdefault(r, []).append(v)
             rows = [(r, v) for r, own in best.items() for v in sorted(own, key=lambda v: -v.sum())[:SENTENCES]]
             ids, toxic = b.column(0).to_pylist(), b.column(1).to_pylist()
             at = [np.flatnonzero(v) for _, v in rows]
@@ -296,12 +327,20 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     x = np.zeros((len(got), scorer.size))
     for r, (at, v) in enumerate(zip(got["at"], got["v"], strict=True)):
         x[r, np.asarray(at, np.int64)] = v
-    _fit(scorer, x, got["toxic"].to_numpy(), got["doc_id"].to_numpy(), insults, n)
+    _fit(scorer, x, got["toxic"].to_numpy(), got["doc_id"].to_numpy(), insults)
+    fitted = docs.sparkSession.sparkContext.broadcast(scorer)
+
+    def scored(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fitted.value.texts(b.column(1)))], ["y", "v"])
+
+    got = made.select("toxic", "text").mapInArrow(scored, "y int, v double").toArrow().to_pandas()  # a number a labelled document
+    _calibrate(scorer, got["v"].to_numpy(), got["y"].to_numpy())
     return scorer
 
 
-def _fit(scorer: Scorer, x: np.ndarray, toxic: np.ndarray, doc: np.ndarray, insults: list[str], n: dict[int, int]) -> None:
-    """Weights, bias and calibration from the sentences' kernel values; n: labelled documents of each kind."""
+def _fit(scorer: Scorer, x: np.ndarray, toxic: np.ndarray, doc: np.ndarray, insults: list[str]) -> None:
+    """Weights and bias from the sentences' kernel values."""
     words = scorer.kernel(scorer.names)
     gram = np.zeros((scorer.size, scorer.size))
     k = len(scorer.single)
@@ -313,25 +352,26 @@ def _fit(scorer: Scorer, x: np.ndarray, toxic: np.ndarray, doc: np.ndarray, insu
     gaps = [g for w in insults for g in _with_gap(w)]
     made = np.concatenate([scorer.kernel(gaps)[:, scorer.single], np.zeros((len(gaps), scorer.size - k))], 1) if gaps else np.zeros((0, scorer.size))
     clean, bags = x[toxic == 0], x[toxic == 1]
+    clean = clean[np.argsort(-clean[:, : len(insults)].sum(1), kind="stable")[:CLEAN_SENTENCES]]
     owner = doc[toxic == 1]
     begins = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
     ends = np.append(begins[1:], len(owner))
     score = bags.sum(1)
-    for _ in range(4):  # the sentence that a toxic document stands for is the most toxic one so far
+    start = None
+    for steps in (200, 200, 200, 400):  # the sentence that a toxic document stands for is the most toxic one so far
         best = np.array([b + int(score[b:e].argmax()) for b, e in zip(begins, ends, strict=True)], np.int64)
         positive = np.concatenate([bags[best], made])
         data = np.concatenate([positive, clean, np.zeros((1, scorer.size))]) @ root
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(clean) + 1)])
         weight = np.concatenate([np.ones(len(best)) / max(len(best), 1), np.full(len(made), 0.25 / max(len(made), 1)), np.full(len(clean), 0.5 / max(len(clean), 1)), [0.75]])
-        w, scorer.bias = fit_svm(data, y, weight)
-        scorer.weights = root @ w
-        score = bags @ scorer.weights
-    v = np.full(n[0] + n[1], scorer.bias)
-    y = np.concatenate([np.ones(n[1]), np.zeros(n[0])])
-    for kind, first in ((1, 0), (0, n[1])):  # each document's most toxic sentence
-        mine, value = doc[toxic == kind], scorer.bias + x[toxic == kind] @ scorer.weights
-        _, at = np.unique(mine, return_inverse=True)
-        np.maximum.at(v, first + at, value)
+        w, bias = fit_svm(data, y, weight, steps, start=start)
+        start = np.append(w, bias)
+        score = bags @ (root @ w)
+    scorer.use(root @ w, bias)
+
+
+def _calibrate(scorer: Scorer, v: np.ndarray, y: np.ndarray) -> None:
+    """Slope and shift of the score from the labelled documents' values."""
     # the cut with the fewest errors, clean documents weighing more, in the middle of its gap; a score of 0.7 lies on it
     cuts = np.quantile(v, np.linspace(0, 1, 2001))
     errors = np.array([(v[y == 1] < c).mean() + 4 * (v[y == 0] >= c).mean() for c in cuts])
