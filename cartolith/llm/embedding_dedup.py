@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 
 from cartolith.llm.common import components, materialise, table
 
-#: k-means learns from at most so many vectors, those with the smallest hashes; all vectors are then assigned.
+#: Cells grow with the root of the number of vectors, up to so many. k-means learns from LEARN_ROWS vectors, or four a cell
+#: where that is more: those with the smallest hashes; all vectors are then assigned.
+MOST_CELLS = 16_384
 LEARN_ROWS = 16_384
-MOST_CELLS = 4096
 BLOCK_ROWS = 4096
 THRESHOLD = 0.98
 
@@ -35,7 +36,7 @@ def spherical_kmeans(x: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
     x = unit(x)
     c = np.unique(x[:cells], axis=0)
     for _ in range(rounds):
-        near = (x @ c.T).argmax(1)
+        near = np.concatenate([(x[i : i + 2048] @ c.T).argmax(1) for i in range(0, len(x), 2048)])
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         norm = np.sqrt((sums * sums).sum(1, keepdims=True))
@@ -63,39 +64,44 @@ def reach(x: np.ndarray, centres: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _assign(centres, dim: int, threshold: float, names: list[str]):
+    """Each vector once for every cell that it reaches, with all of those cells: what they are is decided here alone."""
+
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             sizes = np.asarray(b.column(2).value_lengths())
-            same = np.flatnonzero(sizes == dim)
-            rows, cells = [np.flatnonzero(sizes != dim)], [np.full((sizes != dim).sum(), -1)]
+            same, other = np.flatnonzero(sizes == dim), np.flatnonzero(sizes != dim)
+            rows, cells, all_cells = [other], [np.full(len(other), -1)], [[-1]] * len(other)
             for i in range(0, len(same), 2048):
                 part = same[i : i + 2048]
                 r, c = np.nonzero(reach(unit(_matrix(b.column(2).take(pa.array(part)), dim)), centres.value, threshold))
                 rows.append(part[r])
                 cells.append(c)
+                own = np.split(c, np.flatnonzero(np.diff(r)) + 1)
+                all_cells += [x.tolist() for x in own for _ in x]
             rows, cells = np.concatenate(rows), np.concatenate(cells).astype(np.int32)
             for i in range(0, len(rows), 8192):
                 take = pa.array(rows[i : i + 8192])
-                yield pa.RecordBatch.from_arrays([c.take(take) for c in b.columns] + [pa.array(cells[i : i + 8192])], names)
+                yield pa.RecordBatch.from_arrays([c.take(take) for c in b.columns] + [pa.array(cells[i : i + 8192]), pa.array(all_cells[i : i + 8192], pa.list_(pa.int32()))], names)
 
     return run
 
 
-def _compare(centres, threshold: float):
+def _compare(threshold: float):
     """Links between the two blocks of a group: for each vector their number, and edges that connect what they connect."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         cell, bi, bj = key[1].as_py(), key[3].as_py(), key[4].as_py()
         ids, copies, block = (np.asarray(group.column(n)) for n in ("vec_id", "copies", "block"))
-        dim = key[2].as_py()
-        x = unit(_matrix(group.column("embedding"), dim))
-        own = np.full(len(x), cell)
-        dots = None
-        if cell >= 0:
-            dots = np.round(x @ centres.value.T, 9)
-            own = dots.argmax(1)
+        x = unit(_matrix(group.column("embedding"), key[2].as_py()))
+        # the smaller cells that each vector reaches: a pair that meets in one of those is counted there
+        lists = group.column("cells").combine_chunks()
+        owner, flat = np.repeat(np.arange(len(x)), np.asarray(lists.value_lengths())), np.asarray(lists.flatten())
+        owner, flat = owner[flat < cell], flat[flat < cell]
+        names, place = np.unique(flat, return_inverse=True)
+        smaller = np.zeros((len(x), len(names)), bool)
+        smaller[owner, place] = True
         left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
         count, root = np.zeros(len(x), np.int64), np.arange(len(x))
         pairs_i, pairs_j = [], []
@@ -105,11 +111,10 @@ def _compare(centres, threshold: float):
             p, q = a[p], right[q]
             if bi == bj:
                 p, q = p[p < q], q[p < q]
-            here = (own[p] == cell) & (own[q] == cell)
-            mixed = np.flatnonzero(own[p] != own[q])
-            for k in range(0, len(mixed), 1 << 14):
-                m = mixed[k : k + (1 << 14)]
-                here[m] = (dots[p[m]] + dots[q[m]]).argmax(1) == cell
+            here = np.ones(len(p), bool)
+            for k in range(0, len(p) if len(names) else 0, 1 << 14):
+                s = slice(k, k + (1 << 14))
+                here[s] = ~(smaller[p[s]] & smaller[q[s]]).any(1)
             p, q = p[here], q[here]
             np.add.at(count, p, copies[q])
             np.add.at(count, q, copies[p])
@@ -136,25 +141,28 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFr
 
     Vectors of one label link at a cosine of `threshold` or more, in double precision. Equal vectors are compared once
     and counted as often as they come. Cells are fitted on a bounded sample; every vector goes to each cell that may
-    hold the midpoint of one of its links, and a pair counts in that cell only, so no link is missed or counted twice.
-    Large cells are compared as pairs of blocks. kept is true for one vector, the smallest id, of each group.
+    hold the midpoint of one of its links, and a pair counts in the first cell that both go to, so no link is missed or
+    counted twice. Large cells are compared as pairs of blocks. kept is true for one vector, the smallest id, of each group.
 
     Null labels and vectors that are null, empty, zero or hold null or non-finite components link with nothing.
     Vectors of another length than most are compared with those of their length. Rows with one vec_id share their
-    component; extra columns are not read; an empty table gives an empty result.
+    component; rows without one link with nothing, have no component and are kept; extra columns are not read; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", "label", "embedding")
     good = rows.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    distinct = materialise(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")).select("vec_id", "label", "embedding", "copies"))
+    distinct = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    # numbers of their own, as different vectors may have one vec_id
+    known = materialise(distinct.select(F.monotonically_increasing_id().alias("vec_id"), "label", "embedding", "copies", "first_id"))
+    distinct = known.drop("first_id")
     total = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(LEARN_ROWS).select("embedding").toArrow().column(0).combine_chunks()
+    cells = int(min(MOST_CELLS, max(1, math.isqrt(total) // 4)))
+    sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(LEARN_ROWS, 4 * cells)).select("embedding").toArrow().column(0).combine_chunks()
     sizes = np.asarray(sample.value_lengths()) if len(sample) else np.zeros(0, np.int64)
     dim = int(np.bincount(sizes).argmax()) if len(sizes) else 1
     learn = _matrix(sample.take(pa.array(np.flatnonzero(sizes == dim))), dim) if len(sizes) else np.ones((1, 1))
-    cells = int(min(MOST_CELLS, max(1, math.isqrt(total) // 4)))
     centres = spark.sparkContext.broadcast(spherical_kmeans(learn, cells))  # at most MOST_CELLS rows
-    schema = T.StructType([*distinct.schema.fields, T.StructField("cell", T.IntegerType())])
+    schema = T.StructType([*distinct.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType()))])
     dealt = distinct.mapInArrow(_assign(centres, dim, threshold, schema.names), schema).withColumn("dim", F.size("embedding"))
     dealt = materialise(dealt)
     group = ["label", "cell", "dim"]
@@ -162,14 +170,15 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFr
     placed = dealt.join(blocks.hint("shuffle_hash"), group).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = placed.withColumn("other", other).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-    found = materialise(paired.groupBy(*group, "bi", "bj").applyInArrow(_compare(centres, threshold), "a long, b long, n long"))
+    found = materialise(paired.groupBy(*group, "bi", "bj").applyInArrow(_compare(threshold), "a long, b long, n long"))
     counts = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     roots = components(found.where("a <> b").select("a", "b")).withColumnRenamed("node", "rep")
-    reps = distinct.join(counts.hint("merge"), distinct["vec_id"] == counts["rep"], "left").drop("rep")
-    reps = reps.join(roots.hint("merge"), reps["vec_id"] == roots["rep"], "left")
-    reps = reps.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
+    reps = known.withColumnRenamed("vec_id", "rep").join(counts.hint("merge"), "rep", "left").join(roots.hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    smallest = reps.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    reps = reps.join(smallest.hint("merge"), "root").select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     named = rows.join(reps.hint("merge"), ["label", "embedding"], "left")
-    return named.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    there = F.col("vec_id").isNotNull()
+    return named.select("vec_id", F.when(there, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"), F.when(there, F.coalesce("component_id", "vec_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
