@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pyarrow as pa
@@ -85,6 +86,8 @@ KEYWORDS = {k: set(v.split()) for k, v in _WORDS.items()}
 _HASH = {"Python", "Ruby", "PHP"}
 CLASSES = ["Other", "Keyword", "String", "Comment", "Number", "Type", "Function", "Variable", "Operator", "Punctuation"]
 
+_CLASS = {k: i for i, k in enumerate(CLASSES)}
+
 
 def _lexer(grammar: str) -> re.Pattern:
     comment = r"#[^\n]*" if grammar in ("Python", "Ruby") else r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)" + (r"|#[^\n]*" if grammar == "PHP" else "")
@@ -94,6 +97,7 @@ def _lexer(grammar: str) -> re.Pattern:
 
 
 _lexers: dict[str, re.Pattern] = {}
+_rules: dict[str, list[tuple[str, re.Pattern]]] = {}
 
 
 def token_spans(text: str, grammar: str) -> list[tuple[int, int, int]]:
@@ -108,7 +112,7 @@ def token_spans(text: str, grammar: str) -> list[tuple[int, int, int]]:
             kind = "Keyword" if token in words else "Function" if rest[:1] == "(" else "Type" if token[0].isupper() else "Variable"
         at += len(text[last : m.start()].encode())
         last = m.start()
-        out.append((at, len(token.encode()), CLASSES.index(kind)))
+        out.append((at, len(token.encode()), _CLASS[kind]))
     return out
 
 
@@ -124,7 +128,9 @@ def symbols_of(text: str, grammar: str) -> list[tuple[str, str, int, int]]:
     A definition ends where its braces close; in Python before the next line indented no deeper, in Ruby at its end.
     Signatures without a body in Rust, and C and C++ names that are only used, are no symbols.
     """
-    rules = [(k, re.compile(p)) for k, p in SYMBOL_RULES[grammar]]
+    if grammar not in _rules:
+        _rules[grammar] = [(k, re.compile(p)) for k, p in SYMBOL_RULES[grammar]]
+    rules = _rules[grammar]
     lines = _blank(text, grammar).split("\n")
     out = []
     scopes: list[tuple[int, str, int]] = []  # (depth inside, kind, last line) of the definitions around the line
@@ -196,9 +202,10 @@ def _end_by_word(lines: list[str], n: int) -> int:
 def imports_of(text: str, grammar: str) -> list[tuple[str | None, str, int]]:
     """(callee or None, raw module, line from 1) of everything that looks like an import."""
     out = set()
+    ends = [m.start() for m in re.finditer("\n", text)]
     for pattern, callee, module in IMPORT_RULES[grammar]:
         for m in re.finditer(pattern, text):
-            out.add((m.group(callee) if callee else None, m.group(module), text.count("\n", 0, m.start(module)) + 1))
+            out.add((m.group(callee) if callee else None, m.group(module), bisect.bisect_left(ends, m.start(module)) + 1))
     return sorted(out, key=lambda x: (x[2], x[1]))
 
 
@@ -251,3 +258,8 @@ def one_per_start(rows: DataFrame) -> DataFrame:
 def source_text(files: DataFrame) -> DataFrame:
     """The text of the parsed files, as it is."""
     return files.where("parsed").select("repo_id", "path", F.col("content").cast("string").alias("content"))
+
+
+def text_with_files(text: DataFrame, files: DataFrame) -> DataFrame:
+    """The text table joined with the files it belongs to."""
+    return text.join(files.hint("merge"), ["repo_id", "path"])

@@ -59,10 +59,11 @@ corpus AS (SELECT source AS repo_id, doc_id,
 
 
 def write_index(tables: dict[str, DataFrame], root: str) -> None:
-    """One Parquet table for each of INDEX_TABLES that is given, replaced whole, parted by repository where it has one."""
+    """One Parquet table for each of INDEX_TABLES that is given, replaced whole. Rows lie in ranges of repositories, so a
+    reader of one repository skips most files, and many small repositories share one."""
     for name, df in tables.items():
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy("repo_id") if "repo_id" in df.columns and len(df.columns) > 1 else writer).parquet(f"{root}/{name}")
+        dealt = df.repartitionByRange("repo_id", *[c for c in ("path",) if c in df.columns]).sortWithinPartitions("repo_id") if "repo_id" in df.columns else df
+        dealt.write.mode("overwrite").parquet(f"{root}/{name}")
 
 
 def read_table(spark: SparkSession, root: str, name: str, schema: str | T.StructType | None = None) -> DataFrame:
@@ -75,9 +76,10 @@ def read_table(spark: SparkSession, root: str, name: str, schema: str | T.Struct
         return spark.createDataFrame([], schema)
 
 
-def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """The five columns that layouts need, in byte order of the path."""
-    return read_table(spark, root, "files").select("repo_id", "file_id", "path", "language", "bytes", "lines").orderBy("repo_id", "path")
+def read_files(spark: SparkSession, root: str, ordered: bool = False) -> DataFrame:
+    """The columns that layouts need; in byte order of the path only where that is asked for."""
+    rows = read_table(spark, root, "files").select("repo_id", "file_id", "path", "language", "bytes", "lines")
+    return rows.orderBy("repo_id", "path") if ordered else rows
 
 
 def meta_table(spark: SparkSession, values: dict[str, str]) -> DataFrame:

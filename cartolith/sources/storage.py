@@ -6,21 +6,25 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written out and read back: what several branches use is computed once, and lost executors don't bring it back.
+def new_folder(spark: SparkSession) -> str:
+    """A folder that isn't there yet, below spark.checkpoint.dir.
 
-    The folder is spark.checkpoint.dir. Where that is unset a local session gets one of its own; on a cluster, where
-    each executor would write to a disk of its own, that is an error.
+    Where that is unset a local session gets one of its own; on a cluster, where each executor would write to a disk of
+    its own, that is an error.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         root = f"{tempfile.gettempdir()}/checkpoints/{os.getpid()}"
-    path = f"{root}/cartolith-{uuid.uuid4().hex}"
+    return f"{root}/cartolith-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written out and read back: what several branches use is computed once, and lost executors don't bring it back."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
