@@ -592,3 +592,31 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert set(out.doc_id) == keys and out.groupby("sequence_id").length.sum().max() <= 4096
     assert isinstance(out, pd.DataFrame)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_pipeline_stages_on_odd_rows(spark, tmp_path, k):
+    """Null ids, texts and sources, repeated rows, clashing columns and an empty table, for each stage on its own input."""
+    import corpus_pipeline
+
+    one, two = (" ".join(f"{w}{i}" for i in range(40)) + "." for w in "ab")
+    rows = [(None, one, "en", None, 1), (None, one, "en", None, 1), (4, None, "en", "s", 0), (4, "", "de", "s", 0), (7, two, None, "t", 3), (7, two, None, "t", 3), (8, two + " x", "en", "s", 1), (9, "zwei drei", "de", None, 2)]
+    frame = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("clash")).withColumn("kept", F.lit(1)).withColumn("rank", F.lit(2)).withColumn("position", F.lit(3)).withColumn("n_links", F.lit(4))
+    frame.write.parquet(str(tmp_path / "in"))
+    name, stage = corpus_pipeline.STAGES[k]
+    got = stage(spark, spark.read.parquet(str(tmp_path / "in")), SF)
+    seen = got.collect()
+    if k < 4:
+        assert got.columns == frame.columns
+        assert all(r.kept == 1 and r.score == "clash" and r.position == 3 for r in seen)
+    ids = sorted(str(r.doc_id) for r in seen)
+    if name == "exact dedup":
+        assert ids == ["4", "7", "8", "9", "None"]
+    if name == "n-gram Jaccard join":
+        assert ids == ["4", "4", "7", "9", "None"]
+    if name == "mixing sources" or name == "best-fit packing":
+        assert ids == sorted(str(r[0]) for r in rows)
+    none = frame.limit(0)
+    none.write.parquet(str(tmp_path / "none"))
+    empty = stage(spark, spark.read.parquet(str(tmp_path / "none")), SF)
+    assert empty.count() == 0 and empty.columns == got.columns
