@@ -170,6 +170,50 @@ def test_squarify_keeps_areas(areas, w, h):
     assert all(c[0] >= -1e-9 and c[1] >= -1e-9 and c[0] + c[2] <= w * (1 + 1e-6) and c[1] + c[3] <= h * (1 + 1e-6) for c in cells)
 
 
+def by_the_book(areas, x, y, w, h):
+    """The squarified treemap as its authors state it, by recursion: fill a row while its worst ratio doesn't grow."""
+
+    def worst(row, side):
+        s = sum(row)
+        return max(max(side**2 * r / s**2, s**2 / (side**2 * r)) for r in row)
+
+    if not areas:
+        return []
+    side, row = min(w, h), [areas[0]]
+    while len(row) < len(areas) and worst([*row, areas[len(row)]], side) <= worst(row, side):
+        row.append(areas[len(row)])
+    thick = sum(row) / side
+    ends = [sum(row[:k]) / thick for k in range(len(row) + 1)]
+    if w <= h:
+        cells, rest = [(x + a, y, b - a, thick) for a, b in zip(ends, ends[1:])], (x, y + thick, w, h - thick)
+    else:
+        cells, rest = [(x, y + a, thick, b - a) for a, b in zip(ends, ends[1:])], (x + thick, y, w - thick, h)
+    return cells + by_the_book(areas[len(row) :], *rest)
+
+
+@given(st.lists(st.integers(1, 500), min_size=1, max_size=25), st.integers(1, 9), st.integers(1, 9))
+@settings(max_examples=80, deadline=None)
+def test_squarify_by_the_book(areas, w, h):
+    scale = w * h / sum(areas)
+    areas = sorted((a * scale for a in areas), reverse=True)
+    assert [tuple(round(v, 6) for v in c) for c in treemap.squarify(areas, 0, 0, w, h)] == [tuple(round(v, 6) for v in c) for c in by_the_book(areas, 0, 0, w, h)]
+
+
+def test_layout_places_every_level(layout):
+    """Each cell is where the book puts it in its parent's cell."""
+    *_, placed, _ = layout
+    rows = [r.asDict() for r in placed.collect()]
+    below: dict = {}
+    for r in rows:
+        below.setdefault(r["parent_path"], []).append(r)
+    side = math.sqrt(sum(r["weight"] for r in below[""]))
+    boxes = {"": (0.0, 0.0, side, side)} | {r["path"]: (r["x"], r["y"], r["w"], r["h"]) for r in rows}
+    for parent, kids in below.items():
+        kids = sorted(kids, key=lambda r: (-r["weight"], r["path"]))
+        for r, cell in zip(kids, by_the_book([float(r["weight"]) for r in kids], *boxes[parent]), strict=True):
+            assert all(abs(a - b) < 1e-6 for a, b in zip((r["x"], r["y"], r["w"], r["h"]), cell))
+
+
 def test_squarify_single_cell():
     assert treemap.squarify([20.0], 2, 3, 4, 5) == [(2, 3, 4.0, 5.0)]
 
@@ -242,3 +286,74 @@ def test_streams(spark, tmp_path):
     q = streams.for_each_batch(source, lambda df, _: seen.append(df.count()), str(tmp_path / "ckpt"))
     q.awaitTermination(60)
     assert sum(seen) == 3
+
+
+def test_stale_job_stream(spark, tmp_path):
+    from cartolith.operators.catalog import TIMED_OUT
+    from cartolith.streaming import jobs as streams
+
+    schema = "job_id long, repo_id long, status string, created_at timestamp"
+    first = "(1L, 1L, 'RUNNING', timestamp'2024-01-01 00:00:00'), (2L, 2L, 'RUNNING', timestamp'2024-01-01 00:00:00'), (3L, 3L, 'QUEUED', timestamp'2024-01-01 00:00:00')"
+    later = ["(2L, 2L, 'SUCCEEDED', timestamp'2024-01-01 00:30:00')", "(4L, 4L, 'QUEUED', timestamp'2024-01-01 12:00:00')", "(5L, 5L, 'QUEUED', timestamp'2024-01-01 12:00:01')", "(6L, 6L, 'QUEUED', timestamp'2024-01-01 12:00:02')"]
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        for k, rows in enumerate([first, *later]):
+            spark.sql(f"SELECT * FROM VALUES {rows} AS t(job_id, repo_id, status, created_at)").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+            q = streams.stale_jobs(source, 3600, "1 minute").writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+            assert q.awaitTermination(120) and q.exception() is None
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [(r.job_id, r.repo_id, r.error) for r in got if r.status == "FAILED"] == [(1, 1, TIMED_OUT)]
+    assert sorted(r.job_id for r in got if r.status != "FAILED") == [1, 2, 2, 3, 4, 5, 6]
+
+
+def test_intake_stream(spark, tmp_path):
+    from cartolith.streaming import jobs as streams
+
+    (tmp_path / "drop").mkdir()
+    seen: list = []
+    for k, urls in enumerate((["a", "b", "a"], ["b", "c"])):
+        (tmp_path / "drop" / f"{k}.json").write_text("\n".join(f'{{"url": "{u}", "at": "2024-01-01T00:0{k}:00Z"}}' for u in urls))
+        rows = streams.intake(spark, str(tmp_path / "drop"), "url string, at timestamp", "url", "at")
+        q = streams.for_each_batch(rows, lambda df, _: seen.extend(r.url for r in df.collect()), str(tmp_path / "ckpt"))
+        assert q.awaitTermination(120) and q.exception() is None
+    assert sorted(seen) == ["a", "b", "c"]
+
+
+def test_listing_and_database(spark, tmp_path):
+    (tmp_path / "repo" / "x").mkdir(parents=True)
+    (tmp_path / "repo" / "x" / "b.txt").write_text("four")
+    (tmp_path / "repo" / "a.txt").write_text("sixsix")
+    (tmp_path / "repo" / "link.txt").symlink_to(tmp_path / "repo" / "a.txt")
+    rows = corpus.listing(spark, str(tmp_path / "repo"))
+    paths = [r.path for r in rows.collect()]
+    assert paths == sorted(paths) and {"a.txt", "b.txt"} <= {p.rsplit("/", 1)[1] for p in paths}
+    assert corpus.total_size(rows.where("path not like '%link%'")).first().bytes == 10
+    url = f"jdbc:derby:{tmp_path / 'catalog'};create=true"
+    jobs = spark.sql("SELECT 1L AS job_id, 'QUEUED' AS status UNION ALL SELECT 2L, 'FAILED'")
+    corpus.write_jdbc(jobs, url, "jobs")
+    assert sorted(tuple(r) for r in corpus.read_jdbc(spark, url, "jobs").collect()) == [(1, "QUEUED"), (2, "FAILED")]
+
+
+def test_versions_and_formats(spark):
+    rank = [r[0] for r in spark.createDataFrame([(v,) for v in ("1.10", "1.2.0-rc1", "1.2.0", "1.2.0-alpha", "1.9.3", "1.2.1")], "v string").orderBy(evolution.version_key(F.col("v"))).collect()]
+    assert rank == ["1.2.0-alpha", "1.2.0-rc1", "1.2.0", "1.2.1", "1.9.3", "1.10"]
+    with pytest.raises(Exception, match="format version 1"):
+        pyramid.read_manifest(spark.createDataFrame([("r", '{"formatVersion": 1}')], "repo_id string, manifest string")).select("m.formatVersion").collect()
+    edges = spark.createDataFrame([("r", "a/x", "b/y")] * 2 + [("r", "a/z", "b/y")], "repo_id string, src_path string, dst_path string")
+    cut = spark.createDataFrame([("r", 0, 1, "a"), ("r", 0, 2, "b")], "repo_id string, z int, id long, path string")
+    assert [tuple(r) for r in evolution.bundle_edges(edges, cut).collect()] == [("r", 0, 1, 2, 3)]
+
+
+def test_adding_a_layer_leaves_geometry(spark, layout, tmp_path):
+    files, nodes, _, _, tiled = layout
+    frames = pyramid.build_tileset(files)
+    frames.write(str(tmp_path / "set"))
+    before = checks.fingerprint(corpus.read_table(spark, str(tmp_path / "set"), "tiles")).collect()
+    more = frames.layers.where("layer = 'lines'").withColumn("layer", F.lit("churn"))
+    more.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer", "z").parquet(str(tmp_path / "set" / "layers"))
+    again = pyramid.TileSetFrames.open(spark, str(tmp_path / "set"))
+    assert {r.layer for r in again.layers.select("layer").distinct().collect()} == {"churn", "language", "lines"}
+    assert checks.fingerprint(again.tiles).collect() == before
