@@ -16,5 +16,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_ngram_jaccard_join": jaccard_join.SQL,
+    "op2_embedding_dedup": embedding_dedup.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
+    "op9_sharding": sharding.SQL,
 }

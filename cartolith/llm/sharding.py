@@ -58,11 +58,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH r AS (SELECT doc_id, source, coalesce(strlen(text), 0) + 1 AS size, coalesce(text, '') AS t,
+WITH crcs AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS table_),
+bytes AS (SELECT doc_id, source, coalesce(text, '') AS t, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint) AS b FROM documents),
+r AS (SELECT doc_id, source, strlen(t) + 1 AS size, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(table_[(xor(c, x) & 255) + 1], c >> 8)), 4294967295::bigint) AS text_crc32,
   row_number() OVER (PARTITION BY source ORDER BY md5('7:' || coalesce(doc_id::varchar, 'null')), doc_id) - 1 AS rank,
-  count(*) OVER (PARTITION BY source) AS n FROM documents),
+  count(*) OVER (PARTITION BY source) AS n FROM bytes, crcs),
 g AS (SELECT *, row_number() OVER (ORDER BY (rank + 0.5::double) / n, source, rank) - 1 AS g, count(*) OVER () AS total FROM r),
 s AS (SELECT *, (g * 16) // total AS shard FROM g)
-SELECT doc_id, size, law, shard::int AS shard, g - (shard * total + 15) // 16 AS slot, NULL::int AS grown_shard, source
-FROM (SELECT *, 'rows' AS law FROM s)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::int AS shard, g - (shard * total + 15) // 16 AS slot, NULL::int AS grown_shard, source FROM s
 """
