@@ -24,6 +24,8 @@ CACHE_WORDS = 600_000
 DECAY, GAPS = 0.6, (1, 2, 3)
 #: The word kernel is this power of the similarity, and none below a similarity of NEAR.
 POWER, NEAR = 4, 0.45
+#: Words that add less than this to a sentence, about a sixth of what an insult adds, add nothing.
+LEAST_GAIN = 0.3
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _OTHER = re.compile(r"[^\w]|[\d_]")
 _SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
@@ -85,6 +87,16 @@ def exact_norms(items: list[str]) -> np.ndarray:
     return np.sqrt(np.bincount(u >> 30, total * total, len(items)))
 
 
+class _Sparse:
+    """A table's entries row by row: a subsequence is part of few landmarks."""
+
+    def __init__(self, table: np.ndarray):
+        self.width = table.shape[1]
+        row, self.column = np.nonzero(table)
+        self.value = table[row, self.column]
+        self.ends = np.searchsorted(row, np.arange(len(table) + 1))
+
+
 class Kernel:
     """The word kernel with fixed landmarks, as a table from subsequences to landmarks."""
 
@@ -94,28 +106,34 @@ class Kernel:
         self.table = np.zeros((len(self.keys), len(landmarks)))
         np.add.at(self.table, (back, at), w)
         self.table /= np.maximum(exact_norms(landmarks), 1e-12)
+        self.whole = _Sparse(self.table)
         self.look_for(np.ones(len(landmarks), bool))
 
     def look_for(self, wanted: np.ndarray) -> None:
         """From now on near() gives the items that are similar to one of these landmarks."""
         self.wanted = wanted
+        self.narrow = _Sparse(self.table[:, wanted])
         self.bound = self.table[:, wanted].max(1, initial=0.0)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.keys[self.bound > 0] % 1_048_573] = True
 
     def __call__(self, items: list[str]) -> np.ndarray:
-        out = np.zeros((len(items), self.table.shape[1]))
-        for s in range(0, len(items), 512):
-            part = items[s : s + 512]
+        out = self.similarity(items, self.whole)
+        return np.where(out >= NEAR, out, 0.0) ** POWER
+
+    def similarity(self, items: list[str], table: _Sparse) -> np.ndarray:
+        out = np.zeros((len(items), table.width))
+        for s in range(0, len(items), 2048):
+            part = items[s : s + 2048]
             at, keys, w = subsequences(part)
             i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             hit = np.flatnonzero(self.keys[i] == keys)
-            hit = hit[np.argsort(at[hit], kind="stable")]
-            if len(hit):
-                begins = np.flatnonzero(np.concatenate(([True], at[hit][1:] != at[hit][:-1])))
-                out[s + at[hit][begins]] = np.add.reduceat(self.table[i[hit]] * w[hit, None], begins)
-            out[s : s + 512] /= np.maximum(exact_norms(part), 1e-12)[:, None]
-        return np.where(out >= NEAR, out, 0.0) ** POWER
+            row, n = i[hit], table.ends[i[hit] + 1] - table.ends[i[hit]]
+            where = np.arange(int(n.sum())) + np.repeat(table.ends[row] - (np.cumsum(n) - n), n)
+            spot = np.repeat(at[hit], n) * table.width + table.column[where]
+            total = np.bincount(spot, np.repeat(w[hit], n) * table.value[where], len(part) * table.width)
+            out[s : s + 2048] = total.reshape(len(part), -1) / np.maximum(exact_norms(part), 1e-12)[:, None]
+        return out
 
     def near(self, items: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         """The landmarks that each item is similar to, and how much; items without any that is looked for are left out.
@@ -130,6 +148,7 @@ class Kernel:
         top = np.bincount(at[hit[ok]], self.bound[i[ok]] * w[hit[ok]], len(items))
         low = np.sqrt(np.bincount(at, w * w, len(items)))
         close = [items[k] for k in np.flatnonzero(top >= NEAR * np.maximum(low, 1e-12) * (1 - 1e-9))]
+        close = [close[k] for k in np.flatnonzero((self.similarity(close, self.narrow) >= NEAR * (1 - 1e-9)).any(1))]
         values = self(close)
         return {close[r]: (c, values[r, c]) for r in np.flatnonzero(values[:, self.wanted].any(1)) for c in [np.flatnonzero(values[r])]}
 
@@ -188,7 +207,8 @@ class Scorer:
         """Add what is near a landmark; those of them that can raise a sentence."""
         near = self.kernel.near(sorted(plains))
         self.hot |= near
-        self.gain |= (gain := {w: float(v @ self.word_weights[at]) for w, (at, v) in near.items()})
+        gain = {w: float(v @ self.word_weights[at]) for w, (at, v) in near.items()}
+        self.gain |= (gain := {w: g if abs(g) >= LEAST_GAIN else 0.0 for w, g in gain.items()})
         paired = set(self.first) | set(self.second)
         return {w for w, g in gain.items() if g > 0 or not paired.isdisjoint(near[w][0].tolist())}
 
@@ -367,7 +387,10 @@ def _fit(scorer: Scorer, x: np.ndarray, toxic: np.ndarray, doc: np.ndarray, insu
         w, bias = fit_svm(data, y, weight, steps, start=start)
         start = np.append(w, bias)
         score = bags @ (root @ w)
-    scorer.use(root @ w, bias)
+    weights = root @ w
+    own = len(insults) + len(insults[:64])
+    weights[own:k] = np.minimum(weights[own:k], 0)  # plain landmarks only take away
+    scorer.use(weights, bias)
 
 
 def _calibrate(scorer: Scorer, v: np.ndarray, y: np.ndarray) -> None:
