@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from cartolith.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, packing, quality, secrets, sharding, source_mix, toxicity
+from cartolith.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, merkle, packing, quality, secrets, sharding, source_mix, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_sharding": sharding.op9_sharding,
     "op10_packing": packing.op10_packing,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -20,4 +21,5 @@ ORACLE_SQL = {
     "op2_embedding_dedup": embedding_dedup.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op9_sharding": sharding.SQL,
+    "op12_merkle_manifest": merkle.SQL,
 }
