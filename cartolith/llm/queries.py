@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from cartolith.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, merkle, packing, quality, secrets, sharding, source_mix, toxicity
+from cartolith.llm import embedding_dedup, exact_dedup, fingerprints, jaccard_join, language_id, merkle, packing, phrases, quality, secrets, sharding, source_mix, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
@@ -13,7 +13,9 @@ QUERIES = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_sharding": sharding.op9_sharding,
     "op10_packing": packing.op10_packing,
+    "op11_phrases": phrases.op11_phrases,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_fingerprints": fingerprints.op13_fingerprints,
 }
 
 ORACLE_SQL = {
@@ -21,5 +23,7 @@ ORACLE_SQL = {
     "op2_embedding_dedup": embedding_dedup.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op9_sharding": sharding.SQL,
+    "op11_phrases": phrases.SQL,
     "op12_merkle_manifest": merkle.SQL,
+    "op13_fingerprints": fingerprints.SQL,
 }
