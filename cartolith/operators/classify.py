@@ -14,14 +14,18 @@ def classify(files: DataFrame, include_vendored: bool = False, max_bytes: int =
 
     outcome is `pruned` (below an excluded directory, excluded_path names it), `excluded` (a lockfile, minified or
     generated file) or `file`; reason says which rule. Rules in order: directory, name, size, binary, header.
-    Oversize and binary files are kept with 0 lines. `include_vendored` turns the exclusion rules off. The text form of
+    Oversize and binary files are kept with 0 lines; one may be both. Where content is null (sources/folder.py doesn't
+    hold larger files) bytes, hash and has_nul of the source count. `include_vendored` turns the exclusion rules off. The text form of
     content is used when it is a string. All of it is one narrow projection: nothing is shuffled.
     """
     binary = dict(files.dtypes)["content"] == "binary"
     raw = F.col("content") if binary else F.col("content").cast("binary")
     text = c.latin1(raw) if binary else F.col("content")
-    rows = files.withColumn("bytes", F.octet_length("content").cast("long"))
-    rows = rows.withColumn("is_oversize", F.col("bytes") > max_bytes).withColumn("is_binary", ~F.col("is_oversize") & (c.is_binary(raw) if binary else F.contains(F.substring("content", 1, t.SNIFF_BYTES), F.lit("\0"))))
+    given = lambda name, kind: F.col(name) if name in files.columns else F.lit(None).cast(kind)
+    size = F.coalesce(F.octet_length("content").cast("long"), given("bytes", "long"))
+    nul = c.is_binary(raw) if binary else F.contains(F.substring("content", 1, t.SNIFF_BYTES), F.lit("\0"))
+    digest = F.coalesce(F.sha2(raw, 256), given("hash", "string"))
+    rows = files.withColumns({"is_binary": F.coalesce(nul, given("has_nul", "boolean"), F.lit(False)), "hash": digest, "bytes": size}).withColumn("is_oversize", F.col("bytes") > max_bytes)
     rows = rows.withColumn("language", c.language(F.col("path"))).withColumn("grammar", c.grammar(F.col("language"), F.col("path")))
     rules = F.lit(not include_vendored)
     pruned, named = c.excluded_dir(F.col("path")), c.excluded_name(F.col("path"))
@@ -38,8 +42,7 @@ def classify(files: DataFrame, include_vendored: bool = False, max_bytes: int =
     return rows.withColumn("outcome", outcome).withColumns(
         {
             "lines": F.when(plain, c.count_lines(text)).otherwise(F.lit(0).cast("long")),
-            "hash": F.sha2(raw, 256),
-            "parsed": plain & F.col("grammar").isNotNull() & valid,
+            "parsed": plain & F.col("grammar").isNotNull() & F.coalesce(valid, F.lit(False)),
         }
     )
 
@@ -53,36 +56,3 @@ def excluded_paths(classified: DataFrame) -> DataFrame:
     files = classified.where("outcome = 'excluded'").select("repo_id", "path", "reason")
     dirs = classified.where("outcome = 'pruned'").select("repo_id", F.col("excluded_path").alias("path"), "reason")
     return files.unionByName(dirs).distinct()
-
-
-def ignore_rules(files: DataFrame) -> DataFrame:
-    """The rules of the corpus's .gitignore and .git/info/exclude files: repo_id, base, rule_no, negated, only_dirs, regex."""
-    name = c.file_name(F.col("path"))
-    src = files.where((name == ".gitignore") | F.endswith("path", F.lit(".git/info/exclude"))).select("repo_id", F.regexp_replace("path", r"(\.git/info/exclude|\.gitignore)$", "").alias("base"), F.posexplode(F.split(F.col("content").cast("string"), "\r?\n")).alias("rule_no", "line"))
-    line = F.regexp_replace("line", r"(?<!\\)\s+$", "")
-    rules = src.withColumn("line", line).where((F.col("line") != "") & ~F.startswith("line", F.lit("#")))
-    rules = rules.withColumn("negated", F.startswith("line", F.lit("!"))).withColumn("line", F.regexp_replace("line", r"^!|^\\(?=[!#])", ""))
-    rules = rules.withColumn("only_dirs", F.endswith("line", F.lit("/"))).withColumn("line", F.regexp_replace("line", "/$", ""))
-    anchored = F.contains("line", F.lit("/"))
-    rx = F.regexp_replace(F.regexp_replace("line", "^/", ""), r"([.+^$(){}|\\])", r"\\$1")
-    rx = F.regexp_replace(rx, r"\*\*/", "\u0001")
-    rx = F.regexp_replace(rx, r"/\*\*$", "\u0002")
-    rx = F.regexp_replace(F.regexp_replace(rx, r"\*+", "[^/]*"), r"\?", "[^/]")
-    rx = F.regexp_replace(F.regexp_replace(rx, "\u0001", "(?:.*/)?"), "\u0002", "/.*")
-    return rules.select("repo_id", "base", "rule_no", "negated", "only_dirs", F.concat(F.when(anchored, F.lit("^")).otherwise(F.lit("^(?:.*/)?")), rx, F.lit("$")).alias("regex"))
-
-
-def drop_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """files without the ignored ones: for a path and each directory above it the last matching rule decides, deepest
-    base first; a file below an ignored directory stays ignored whatever its own rules say."""
-    p = c.parts(F.col("path"))
-    levels = F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.struct(F.array_join(F.slice(p, F.lit(1), i), "/").alias("at"), (i < F.size(p)).alias("is_dir")))
-    each = files.select("repo_id", "path", F.explode(levels).alias("l")).select("repo_id", "path", "l.at", "l.is_dir")
-    # a rule meets the paths below its own folder only, each once
-    q = c.parts(F.col("at"))
-    bases = F.transform(F.sequence(F.lit(0), F.size(q) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(q, F.lit(1), i), "/"), F.lit("/"))))
-    asked = each.select("repo_id", "at", "is_dir").distinct().select("repo_id", "at", "is_dir", F.explode(bases).alias("base"))
-    hit = asked.join(rules.hint("merge"), ["repo_id", "base"]).where((F.col("is_dir") | ~F.col("only_dirs")) & F.expr("rlike(substring(at, length(base) + 1), regex)"))
-    last = hit.groupBy("repo_id", "at", "is_dir").agg(F.max_by("negated", F.struct(F.length("base"), "rule_no")).alias("negated")).where("not negated")
-    ignored = each.join(last.select("repo_id", "at", "is_dir").hint("merge"), ["repo_id", "at", "is_dir"], "left_semi").select("repo_id", "path").distinct()
-    return files.join(ignored.hint("merge"), ["repo_id", "path"], "left_anti")

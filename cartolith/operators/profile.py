@@ -13,7 +13,7 @@ def scan_flags(classified: DataFrame) -> DataFrame:
     return classified.agg(
         F.count_if(plain).alias("files"), F.coalesce(F.sum(F.when(plain, F.col("lines"))), F.lit(0)).alias("lines"),
         F.coalesce(F.sum(F.when(plain, F.col("bytes"))), F.lit(0)).alias("bytes"),
-        F.count_if("is_binary").alias("skipped_binary"), F.count_if("is_oversize").alias("skipped_oversize"),
+        F.count_if(F.col("is_binary") & ~F.col("is_oversize")).alias("skipped_binary"), F.count_if("is_oversize").alias("skipped_oversize"),
     )
 
 

@@ -7,26 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartolith.functions import columns as c
+from cartolith.sources.folder import listing, scan_folder, total_size  # noqa: F401
 
 INDEX_TABLES = ("files", "symbols", "imports", "text", "excluded", "meta", "edges")
 EDGES = "repo_id string, src_file_id long, dst_file_id long, kind string, confidence string"
 SCHEMA_VERSION = "2"
 
 
-def scan_folder(spark: SparkSession, root: str, repo_id: str, content: bool = True) -> DataFrame:
-    """repo_id, path (relative, with slashes), bytes and content of all regular files below root; .git is left out.
-
-    Spark's readers skip names that begin with . or _; a corpus that is a table keeps them. The reader prunes what isn't
-    selected: without content only names and sizes are listed.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
-    path = F.substring(F.col("path"), F.instr("path", base) + F.lit(len(base)), F.lit(1 << 20))
-    out = files.select(F.lit(repo_id).alias("repo_id"), c.slashes(path).alias("path"), F.col("length").alias("bytes"), *([F.col("content")] if content else []))
-    return out.where(~F.array_contains(F.split("path", "/"), ".git"))
-
-
 #: How `documents` become files: see corpus_files.
 DIRS = ["core", "lib", "web", "tools", "docs", "vendor", "core-ext", "node_modules", "src"]
 EXTENSIONS = [".rs", ".py", ".ts", ".tsx", ".go", ".c", ".java", ".md", ".min.js", ".JSON", "", ".zig"]
@@ -86,15 +73,6 @@ def meta_table(spark: SparkSession, values: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(sorted((values | {"schema_version": SCHEMA_VERSION}).items()), "key string, value string")
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path and length of the regular files below root, sorted; contents aren't read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length").orderBy("path")
-
-
-def total_size(files: DataFrame) -> DataFrame:
-    return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
-
-
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str] | None = None) -> None:
     """A catalog table in a database."""
     df.write.mode("overwrite").jdbc(url, table, properties=properties or {})
