@@ -5,12 +5,16 @@ from __future__ import annotations
 import bisect
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-_ID = r"[A-Za-z_$][\w$]*"
+from cartolith.operators import lexer
+from cartolith.operators.lexer import CLASSES  # noqa: F401
+
+_ID = r"(?:[^\W\d]|\$)[\w$]*"
 _MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|partial|async|virtual|override|readonly|unsafe|synchronized|native|default|extern)\s+)*"
 _TYPE = r"[\w<>\[\],.?:*&\s]+?[\s*&]+"
 _NOT = r"(?!(?:if|for|while|switch|catch|return|else|do|new|throw|using|lock|foreach|await|function|delete|sizeof|typeof)\b)"
@@ -77,184 +81,285 @@ IMPORT_RULES: dict[str, list[tuple[str, int, int]]] = {
 # Fixed values.
 CALLEES = {"JavaScript": ["require"], "TypeScript": ["require"], "TSX": ["require"], "Ruby": ["require", "require_relative", "load"]}
 
-_WORDS = {
-    "Python": "and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield True False None",
-    "Ruby": "alias and begin break case class def do else elsif end ensure false for if in module next nil not or redo rescue retry return self super then true undef unless until when while yield",
-    "": "abstract as async await break case catch class const continue default defer delete do else enum export extends extern false final finally fn for from func function go goto if impl implements import in instanceof interface internal let loop match mod module move mut namespace new nil null package private protected pub public readonly ref return select self static struct super switch template this throw throws trait true try type typedef typeof union unsafe use using var virtual void volatile where while yield",
-}
-KEYWORDS = {k: set(v.split()) for k, v in _WORDS.items()}
-_HASH = {"Python", "Ruby", "PHP"}
-CLASSES = ["Other", "Keyword", "String", "Comment", "Number", "Type", "Function", "Variable", "Operator", "Punctuation"]
+#: Definitions that hold methods, and those that a body makes: without one the words only name them.
+_HOLDERS = ("class", "interface", "enum", "struct", "trait")
+_NEED_BODY = {"Rust": ("function",), "C": ("function", "method", "struct", "enum", "class"), "C++": ("function", "method", "struct", "enum", "class")}
+_METHODS_INSIDE = ("JavaScript", "TypeScript", "TSX", "Java", "C#")
+_STRUCTURE = re.compile(r"[(){}\[\];]")
+_PLAIN = {"}", "{", "};", "})", "});", ")", ");", "],", "},"}
+_BEGINS = re.compile(r"^\s*(?:(?:private|public|protected|module_function)\s+)?(def|class|module|if|unless|while|until|case|begin|for)\b")
+_ENDLESS = re.compile(r"^\s*(?:\w+\s+)?def\s+[\w.?!]+(?:\s*\([^()]*\))?\s*=(?![=~>])")
 
-_CLASS = {k: i for i, k in enumerate(CLASSES)}
+_rules: dict[str, tuple[re.Pattern, dict[int, tuple[str, int]]]] = {}
 
 
-def _lexer(grammar: str) -> re.Pattern:
-    comment = r"#[^\n]*" if grammar in ("Python", "Ruby") else r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)" + (r"|#[^\n]*" if grammar == "PHP" else "")
-    long_string = r"[rbfu]{0,2}(?:\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z))|" if grammar == "Python" else r"`(?:\\.|[^`\\])*(?:`|\Z)|" if grammar in ("JavaScript", "TypeScript", "TSX", "Go") else ""
-    single = r"'(?:\\.|[^'\\\n])'" if grammar in ("Rust", "C", "C++", "Java", "C#", "Go") else r"'(?:\\.|[^'\\\n])*'"
-    return re.compile(rf"(?P<Comment>{comment})|(?P<String>{long_string}\"(?:\\.|[^\"\\\n])*\"|{single})|(?P<Number>\b\d[\w.]*)|(?P<Word>[^\W\d][\w$]*)|(?P<Punctuation>[()\[\]{{}},;:.])|(?P<Operator>[^\w\s])")
+def _line_rules(grammar: str) -> tuple[re.Pattern, dict[int, tuple[str, int]]]:
+    """The grammar's rules as one expression; by the group of each rule its kind and its name's group."""
+    if grammar not in _rules:
+        parts, groups, at = [], {}, 0
+        for kind, pattern in SYMBOL_RULES[grammar]:
+            parts.append(f"({pattern})")
+            groups[at + 1] = (kind, at + 2)
+            at += 1 + re.compile(pattern).groups
+        _rules[grammar] = re.compile("|".join(parts)), groups
+    return _rules[grammar]
 
 
-_lexers: dict[str, re.Pattern] = {}
-_rules: dict[str, list[tuple[str, re.Pattern]]] = {}
+class _Open:
+    """A definition whose end hasn't come: its number of braces around it, whether its own has opened, and its row."""
 
+    __slots__ = ("at", "opened", "row", "round")
 
-def token_spans(text: str, grammar: str) -> list[tuple[int, int, int]]:
-    """(start byte, length, class) of a text's tokens, ordered and disjoint; white space is between them."""
-    lexer = _lexers.setdefault(grammar, _lexer(grammar))
-    words = KEYWORDS.get(grammar, KEYWORDS[""])
-    out, at, last = [], 0, 0
-    for m in lexer.finditer(text):
-        kind, token = m.lastgroup, m.group()
-        if kind == "Word":
-            rest = text[m.end() : m.end() + 2].lstrip()
-            kind = "Keyword" if token in words else "Function" if rest[:1] == "(" else "Type" if token[0].isupper() else "Variable"
-        at += len(text[last : m.start()].encode())
-        last = m.start()
-        out.append((at, len(token.encode()), _CLASS[kind]))
-    return out
-
-
-def _blank(text: str, grammar: str) -> str:
-    """text with comments and strings blanked, lines kept, so that rules and braces see code only."""
-    lexer = _lexers.setdefault(grammar, _lexer(grammar))
-    return lexer.sub(lambda m: m.group() if m.lastgroup not in ("Comment", "String") else re.sub(r"[^\n]", " ", m.group()), text)
+    def __init__(self, at: int, row: list, opened: bool = False):
+        self.at, self.row, self.opened, self.round = at, row, opened, 0
 
 
-def symbols_of(text: str, grammar: str) -> list[tuple[str, str, int, int]]:
-    """(kind, name, start line, end line), lines from 1.
+def definitions(code: str, grammar: str) -> list[tuple[str, str, int, int, int]]:
+    """(kind, name, start line, end line, line of the definition around it or 0), lines from 1, of blanked code.
 
-    A definition ends where its braces close; in Python before the next line indented no deeper, in Ruby at its end.
-    Signatures without a body in Rust, and C and C++ names that are only used, are no symbols.
+    One pass over the lines keeps the definitions that are open as a stack, so the time is linear however deep and long
+    they are. A definition ends where its braces close; in Python before the next line indented no deeper, in Ruby at its
+    `end`. Signatures without a body in Rust, and C and C++ names that are only used, are no symbols.
     """
-    if grammar not in _rules:
-        _rules[grammar] = [(k, re.compile(p)) for k, p in SYMBOL_RULES[grammar]]
-    rules = _rules[grammar]
-    lines = _blank(text, grammar).split("\n")
-    out = []
-    scopes: list[tuple[int, str, int]] = []  # (depth inside, kind, last line) of the definitions around the line
-    depth = 0
-    for n, line in enumerate(lines):
-        found = next(((k, m.group(1)) for k, r in rules if (m := r.search(line))), None)
-        while scopes and n > scopes[-1][2]:
-            scopes.pop()
-        if found and grammar == "Rust" and found[0] == "function" and _end_by_braces(lines, n)[1] is False:
-            found = None
-        if found and grammar in ("C", "C++") and found[0] in ("function", "method", "struct", "enum", "class") and _end_by_braces(lines, n)[1] is False:
-            found = None
-        if found and found[0] == "method" and grammar in ("JavaScript", "TypeScript", "TSX", "Java", "C#") and not (scopes and scopes[-1][1] in ("class", "interface", "enum", "struct") and depth == scopes[-1][0]):
-            found = None
-        if found:
-            kind, name = found
-            if grammar == "Python":
-                end = _end_by_indent(lines, n)
-            elif grammar == "Ruby":
-                end = _end_by_word(lines, n)
-            else:
-                end, _ = _end_by_braces(lines, n)
-            out.append((kind, name, n + 1, end + 1))
-            if kind in ("class", "interface", "enum", "struct"):
-                scopes.append((depth + 1, kind, end))
-        depth += line.count("{") - line.count("}")
-    return sorted(set(out), key=lambda s: (s[2], s[3], s[0], s[1]))
-
-
-def _end_by_braces(lines: list[str], n: int) -> tuple[int, bool]:
-    """(last line, whether it has a body) of a definition: its first brace's partner, or the line of its semicolon."""
-    depth, opened, round_ = 0, False, 0
-    for k in range(n, len(lines)):
-        for c in lines[k]:
-            if c in "([":
-                round_ += 1
-            elif c in ")]":
-                round_ -= 1
-            elif c == "{":
-                depth, opened = depth + 1, True
-            elif c == "}":
+    rule, groups = _line_rules(grammar)
+    rows = {"Python": _by_indent, "Ruby": _by_word}.get(grammar, _by_braces)(code.split("\n"), grammar, rule, groups)
+    return sorted({tuple(r) for r in rows if r[3]}, key=lambda s: (s[2], s[3], s[0], s[1]))
+
+
+def _found(m: re.Match, groups: dict[int, tuple[str, int]]) -> tuple[str, str]:
+    """The kind and name of a match; the group of a rule closes last, after its name's."""
+    kind, name = groups[m.lastindex]
+    return kind, m.group(name)
+
+
+def _by_braces(lines: list[str], grammar: str, rule: re.Pattern, groups: dict) -> list[list]:
+    need = _NEED_BODY.get(grammar, ())
+    methods_inside = grammar in _METHODS_INSIDE
+    rows: list[list] = []
+    stack: list[_Open] = []
+    depth, n = 0, 0
+
+    def close(d: _Open) -> None:
+        d.row[3] = n if d.opened or d.row[0] not in need else 0
+
+    for n, line in enumerate(lines, 1):
+        bare = line.strip()
+        if not bare:
+            continue
+        if bare not in _PLAIN and (m := rule.match(line)):
+            kind, name = _found(m, groups)
+            holder = next((d for d in reversed(stack) if d.opened), None)
+            inside = holder is not None and holder.row[0] in _HOLDERS and holder.at + 1 == depth
+            if kind != "method" or not methods_inside or inside:
+                row = [kind, name, n, 0, holder.row[2] if holder else 0]
+                rows.append(row)
+                stack.append(_Open(depth, row))
+        for s in _STRUCTURE.finditer(line):
+            ch = s.group()
+            if ch == "{":
+                for d in reversed(stack):
+                    if d.opened or d.at != depth:
+                        break
+                    d.opened = True
+                depth += 1
+            elif ch == "}":
                 depth -= 1
-                if depth <= 0:
-                    return k, opened
-            elif c == ";" and depth == 0 and round_ <= 0:
-                return k, False
-    return len(lines) - 1, opened
-
-
-def _end_by_indent(lines: list[str], n: int) -> int:
-    own, last = len(lines[n]) - len(lines[n].lstrip()), n
-    for k in range(n + 1, len(lines)):
-        if lines[k].strip():
-            if len(lines[k]) - len(lines[k].lstrip()) <= own:
-                break
-            last = k
-    return last
-
-
-def _end_by_word(lines: list[str], n: int) -> int:
-    depth = 0
-    for k in range(n, len(lines)):
-        depth += len(re.findall(r"^\s*(?:def|class|module|if|unless|while|until|case|begin|for)\b|\bdo\b", lines[k])) - len(re.findall(r"^\s*end\b", lines[k]))
-        if depth <= 0:
-            return k
-    return len(lines) - 1
-
-
-def imports_of(text: str, grammar: str) -> list[tuple[str | None, str, int]]:
-    """(callee or None, raw module, line from 1) of everything that looks like an import."""
+                while stack and stack[-1].at >= depth:
+                    close(stack.pop())
+            elif ch == ";":
+                while stack and not stack[-1].opened and stack[-1].at == depth and stack[-1].round <= 0:
+                    close(stack.pop())
+            elif stack and not stack[-1].opened:
+                for d in reversed(stack):
+                    if d.opened:
+                        break
+                    d.round += 1 if ch in "([" else -1
+    n = len(lines)
+    while stack:
+        close(stack.pop())
+    return rows
+
+
+def _by_indent(lines: list[str], grammar: str, rule: re.Pattern, groups: dict) -> list[list]:
+    rows: list[list] = []
+    stack: list[tuple[int, list]] = []
+    last, brackets = 0, 0
+    for n, line in enumerate(lines, 1):
+        bare = line.lstrip()
+        if not bare:
+            continue
+        if not brackets:
+            own = len(line) - len(bare)
+            while stack and stack[-1][0] >= own:
+                stack.pop()[1][3] = last
+            if m := rule.match(line):
+                kind, name = _found(m, groups)
+                rows.append([kind, name, n, 0, stack[-1][1][2] if stack else 0])
+                stack.append((own, rows[-1]))
+        # a line inside brackets goes on whatever its indentation
+        brackets = max(0, brackets + sum(line.count(x) for x in "([{") - sum(line.count(x) for x in ")]}"))
+        last = n
+    for _, row in stack:
+        row[3] = last
+    return rows
+
+
+def _by_word(lines: list[str], grammar: str, rule: re.Pattern, groups: dict) -> list[list]:
+    rows: list[list] = []
+    stack: list[list | None] = []  # what each open word began: a definition's row, or nothing
+    for n, line in enumerate(lines, 1):
+        m = rule.match(line)
+        row = None
+        if m:
+            kind, name = _found(m, groups)
+            row = [kind, name, n, 0, next((d[2] for d in reversed(stack) if d), 0)]
+            rows.append(row)
+            if _ENDLESS.match(line):
+                row[3] = n
+                continue
+        b = _BEGINS.match(line)
+        if b:
+            stack.append(row)
+        blocks = 0 if b and b.group(1) in ("while", "until", "for") else len(re.findall(r"(?<![.:@\w])do\b(?!\s*:)", line))
+        stack.extend([None] * blocks)
+        for _ in range(len(re.findall(r"(?<![.:@\w])end\b(?![?!:(])", line))):
+            if stack and (d := stack.pop()):
+                d[3] = n
+    for d in stack:
+        if d:
+            d[3] = len(lines)
+    return rows
+
+
+def symbols_of(text: str, grammar: str) -> list[tuple[str, str, int, int]]:
+    """(kind, name, start line, end line) of a text's definitions; see definitions."""
+    return [d[:4] for d in definitions(lexer.blanked(text, *lexer.tokens(text, grammar)), grammar)]
+
+
+def token_spans(text: str, grammar: str) -> list[tuple[int, int, int]]:
+    """(start byte, length, class) of a text's tokens, ordered and disjoint; white space is between them."""
+    starts, ends, classes = lexer.tokens(text, grammar)
+    a, b = (lexer.byte_places(text, np.array(x, np.int64)) for x in (starts, ends))
+    return list(zip(a.tolist(), (b - a).tolist(), classes, strict=True))
+
+
+_import_rules: dict[str, list[tuple[re.Pattern, int, int]]] = {}
+
+
+def imports_of(text: str, grammar: str, code: str | None = None) -> list[tuple[str | None, str, int]]:
+    """(callee or None, raw module, line from 1) of everything that looks like an import and doesn't begin in a comment or
+    a string. code: the text, blanked."""
+    if grammar not in _import_rules:
+        _import_rules[grammar] = [(re.compile(p), callee, module) for p, callee, module in IMPORT_RULES[grammar]]
+    if code is None:
+        code = lexer.blanked(text, *lexer.tokens(text, grammar))
     out = set()
-    ends = [m.start() for m in re.finditer("\n", text)]
-    for pattern, callee, module in IMPORT_RULES[grammar]:
-        for m in re.finditer(pattern, text):
+    ends: list[int] | None = None
+    for pattern, callee, module in _import_rules[grammar]:
+        for m in pattern.finditer(text):
+            begin = m.start()
+            while text[begin].isspace():
+                begin += 1
+            # an import in parentheses begins with its module, which is a string
+            if code[begin].isspace() and begin != m.start(module):
+                continue
+            if ends is None:
+                ends = [e.start() for e in re.finditer("\n", text)]
             out.add((m.group(callee) if callee else None, m.group(module), bisect.bisect_left(ends, m.start(module)) + 1))
     return sorted(out, key=lambda x: (x[2], x[1]))
 
 
-def _per_file(files: DataFrame, found, names: list[str], schema: str) -> DataFrame:
-    """found(text, grammar) rows of each parsed file, in Arrow batches."""
+# tables
 
-    def run(batches):
-        for b in batches:
-            repo, path, rows = [], [], []
-            for r, p, g, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for x in found(t, g):
-                    repo.append(r)
-                    path.append(p)
-                    rows.append(x)
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(repo, pa.string()), pa.array(path, pa.string()), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], ["repo_id", "path", *names])
 
-    kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[p.split()[1]] for p in schema.split(", ")]
-    rows = files.where("parsed").select("repo_id", "path", "grammar", F.col("content").cast("string"))
-    return rows.mapInArrow(run, "repo_id string, path string, " + schema)
+PARSED = "symbols array<struct<kind:string,name:string,start_line:int,end_line:int,parent_line:int>>, imports array<struct<callee:string,raw:string,line:int>>, starts array<int>, lens array<int>, classes array<tinyint>"
+
+
+def _lists(rows: list[list[tuple]], kinds: list[tuple[str, pa.DataType]]) -> pa.Array:
+    """A list of structs for each row."""
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) for r in rows], out=offsets[1:])
+    flat = list(zip(*[x for r in rows for x in r], strict=True)) or [()] * len(kinds)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(list(c), k) for c, (_, k) in zip(flat, kinds, strict=True)], [n for n, _ in kinds]))
+
+
+def parse(files: DataFrame, spans: bool = True, keep: tuple[str, ...] = ("repo_id", "path")) -> DataFrame:
+    """`keep`, content, symbols, imports, starts, lens, classes of each parsed file of files(repo_id, path, grammar, content).
+
+    Every text is read once, in one task's Arrow batch, and all that is known of it comes back as lists in one row; without
+    `spans` those of tokens are empty. Write it (staged) where several tables are made from it.
+    """
+    names = ["kind", "name", "start_line", "end_line", "parent_line"]
+    of_symbol = list(zip(names, [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()], strict=True))
+    of_import = [("callee", pa.string()), ("raw", pa.string()), ("line", pa.int32())]
+
+    def run(batches):
+        for batch in batches:
+            symbols, imports, places = [], [], []
+            for grammar, text in zip(batch.column("grammar").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                found = lexer.tokens(text, grammar)
+                code = lexer.blanked(text, *found)
+                symbols.append(definitions(code, grammar))
+                imports.append(imports_of(text, grammar, code))
+                if spans:
+                    a, b = (lexer.byte_places(text, np.array(x, np.int64)) for x in found[:2])
+                    places.append((a, b - a, np.array(found[2], np.int8)))
+            offsets = np.zeros(len(batch) + 1, np.int32)
+            if places:
+                np.cumsum([len(p[0]) for p in places], out=offsets[1:])
+            tokens = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([p[k] for p in places]) if places else [], kind)) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int8()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*keep, "content")], _lists(symbols, of_symbol), _lists(imports, of_import), *tokens, batch.column("grammar")], [*keep, "content", "symbols", "imports", "starts", "lens", "classes", "grammar"])
+
+    rows = files.where("parsed").select(*keep, "grammar", F.col("content").cast("string"))
+    types = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in keep) + f", content string, {PARSED}, grammar string")
+
+
+def _parsed(files: DataFrame, spans: bool = False) -> DataFrame:
+    return files if "symbols" in files.columns else parse(files, spans)
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """repo_id, path, kind, name, start_line, end_line of the parsed files; no row twice."""
-    return _per_file(files, symbols_of, ["kind", "name", "start_line", "end_line"], "kind string, name string, start_line int, end_line int").distinct()
+    """repo_id, path, kind, name, start_line, end_line of the files (classified, or parsed by `parse`); no row twice."""
+    return _parsed(files).select("repo_id", "path", F.inline("symbols")).drop("parent_line").distinct()
+
+
+def scopes(files: DataFrame) -> DataFrame:
+    """repo_id, path, kind, name, start_line, end_line, parent_line (of the definition around it, 0 for none)."""
+    return _parsed(files).select("repo_id", "path", F.inline("symbols")).distinct()
 
 
 def imports(files: DataFrame) -> DataFrame:
     """repo_id, path, module, line: import statements, and calls of the grammar's import functions."""
     from cartolith.functions import columns as c
 
-    raw = _per_file(files, lambda t, g: [(g, *x) for x in imports_of(t, g)], ["grammar", "callee", "raw", "line"], "grammar string, callee string, raw string, line int")
-    allowed = raw.sparkSession.createDataFrame([(g, x) for g, names in CALLEES.items() for x in names], "grammar string, callee string")
-    calls = raw.where("callee is not null").join(F.broadcast(allowed), ["grammar", "callee"], "left_semi")  # a fixed table
-    rows = raw.where("callee is null").unionByName(calls).withColumn("module", c.clean_import(F.col("raw")))
+    raw = _parsed(files).select("repo_id", "path", "grammar", F.inline("imports"))
+    allowed = F.lit(False)
+    for grammar, names in CALLEES.items():
+        allowed = allowed | ((F.col("grammar") == grammar) & F.col("callee").isin(names))
+    rows = raw.where(F.col("callee").isNull() | allowed).withColumn("module", c.clean_import(F.col("raw")))
     return rows.where("module <> ''").select("repo_id", "path", "module", "line").distinct()
 
 
 def spans(files: DataFrame) -> DataFrame:
-    """repo_id, path, start, len, cls of each token."""
-    return _per_file(files, token_spans, ["start", "len", "cls"], "start long, len long, cls int")
+    """repo_id, path, start, len, cls of each token; one lexical pass leaves no two with one start."""
+    rows = _parsed(files, True)
+    zipped = F.arrays_zip(F.col("starts").alias("start"), F.col("lens").alias("len"), F.col("classes").alias("cls"))
+    return rows.select("repo_id", "path", F.inline(zipped)).select("repo_id", "path", F.col("start").cast("long").alias("start"), F.col("len").cast("long").alias("len"), F.col("cls").cast("int").alias("cls"))
 
 
 def one_per_start(rows: DataFrame) -> DataFrame:
-    """Of spans with one start the longest stays, of equal ones the lowest class."""
+    """Of spans with one start the longest stays, of equal ones the lowest class. For spans from elsewhere: `spans` has
+    none with one start."""
     rank = F.row_number().over(W.partitionBy("repo_id", "path", "start").orderBy(F.desc("len"), "cls"))
     return rows.withColumn("__r", rank).where("__r = 1").drop("__r")
 
 
+def text_rows(parsed: DataFrame) -> DataFrame:
+    """The text table of an index: repo_id, path, content, and the token spans beside it as three lists."""
+    return parsed.select("repo_id", "path", "content", "starts", "lens", "classes")
+
+
 def source_text(files: DataFrame) -> DataFrame:
     """The text of the parsed files, as it is."""
     return files.where("parsed").select("repo_id", "path", F.col("content").cast("string").alias("content"))

@@ -6,6 +6,8 @@ twelve languages, so symbols, imports and tokens of whole files have known rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +35,15 @@ SHAPES = [
 WORD = "[A-Za-z]{3,}"
 
 
+def _dealt(documents: DataFrame) -> DataFrame:
+    """The documents over all tasks: the code made of them is many times their size, and so is the work on it."""
+    return documents.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def code_files(documents: DataFrame) -> DataFrame:
     """documents(doc_id, text, source) as code: repo_id, doc_id, path, content."""
     words = F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w, i: F.concat(w, F.lit("_"), i.cast("string")))
-    rows = documents.select(F.col("source").alias("repo_id"), "doc_id", words.alias("words"))
+    rows = _dealt(documents).select(F.col("source").alias("repo_id"), "doc_id", words.alias("words"))
     content, ext = None, None
     fill = lambda lines: lambda w: F.replace(F.lit("\n".join(lines)), F.lit("N"), w)
     for k, (e, _, head, imp, definition, *_) in enumerate(SHAPES):
@@ -152,7 +159,7 @@ spans AS (SELECT doc_id, a + p AS start, n AS len, cls::int AS cls FROM (SELECT
 
 def _python_spans(spark, sf_dir):
     words = F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w, i: F.concat(F.lit("def "), w, F.lit("_"), i.cast("string"), F.lit("(a):\n    return 1\n")))
-    docs = _table(spark, sf_dir, "documents")
+    docs = _dealt(_table(spark, sf_dir, "documents"))
     files = docs.select(F.lit("r").alias("repo_id"), F.col("doc_id").cast("string").alias("path"), F.lit("Python").alias("grammar"), F.lit(True).alias("parsed"), F.array_join(words, "").alias("content"))
     return staged(extract.spans(files)), files
 
@@ -172,6 +179,150 @@ def overlapping_spans(spark, sf_dir):
     return checks.bad_spans(longer, files).select(F.col("path").cast("long").alias("doc_id"), "start")
 
 
+#: Nested code in six grammars: extension, grammar, first line, the block of one word N and the last line. Tokens stand
+#: between guillemets behind the number of their class. Comments and strings hold braces, quotes and false definitions.
+NESTED = [
+    (".py", "Python", "«1class» «7All»«9:»", """
+    «1def» «6N»«9(»«7self»«9,» «7a»«9)»«9:»
+        «2\"\"\"def fake(): {
+        \"quoted\" N\"\"\"»
+        «1def» «6inner»«9(»
+            «7b»«8=»«40x1F»«9,»
+        «9)»«9:»
+            «3# def other(): } "»
+            «1return» «2"class X: {"» «8+» «2rf'{b!r}\\''» «1if» «7b» «1else» «41»
+        «1return» «7self»«9.»«7inner»«9(»«42.5e3»«9)»
+""", ""),
+    (".rs", "Rust", "«1mod» «7all» «9{»", """
+    «1pub» «1struct» «5N»«8<»«8'»«7a»«8>» «9{» «7a»«9:» «8&»«8'»«7a» «5i32» «9}»
+    «1impl» «5N» «9{»
+        «1fn» «6go»«9(»«8&»«0self»«9)» «8->» «5usize» «9{» «3/* fn x() { /* nested } */ } */»
+            «1let» «7s» «8=» «2r#"fn y() { "quoted" }"#»«9;» «3// "»
+            «7s»«9.»«7len»«9(»«9)» «8+» «2'{'» «1as» «5usize»
+        «9}»
+    «9}»
+""", "«9}»"),
+    (".java", "Java", "«1class» «5All» «9{»", """
+  «1class» «5N» «9{»
+    «3// class Fake {»
+    «1int» «6go»«9(»«1int» «7a»«9)» «9{»
+      «5String» «7s» «8=» «2"} class X {\\""»«9;» «1char» «7c» «8=» «2'{'»«9;»
+      «5String» «7t» «8=» «2\"\"\"
+        } void y() {
+        \"\"\"»«9;»
+      «1return» «7a» «8>>>» «41_000L»«9;»
+    «9}»
+  «9}»
+""", "«9}»"),
+    (".js", "JavaScript", "«1class» «7All» «9{»", """
+  «6N»«9(»«7a»«9)» «9{»
+    «1const» «7s» «8=» «2`}${a ? `{${a + "`}"}` : '}'} function x() {`»«9;»
+    «1function» «6inner»«9(»«9)» «9{» «1return» «8/»«0[/{"]+»«8/»«0gi»«9.»«7test»«9(»«7s»«9)»«9;» «9}»
+    «1return» «0this»«9.»«7b» «8/» «42» «8/» «7a» «8??» «6inner»«9(»«9)»«9;» «3/* } */»
+  «9}»
+""", "«9}»"),
+    (".cpp", "C++", "«1namespace» «7all» «9{»", """
+«8#define» «7M_N» «0{ "N" +»
+  «1class» «5N» «9{»
+  «1public»«9:»
+    «5int» «6go»«9(»«5int» «7a»«9)» «9{»
+      «1const» «5char»«8*» «7s» «8=» «2R"x(} class Y {)" )x"»«9;»
+      «1return» «7a» «8<<=» «40b11»«9;» «3/* } */»
+    «9}»
+  «9}»«9;»
+""", "«9}»"),
+    (".rb", "Ruby", "«1module» «5All»", """
+  «1class» «5K_N»
+    «1def» «6go»«9(»«7a»«9)»
+      «7s» «8=» «2"end #{a.map { |x| "end #{x}" }.join} end"»
+      «7t» «8=» «2<<~TXT»«9.»«7strip»
+«2        def fake
+        end #{s}
+      TXT»
+      «1if» «7a» «8=~» «8/»«0end \\/»«8/»
+        «42»
+      «1end»
+      «7a»«9.»«7each» «1do» «8|»«7x»«8|» «7x» «1end» «3# end»
+    «1end»
+  «1end»
+""", "«1end»"),
+]
+#: By grammar: the kind of what stands around all, and the kind, name, first and last line in the block, and the line in
+#: the block of what stands around it (0: what stands around all) of each definition in a block.
+INNER = {
+    "Python": ("class", [("function", "N", 1, 9, 0), ("function", "inner", 4, 8, 1)]),
+    "Rust": ("module", [("struct", "N", 1, 1, 0), ("function", "go", 3, 6, 0)]),
+    "Java": ("class", [("class", "N", 1, 10, 0), ("method", "go", 3, 9, 1)]),
+    "JavaScript": ("class", [("method", "N", 1, 5, 0), ("function", "inner", 3, 3, 1)]),
+    "C++": ("namespace", [("class", "N", 2, 8, 0), ("method", "go", 4, 7, 2)]),
+    "Ruby": ("module", [("class", "K_N", 1, 13, 0), ("method", "go", 2, 12, 1)]),
+}
+
+
+def _plain(marked: str) -> str:
+    return re.sub("«[0-9]|»", "", marked)
+
+
+def _token_rows(k: int, part: str, marked: str) -> list[tuple]:
+    """(shape, part, bytes before the token without those of N, N's before it, bytes in it, N's in it, class)."""
+    rows, at, names = [], 0, 0
+    for piece in re.split("(«[^»]*»)", marked):
+        token = piece[2:-1] if piece.startswith("«") else piece
+        n = len(re.findall(r"N", token)) if part == "block" else 0
+        size = len(token.encode()) - n
+        if piece.startswith("«"):
+            rows.append((k, part, at, names, size, n, int(piece[1])))
+        at, names = at + size, names + n
+    return rows
+
+
+def _filled(block: str):
+    return lambda w: F.replace(F.lit(block), F.lit("N"), w)
+
+
+def nested_files(documents: DataFrame) -> DataFrame:
+    """documents(doc_id, text, source) as nested code: repo_id, doc_id, path, grammar, content, parsed."""
+    words = F.transform(F.regexp_extract_all("text", F.lit(r"\p{L}{3,}"), F.lit(0)), lambda w, i: F.concat(w, F.lit("_"), i.cast("string")))
+    content, ext, grammar = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (e, g, head, block, foot) in enumerate(NESTED):
+        here = F.col("doc_id") % len(NESTED) == k
+        text = F.concat(F.lit(_plain(head) + "\n"), F.array_join(F.transform(words, _filled(_plain(block)[1:])), ""), F.lit(_plain(foot) + "\n" if foot else ""))
+        content, ext, grammar = F.when(here, text).otherwise(content), F.when(here, F.lit(e)).otherwise(ext), F.when(here, F.lit(g)).otherwise(grammar)
+    return _dealt(documents).select(F.col("source").alias("repo_id"), "doc_id", F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), ext).alias("path"), grammar.alias("grammar"), content.alias("content"), F.lit(True).alias("parsed"))
+
+
+_BLOCKS = ", ".join(f"({k}, '{e}', '{INNER[g][0]}', '{re.search('(?i)all', h)[0]}', {len(_plain(h + chr(10)).encode())}, {_plain(b)[1:].count(chr(10))}, {len(_plain(b)[1:].encode()) - _plain(b)[1:].count('N')}, {_plain(b)[1:].count('N')}, {1 if f else 0})" for k, (e, g, h, b, f) in enumerate(NESTED))
+_INNER_ROWS = ", ".join(f"({k}, '{kind}', '{name}', {a}, {b}, {up})" for k, (_, g, *_r) in enumerate(NESTED) for kind, name, a, b, up in INNER[g][1])
+_TOKEN_ROWS = ", ".join(str(r) for k, (_, _, h, b, f) in enumerate(NESTED) for part, m in (("head", h), ("block", b[1:]), ("foot", f)) for r in _token_rows(k, part, m))
+NESTED_SQL = f"""WITH shape(k, ext, kind, name, head, lines, size, names, foot) AS (VALUES {_BLOCKS}),
+inside(k, kind, name, a, b, up) AS (VALUES {_INNER_ROWS}),
+token(k, part, before, names_before, size, names, cls) AS (VALUES {_TOKEN_ROWS}),
+raw AS (SELECT doc_id, source AS repo_id, regexp_extract_all(text, '\\p{{L}}{{3,}}') AS w FROM documents),
+code AS (SELECT doc_id, repo_id, w, 'src/f' || doc_id::varchar || ext AS path, shape.* FROM raw JOIN shape ON doc_id % {len(NESTED)} = k),
+words AS (SELECT * FROM (SELECT doc_id, repo_id, path, k, lines, size, names, head, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM code)),
+named AS (SELECT *, word || '_' || i::varchar AS n FROM words)"""
+
+
+@query(NESTED_SQL + """ SELECT repo_id, path, kind, name, 1 AS start_line, (1 + lines * len(w) + foot)::int AS end_line, 0 AS parent_line FROM code
+UNION ALL SELECT repo_id, path, d.kind, replace(d.name, 'N', n), (1 + i * lines + a)::int, (1 + i * lines + b)::int, (CASE WHEN up = 0 THEN 1 ELSE 1 + i * lines + up END)::int FROM named JOIN inside d USING (k)""")
+def nested_symbols(spark, sf_dir):
+    """Definitions inside definitions, the outermost as long as its file, beside strings and comments that look like them."""
+    return extract.scopes(nested_files(_table(spark, sf_dir, "documents")))
+
+
+@query(NESTED_SQL + """, placed AS (SELECT *, head + (sum(size + names * strlen(n)) OVER (PARTITION BY doc_id ORDER BY i) - size - names * strlen(n)) AS place FROM named),
+ends AS (SELECT c.doc_id, c.k, c.head + coalesce(max(p.place + p.size + p.names * strlen(p.n)) - c.head, 0) AS place FROM code c LEFT JOIN placed p USING (doc_id) GROUP BY c.doc_id, c.k, c.head),
+spans AS (SELECT doc_id, place + before + names_before * strlen(n) AS start, t.size + t.names * strlen(n) AS len, cls FROM placed p JOIN token t ON t.k = p.k AND part = 'block'
+  UNION ALL SELECT doc_id, before, size, cls FROM (SELECT doc_id, k FROM code) JOIN token USING (k) WHERE part = 'head'
+  UNION ALL SELECT doc_id, place + before, size, cls FROM ends JOIN token USING (k) WHERE part = 'foot')
+SELECT doc_id, cls::int AS cls, count(*) AS n, sum(start)::bigint AS starts, sum(len)::bigint AS lens, sum(start::hugeint * len % 1000003)::bigint AS pairs FROM spans GROUP BY doc_id, cls""")
+def nested_tokens(spark, sf_dir):
+    """Places, lengths and classes of all tokens of the nested code, summed by document and class."""
+    rows = extract.spans(nested_files(_table(spark, sf_dir, "documents")).drop("repo_id").withColumn("repo_id", F.col("doc_id").cast("string")))
+    sums = rows.groupBy("repo_id", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"), F.sum("len").alias("lens"), F.sum(F.expr("start * len % 1000003")).alias("pairs"))
+    return sums.select(F.col("repo_id").cast("long").alias("doc_id"), "cls", "n", "starts", "lens", "pairs")
+
+
 _RAW = "CASE len(w) % 6 WHEN 0 THEN '\"' || w || '\"' WHEN 1 THEN '''' || w || '''' WHEN 2 THEN '`' || w || '`' WHEN 3 THEN '<' || w || '>' WHEN 4 THEN ' ' || w || ' ' ELSE '\"' || w END"
 
 
