@@ -7,10 +7,10 @@ import datetime
 from pyspark.sql import functions as F
 
 from cartolith.functions import columns as c
-from cartolith.operators import catalog, checks, classify, evolution
-from cartolith.plans.queries import CLASSIFIED, FILES, HOSTS, _classified, _files, _indexed, _jobs, _table, query
+from cartolith.operators import catalog, checks, classify, evolution, ignore, incremental
+from cartolith.plans.queries import CLASSIFIED, DIRS, FILES, HOSTS, _classified, _files, _indexed, _jobs, _table, query
 from cartolith.sources import corpus
-from cartolith.sources.storage import staged
+from cartolith.sources.storage import new_folder, staged
 
 #: Lines of orders as changed files of commits.
 COMMITS = """WITH commits AS (SELECT (l_suppkey % 10)::varchar AS repo_id, 'src/m' || (l_partkey % 20) || '/p' || l_partkey || '.py' AS path, l_orderkey AS commit, l_linestatus || l_suppkey AS author,
@@ -99,6 +99,24 @@ def reused_files(spark, sf_dir):
     return evolution.reused_rows(now.select("repo_id", "path", "lines"), now, before)
 
 
+@query(DIRS + " SELECT repo_id, dir, files, lines, bytes, weight, language FROM dirs JOIN dominant USING (repo_id, dir)")
+def incremental_index(spark, sf_dir):
+    """An index of an older corpus, in which some files differ, some aren't there yet and some have gone since, brought up
+    to the corpus by two updates and put together."""
+    files = staged(corpus.corpus_files(_table(spark, sf_dir, "documents")))
+    size = F.length("content")
+    older = files.where(size % 7 != 0).withColumn("content", F.when(size % 5 == 0, F.concat("content", F.lit("\nmore"))).otherwise(F.col("content")))
+    gone = files.where(size % 11 == 0).withColumn("path", F.concat(F.lit("old/"), "path"))
+    kept = lambda rows: staged(classify.kept_files(classify.classify(rows)))
+    store = incremental.IndexStore(spark, new_folder(spark), buckets=8)
+    store.create(kept(older.unionByName(gone)))
+    now = kept(files)
+    store.apply(*incremental.changes(now.where("bytes % 2 = 0"), store.live("files").where("bytes % 2 = 0")))
+    store.update(now)
+    store.compact()
+    return store.rollup().join(store.dominant().hint("merge"), ["repo_id", "dir"])
+
+
 # ignore rules and paths
 
 
@@ -112,7 +130,42 @@ def unignored_files(spark, sf_dir):
     for path, text in texts.items():
         rows = repos.select("repo_id", F.lit(path).alias("path"), F.lit(text).alias("content"))
         rules = rows if rules is None else rules.unionByName(rows)
-    return classify.drop_ignored(files, classify.ignore_rules(rules)).select("repo_id", "path")
+    return ignore.drop_ignored(files, ignore.ignore_rules(rules)).select("repo_id", "path")
+
+
+#: Rule files of one repository each, by the number of its source, and the paths that they ignore, in SQL.
+SHAPES = [
+    ({".gitignore": "*.md\n"}, "suffix(path, '.md')"),
+    ({".gitignore": "/docs\n"}, "starts_with(path, 'docs/')"),
+    ({".gitignore": "Makefile/\nd[0-9]*/\n"}, "regexp_matches(path, '/d[0-9][^/]*/')"),
+    ({".gitignore": "f[!1-4]*.py\n"}, "regexp_matches(path, '/f[^1-4/][^/]*\\.py$')"),
+    ({".gitignore": "f\\*.py\n\\f*.rs\n"}, "regexp_matches(path, '/f[^/]*\\.rs$')"),
+    ({".gitignore": "**/p1/**\n"}, "contains(path, '/p1/')"),
+    ({".gitignore": "core/**/Makefile\n"}, "starts_with(path, 'core/') AND suffix(path, '/Makefile')"),
+    ({".gitignore": "web/*/p2\n"}, "starts_with(path, 'web/') AND p[3] = 'p2'"),
+    ({".gitignore": "*.md\n!**/p1/*.md\n"}, "suffix(path, '.md') AND p[3] <> 'p1'"),
+    ({".gitignore": "vendor/\n!vendor/en/\n"}, "starts_with(path, 'vendor/')"),
+    ({".gitignore": "/lib/*\n!/lib/en\n"}, "starts_with(path, 'lib/') AND p[2] <> 'en'"),
+    ({".gitignore": "f????.c\n"}, "regexp_matches(path, '/f....\\.c$')"),
+    ({".gitignore": "# *.rs\n\\#x\n   \n*.go  \n"}, "suffix(path, '.go')"),
+    ({"tools/.gitignore": "*\n!*/\n!*.java\n"}, "starts_with(path, 'tools/') AND NOT suffix(path, '.java')"),
+    ({".gitignore": "p[0-2]/\n"}, "p[3] IN ('p0', 'p1', 'p2')"),
+    ({".gitignore": "f[\n*.ts[x]\n*.zig\\\n"}, "suffix(path, '.tsx')"),
+    ({".gitignore": "docs/en/p[13]\n", "docs/.gitignore": "!en/\n!/en/p1\n"}, "regexp_matches(path, '^docs/en/p3/')"),
+    ({".gitignore": "*\n!*/\n!f*[02468].*\n"}, "NOT regexp_matches(path, '/f[^/]*[02468]\\.[^/]*$')"),
+    ({".git/info/exclude": "*.c\n*.zig\n", ".gitignore": "!*.c\n"}, "suffix(path, '.zig')"),
+    ({".gitignore": "src/*/p?/f*.[jt]s*\n", "src/de/.gitignore": "!*.min.js\n"}, "regexp_matches(path, '^src/[^/]+/p./f[^/]*\\.[jt]s[^/]*$') AND NOT (starts_with(path, 'src/de/') AND suffix(path, '.min.js'))"),
+]
+
+
+@query(CLASSIFIED + " SELECT repo_id, path FROM classified WHERE NOT CASE substr(repo_id, 4)::int % 20 " + " ".join(f"WHEN {k} THEN {sql}" for k, (_, sql) in enumerate(SHAPES)) + " END")
+def ignore_shapes(spark, sf_dir):
+    """A rule file, or two, of another shape in each repository, over the whole corpus."""
+    files = staged(corpus.corpus_files(_table(spark, sf_dir, "documents")).select("repo_id", "path"))
+    number = F.regexp_extract("repo_id", "([0-9]+)$", 1).cast("int") % len(SHAPES)
+    given = F.array(*[F.array(*[F.struct(F.lit(path).alias("path"), F.lit(text).alias("content")) for path, text in texts.items()]) for texts, _ in SHAPES])
+    rules = files.select("repo_id").distinct().select("repo_id", F.inline(F.get(given, number)))
+    return ignore.drop_ignored(files, ignore.ignore_rules(rules)).select("repo_id", "path")
 
 
 @query(corpus.CORPUS_SQL + " SELECT doc_id, path FROM corpus")
