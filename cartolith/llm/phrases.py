@@ -150,7 +150,7 @@ def count_pieces(w: Words, lang: str, now: np.ndarray | None, before: np.ndarray
 def counted(docs: DataFrame, now=None, before=None, longest: int = LONGEST, shortest: int = 1) -> DataFrame:
     """(lang, words, phrase, n): see count_pieces. A row of 0 words has the number of all words of a language.
 
-    `now` and `before` are broadcast tables of known phrases. Each run of about 2 MB of texts is counted by itself, what
+    `now` and `before` are broadcast tables of known phrases. Each run of about 512 KB of texts is counted by itself, what
     it finds is added up in its task and then over all tasks.
     """
 
@@ -160,7 +160,7 @@ def counted(docs: DataFrame, now=None, before=None, longest: int = LONGEST, shor
             for lang in langs.unique().to_pylist():
                 texts = batch.column("text").filter(pa.compute.equal(langs, lang))
                 data, offsets = text_buffers(texts)
-                for i, j in pieces(offsets, 2 << 20):
+                for i, j in pieces(offsets, 1 << 19):
                     w = read_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                     found = [] if before is not None else [(0, pa.array([""]), np.array([len(w.ids)]))]
                     found += count_pieces(w, lang, now and now.value, before and before.value, longest, shortest)
