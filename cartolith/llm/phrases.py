@@ -1,7 +1,8 @@
 """Phrases that many texts share and whose words belong together: Toivonen mining of frequent phrases, and their scores.
 
-A sample proposes phrases; one pass over all texts counts these and their negative border exactly. A phrase of the border
-that turns out to be frequent sends another pass over what it may be a part of, until none does.
+A sample proposes phrases; one pass over all texts counts these and their negative border. A phrase of the border that
+turns out to be frequent sends another pass over all that it may be a part of. These passes count by 64-bit keys, which
+never gives a phrase too few; a last one counts the phrases whose keys are frequent by their texts.
 """
 
 from __future__ import annotations
@@ -109,130 +110,131 @@ def known(table_: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def phrase_keys(hashes: np.ndarray, at: np.ndarray, words: int, lang: str) -> np.ndarray:
-    """Keys of the phrases of `words` words that begin with the words numbered `at`."""
+    """Keys of the phrases of `words` words that begin with the words numbered `at`; the lowest bits tell how many."""
     tag = word_hashes(np.frombuffer(lang.encode() or b"\0", np.uint8), np.zeros(1, np.int64), np.array([max(1, len(lang.encode()))]))
-    return chain([np.broadcast_to(tag, at.shape), *[hashes[at + k] for k in range(words)]])
+    return chain([np.broadcast_to(tag, at.shape), *[hashes[at + k] for k in range(words)]]) & ~np.uint64(15) | np.uint64(words)
 
 
-def count_pieces(w: Words, lang: str, now: np.ndarray | None, before: np.ndarray | None, longest: int, shortest: int = 1) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(words, phrases, counts) of phrases that begin and end with a known phrase one word shorter.
+def phrases_of(w: Words, lang: str, now: np.ndarray | None, before: np.ndarray | None, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, keys, where each phrase begins first, counts), length by length, of the phrases that are candidates.
 
-    `now` is the table of known phrases (None: none is, and single words are counted); phrases whose parts were both in
-    the table `before` have been counted by an earlier pass and are left out, as are those of fewer words than shortest.
+    Single words are. A longer phrase is one if both parts of it that are a word shorter are known: held by the table
+    `now`, or not counted so far but a candidate of this pass. What has been counted, as both its parts were in the table
+    `before`, isn't given again; of it only what `now` holds leads on to longer phrases.
     """
     ids, at = w.ids, np.arange(len(w.ids))  # ids[i]: number of the phrase at word at[i]
-    old = np.zeros(0, bool)
-    fresh = None  # by number of phrase: not counted before
+    fresh = np.full(len(at), before is None)  # not counted before
     for words in range(1, longest + 1):
         if not len(at):
             return
         number, first, ids = np.unique(ids, return_index=True, return_inverse=True)
-        if words >= shortest and (words > 1 or before is None):
-            counts = np.bincount(ids, minlength=len(number))
-            show = np.flatnonzero(fresh[first]) if fresh is not None else np.arange(len(number))
-            if len(show):
-                begin = at[first[show]]
-                yield words, slices(w.flat, w.starts[begin], w.ends[begin + words - 1]), counts[show]
+        begin, new = at[first], fresh[first]
+        keys = phrase_keys(w.hashes, begin, words, lang)
+        show = np.flatnonzero(new)
+        if len(show):
+            yield words, keys[show], begin[show], np.bincount(ids, minlength=len(number))[show]
         if now is None or words == longest:
             return
-        keys = phrase_keys(w.hashes, at[first], words, lang)
         good = known(now, keys)
         old = known(before, keys) if before is not None else np.zeros(len(number), bool)
+        if before is not None:
+            good |= new
         # the phrase at word i meets the one at word i + 1
         here = np.full(len(w.ids) + 1, -1, np.int64)
         here[at] = np.where(good[ids], ids, -1)
-        both = (here[:-1] >= 0) & (here[1:] >= 0) & (w.left > words)
-        at = np.flatnonzero(both)
+        at = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0) & (w.left > words))
         fresh = ~(old[here[at]] & old[here[at + 1]])
         ids = here[at] * np.int64(len(number)) + here[at + 1]
 
 
+def _runs(batches) -> Iterator[tuple[str, Words]]:
+    """The words of each run of about 512 KB of texts of one language."""
+    for batch in batches:
+        langs = batch.column("lang")
+        for lang in langs.unique().to_pylist():
+            texts = batch.column("text").filter(pa.compute.equal(langs, lang))
+            data, offsets = text_buffers(texts)
+            for i, j in pieces(offsets, 1 << 19):
+                yield lang, read_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+
+
 def counted(docs: DataFrame, now=None, before=None, longest: int = LONGEST, shortest: int = 1) -> DataFrame:
-    """(lang, words, phrase, n): see count_pieces. A row of 0 words has the number of all words of a language.
+    """(key, n): how often the candidates of at least `shortest` words come; see phrases_of.
 
-    `now` and `before` are broadcast tables of known phrases. Each run of about 512 KB of texts is counted by itself, what
-    it finds is added up in its task and then over all tasks.
+    `now` and `before` are broadcast tables. Phrases that share a key are counted together, so n is never too small.
     """
 
     def run(batches):
-        for batch in batches:
-            langs = batch.column("lang")
-            for lang in langs.unique().to_pylist():
-                texts = batch.column("text").filter(pa.compute.equal(langs, lang))
-                data, offsets = text_buffers(texts)
-                for i, j in pieces(offsets, 1 << 19):
-                    w = read_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    found = [] if before is not None else [(0, pa.array([""]), np.array([len(w.ids)]))]
-                    found += count_pieces(w, lang, now and now.value, before and before.value, longest, shortest)
-                    for words, phrases, n in found:
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(np.full(len(n), words, np.int32)), phrases, pa.array(n.astype(np.int64))], ["lang", "words", "phrase", "n"])
+        for lang, w in _runs(batches):
+            for words, keys, _, n in phrases_of(w, lang, now and now.value, before and before.value, longest):
+                if words >= shortest:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
-    return docs.select("lang", "text").mapInArrow(run, ROWS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _keys_of(batch: pa.RecordBatch) -> np.ndarray:
-    """The keys of rows(lang, words, phrase)."""
-    langs, words = batch.column("lang"), batch.column("words").to_numpy()
-    data, offsets = text_buffers(batch.column("phrase"))
-    starts, stops, rows, low = words_of(data[offsets[0] : offsets[-1]], offsets - offsets[0])
-    hashes, first = word_hashes(low, starts, stops), np.searchsorted(rows, np.arange(len(batch)))
-    out = np.zeros(len(batch), np.uint64)
-    for lang in langs.unique().to_pylist():
-        mine = pa.compute.equal(langs, lang).to_numpy(zero_copy_only=False)
-        for k in np.unique(words[mine]):
-            at = np.flatnonzero(mine & (words == k))
-            out[at] = phrase_keys(hashes, first[at], int(k), lang)
-    return out
+def counted_texts(docs: DataFrame, now, longest: int) -> DataFrame:
+    """(lang, words, phrase, n) of the phrases that the table `now` holds, with all their parts; exact, by their texts. A
+    row of 0 words has the number of all words of a language."""
+
+    def run(batches):
+        for lang, w in _runs(batches):
+            found = [(0, pa.array([""]), np.array([len(w.ids)]))]
+            for words, keys, begin, n in phrases_of(w, lang, now.value, None, longest):
+                held = np.flatnonzero(known(now.value, keys))
+                found.append((words, slices(w.flat, w.starts[begin[held]], w.ends[begin[held] + words - 1]), n[held]))
+            for words, phrases, n in found:
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), words, np.int32)), phrases, pa.array(n.astype(np.int64))], ["lang", "words", "phrase", "n"])
+
+    return docs.select("lang", "text").mapInArrow(run, ROWS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
 
-def known_table(phrases: DataFrame, bits: int) -> np.ndarray:
-    """A table of the keys of phrases(lang, words, phrase): its words are put together by Spark, 8 bytes for each of at
-    most MOST_BITS / 64 of them."""
+def known_table(keys: DataFrame, bits: int) -> np.ndarray:
+    """A table of rows(key): its words are put together by Spark, 8 bytes for each of at most MOST_BITS / 64 of them."""
 
     def run(batches):
         for batch in batches:
-            for at in _places(_keys_of(batch), bits):
+            for at in _places(batch.column("key").to_numpy().view(np.uint64), bits):
                 yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((at & np.uint64(63)).astype(np.int32))], ["at", "bit"])
 
-    marks = phrases.select("lang", "words", "phrase").mapInArrow(run, "at long, bit int")
+    marks = keys.select("key").mapInArrow(run, "at long, bit int")
     got = marks.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("word")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[got.column("at").to_numpy()] = got.column("word").to_numpy().view(np.uint64)
     return out
 
 
-def unknown(phrases: DataFrame, now) -> DataFrame:
-    """The phrases whose keys the table doesn't have."""
+def unknown(keys: DataFrame, now) -> DataFrame:
+    """The rows(key) that the table doesn't have."""
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(~known(now.value, _keys_of(batch))))
+            yield batch.filter(pa.array(~known(now.value, batch.column("key").to_numpy().view(np.uint64))))
 
-    return phrases.mapInArrow(run, phrases.schema)
+    return keys.select("key").mapInArrow(run, "key long")
 
 
-def sampled_phrases(docs: DataFrame, frequent: int, longest: int, sample: int, slack: float) -> DataFrame:
-    """(lang, words, phrase) of the phrases that are frequent in a sample, level by level: those of k + 1 words are
-    looked for where two of k words meet."""
+def _together(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def sampled_keys(docs: DataFrame, frequent: int, longest: int, sample: int, slack: float) -> DataFrame:
+    """(key) of the phrases that are frequent in a sample, level by level: those of k + 1 words are looked for where two of
+    k words meet."""
     context = docs.sparkSession.sparkContext
     chosen = materialise(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample)) == 0).select("lang", "text"))
     least = max(2, math.ceil(slack * frequent / sample))
-    found, now, bits = [], None, FEWEST_BITS
+    found, now = [], None
     for words in range(1, longest):
-        level = counted(chosen, now, None, words, words).where((F.col("n") >= least) & (F.col("words") == words))
-        found.append(materialise(level.select("lang", "words", "phrase")))
-        n = found[-1].count()
-        if not n or words + 1 == longest:
+        found.append(materialise(counted(chosen, now, None, words, words).where(F.col("n") >= least).select("key")))
+        if words + 1 == longest or found[-1].isEmpty():
             break
-        bits = table_bits(n)
-        every = found[0]
-        for f in found[1:]:
-            every = every.unionByName(f)
-        now = context.broadcast(known_table(every, max(bits, table_bits(every.count()))))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        every = _together(found)
+        now = context.broadcast(known_table(every, table_bits(every.count())))
+    return _together(found)
 
 
 def table_bits(phrases: int) -> int:
@@ -241,32 +243,32 @@ def table_bits(phrases: int) -> int:
 
 def frequent_phrases(docs: DataFrame, frequent: int = FREQUENT, longest: int = LONGEST, sample: int = SAMPLE, slack: float = SLACK) -> tuple[DataFrame, int]:
     """(lang, words, phrase, n) of all phrases of 1 to longest words that docs(doc_id, lang, text) have `frequent` times
-    or more in a language, with a row of 0 words for each language's number of words; and the number of passes.
-
-    The sample's frequent phrases are marked in a table of bounded size. A pass counts the single words, and each phrase
-    whose two parts of one word less are in the table: the sample's phrases and their negative border, and a few more as
-    the table may hold too much. If a phrase of the border turns out to be frequent, longer ones may have been missed:
-    it is added to the table and the next pass counts what its parts now allow. Counts are exact whatever the sample.
+    or more in a language, with a row of 0 words for each language's number of words; and the number of passes before
+    the one by texts.
+
+    The sample's frequent phrases are marked in a table of bounded size. The first pass counts the single words, and each
+    phrase whose two parts of one word less are in the table: the sample's phrases and their negative border, and a few
+    more as the table may hold too much. If a phrase of the border turns out to be frequent, longer ones may have been
+    missed: it is added to the table, and the next pass counts what its parts now allow, at every length at once. Such
+    passes go on until no frequent phrase is outside what was counted with its extensions, which the second one ensures.
+    Counts are exact whatever the sample.
     """
     context = docs.sparkSession.sparkContext
     docs = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    proposed = sampled_phrases(docs, frequent, longest, sample, slack)
+    proposed = sampled_keys(docs, frequent, longest, sample, slack)
     bits = table_bits(proposed.count())
     marks = known_table(proposed, bits)
-    now, before, tables, passes = context.broadcast(marks), None, [], 0
-    while True:
-        passes += 1
-        rows = counted(docs, now, before, longest).where((F.col("n") >= frequent) | (F.col("words") == 0))
-        tables.append(materialise(rows))
-        failed = materialise(unknown(tables[-1].where(f"words between 1 and {longest - 1}"), now))
-        if failed.isEmpty():
-            break
-        marks = marks | known_table(failed, bits)
-        before, now = now, context.broadcast(marks)
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out, passes
+    now = context.broadcast(marks)
+    tables = [materialise(counted(docs, now, None, longest).where(F.col("n") >= frequent))]
+    # phrases of most words are part of none
+    failed = materialise(unknown(tables[0].where((F.col("key").bitwiseAND(F.lit(15))) < longest), now))
+    if not failed.isEmpty():
+        wider = context.broadcast(marks | known_table(failed, bits))
+        tables.append(materialise(counted(docs, wider, now, longest).where(F.col("n") >= frequent)))
+    found = _together(tables)
+    final = context.broadcast(known_table(found, table_bits(found.count())))
+    exact = counted_texts(docs, final, longest).where((F.col("n") >= frequent) | (F.col("words") == 0))
+    return materialise(exact), len(tables)
 
 
 def scored(counts: DataFrame, cover: int = 100) -> DataFrame:
