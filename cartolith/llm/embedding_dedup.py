@@ -146,11 +146,13 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFr
 
     Null labels and vectors that are null, empty, zero or hold null or non-finite components link with nothing.
     Vectors of another length than most are compared with those of their length. Rows with one vec_id share their
-    component; rows without one link with nothing, have no component and are kept; extra columns are not read; an empty table gives an empty result.
+    component; those without one link like others, are counted by the vectors they link with and belong to their group,
+    and are kept only where no vector of the group has an id; extra columns are not read; an empty table gives an empty
+    result.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", "label", "embedding")
-    good = rows.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    good = rows.where(F.col("label").isNotNull() & usable(F.col("embedding")))
     distinct = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     # numbers of their own, as different vectors may have one vec_id
     known = materialise(distinct.select(F.monotonically_increasing_id().alias("vec_id"), "label", "embedding", "copies", "first_id"))
@@ -177,8 +179,8 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFr
     smallest = reps.groupBy("root").agg(F.min("first_id").alias("component_id"))
     reps = reps.join(smallest.hint("merge"), "root").select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     named = rows.join(reps.hint("merge"), ["label", "embedding"], "left")
-    there = F.col("vec_id").isNotNull()
-    return named.select("vec_id", F.when(there, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"), F.when(there, F.coalesce("component_id", "vec_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    out = named.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,9 @@ POWER, NEAR = 4, 0.45
 LEAST_GAIN = 0.3
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _OTHER = re.compile(r"[^\w]|[\d_]")
+#: What is cut off a word's ends; the marks that end sentences are among them, so a word is the same before and after.
+_ENDS = ".,;:!?\"'()[]{}<>|\u3002\uff01\uff1f"
+_RUN = re.compile(r"(?<!\S)(?:\S ){3,}\S")
 _SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
 _SENTENCE = re.compile(r"[.!?\n\u3002\uff01\uff1f]+(?=\s|$)")
 
@@ -36,16 +39,20 @@ def plain(word: str) -> str:
     """Letters only, digits and signs that stand for letters read as such, without the punctuation at the ends."""
     if word.isalpha():
         return word
-    word = word.strip(".,;:!?\"'()[]{}<>|")
+    word = word.strip(_ENDS)
     return _OTHER.sub("", word.translate(_LEET) if any(c.isalpha() for c in word) else word)
 
 
 def words(text: str) -> set[str]:
-    """The distinct lower-case words of a text, and what its runs of single characters spell."""
+    """The distinct lower-case words of a text, and what its sentences' runs of single characters spell.
+
+    These are, but for marks at their ends, the words that `sentences` gives: nothing that is scored isn't looked up.
+    """
     low = text.lower()
     out = set(low.split())
-    for m in _SPACED.finditer(low):
-        out.add(m.group().replace(" ", ""))
+    if _RUN.search(low):
+        for part in _SENTENCE.split(low):
+            out.update(m.group().replace(" ", "") for m in _SPACED.finditer(part))
     return out
 
 

@@ -189,10 +189,14 @@ def test_embedding_groups(spark, monkeypatch):
     assert [r.component_id for r in got] == root
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert embedding_dedup.embedding_groups(df.limit(0)).count() == 0
-    # null ids link with nothing, repeated ones share a component
+    # vectors without an id link and are counted like others, repeated ids share a component
     odd = spark.createDataFrame([(None, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (3, [1.0, 0.01], 1), (4, [0.0, 1.0], 1), (None, None, None)], "vec_id long, embedding array<double>, label int")
     rows = sorted(map(tuple, embedding_dedup.embedding_groups(odd).collect()), key=str)
-    assert rows == sorted([(None, 0, None, True), (3, 1, 3, True), (3, 1, 3, True), (4, 0, 4, True), (None, 0, None, True)], key=str)
+    assert rows == sorted([(None, 2, 3, False), (3, 2, 3, True), (3, 2, 3, True), (4, 0, 4, True), (None, 0, None, True)], key=str)
+    without = df.withColumn("vec_id", F.when(F.col("vec_id") % 4 != 1, F.col("vec_id")))
+    groups = [{i for i in range(len(rows_)) if root[i] == r} for rows_ in (root,) for r in root]
+    want = sorted(((i if i % 4 != 1 else None, n[i], min((k for k in groups[i] if k % 4 != 1), default=None)) for i in range(len(root))), key=str)
+    assert sorted((tuple(r)[:3] for r in embedding_dedup.embedding_groups(without).collect()), key=str) == want
 
 
 # 3: languages
@@ -620,3 +624,47 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path, k):
     none.write.parquet(str(tmp_path / "none"))
     empty = stage(spark, spark.read.parquet(str(tmp_path / "none")), SF)
     assert empty.count() == 0 and empty.columns == got.columns
+
+
+# 4: a score is a function of the text alone
+
+
+def spelling_texts():
+    return [
+        "you are an i d i o t.", "what an idiot", "an i.d.i.o.t is here. i d i o t", "IDIOT! a nice day", "1d10t? perhaps", "an i d i o t\n i d i o ts", "quiet words only.", "",
+        None, "i d i o t", "say i d i o。 t", "idiot。 x", "x i d i o t! y", "idi0t!！ and more", "a b c d e f g. idiots are", "the idiotic idioxt",
+    ]
+
+
+def test_words_of_sentences_are_looked_up():
+    """Every plain word of every sentence is the plain form of one of the text's words."""
+    for text in [t for t in spelling_texts() if t] + ["a!。 b", "x.!? y", "q？) z", "$h1t. (ok!) e t c. e t c e"]:
+        have = {toxicity.plain(w) for w in toxicity.words(text)}
+        assert {w for s in toxicity.sentences(text) for w in s} <= have
+
+
+def test_scores_do_not_depend_on_neighbours(spark):
+    """One batch, single texts, any order, 1 or 40 partitions: the same scores."""
+    import pyarrow as pa
+
+    scorer = toxicity.Scorer(["idiot"], [])
+    scorer.use(np.array([3.0]), -1.0)
+    scorer.slope, scorer.shift = 2.0, 0.5
+    texts = spelling_texts() * 2
+    alone = []
+    for t in texts:
+        scorer.clear()
+        alone.append(float(scorer.scores(pa.array([t], pa.string()))[0]))
+    assert alone[0] == alone[1] > 0.7 > alone[6]
+    scorer.clear()
+    assert scorer.scores(pa.array(texts, pa.string())).tolist() == alone
+    shared = spark.sparkContext.broadcast(scorer)
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(shared.value.scores(text))
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for parts in (1, 40):
+        got = rows.repartition(parts, F.rand(parts)).select("i", score("text").alias("s")).collect()
+        assert {r.i: r.s for r in got} == dict(enumerate(alone))
