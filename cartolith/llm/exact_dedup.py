@@ -21,11 +21,16 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(CHUNK), F.lit(0))
 
 
-def exact_groups(docs: DataFrame, fingerprint=F.xxhash64) -> DataFrame:
+def identifier(chunk: Column) -> Column:
+    """96 bits of two hashes: among the 1.6e11 chunks of 100 TB two with one identifier are a matter of one in millions."""
+    return F.struct(F.xxhash64(chunk).alias("a"), F.hash(chunk).alias("b"))
+
+
+def exact_groups(docs: DataFrame, fingerprint=identifier) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     A chunk's identifier is its fingerprint, once all chunks with that fingerprint are shown to be the same text; each
-    task sends a chunk once for that. Where several chunks share a fingerprint, the chunks themselves join the
+    task sends a chunk once for that. Should several chunks share a fingerprint after all, the chunks themselves join the
     identifiers. Rows are equal when their ordered identifier lists are; only those lists move, not the texts.
 
     Of a group the row with the smallest doc_id stays, null ids last, and one of rows with the same id. Null texts
