@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from cartolith.functions import columns as c
 from cartolith.sources.storage import staged
 
 
@@ -36,26 +36,57 @@ def custom_layer(values: DataFrame, files: DataFrame, most: int = 1_000_000) ->
     return files.join(given.hint("merge"), "path").select("repo_id", "file_id", "path", "value")
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+def _stem(path: Column) -> Column:
+    return F.regexp_replace(path, r"\.[^./]*$", "")
+
+
+def _endings(path: Column, most: int) -> Column:
+    """A path's last one, two, ... components, at most `most`."""
+    p = c.parts(path)
+    return F.transform(F.sequence(F.lit(1), F.least(F.size(p), F.lit(most))), lambda i: F.array_join(F.slice(p, F.size(p) - i + 1, i), "/"))
+
+
+def suffix_index(files: DataFrame, most: int = 8) -> DataFrame:
+    """repo_id, key, n, dst: of every ending of the files' paths, without extension and without a last index, mod or
+    __init__, how many files have it, and one of them. A row for each component at most, and one for each ending after."""
+    stem = _stem(F.col("path"))
+    forms = F.array_distinct(F.array(stem, F.regexp_replace(stem, r"/(index|mod|__init__)$", "")))
+    keys = files.select("repo_id", F.col("path").alias("dst"), F.explode(F.array_distinct(F.flatten(F.transform(forms, lambda f: _endings(f, most))))).alias("key"))
+    return keys.groupBy("repo_id", "key").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("dst"))
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, most: int = 8) -> DataFrame:
     """repo_id, src, dst, confidence: exact for a path (relative or whole), heuristic for a unique path ending.
 
-    imports: repo_id, path, module. Modules are tried as given, beside the importing file, and with dots as slashes.
+    imports: repo_id, path, module. Modules are tried as given, beside the importing file, and with dots as slashes, those
+    that begin with ./ or ../ only from the importing file's folder. Where
+    no path is exact, the longest ending of the module, of at most `most` components, that ends any file's path is taken
+    if it ends one only. Endings are looked up once for each module of a repository, however many files import it.
     """
-    stem = lambda p: F.regexp_replace(p, r"\.[^./]*$", "")
     known = files.select("repo_id", F.col("path").alias("dst"))
-    keys = known.select("repo_id", "dst", F.explode(F.array_distinct(F.array("dst", stem(F.col("dst")), F.regexp_replace(stem(F.col("dst")), r"/(index|mod|__init__)$", "")))).alias("key"))
+    stem = _stem(F.col("dst"))
+    keys = known.select("repo_id", "dst", F.explode(F.array_distinct(F.array("dst", stem, F.regexp_replace(stem, r"/(index|mod|__init__)$", "")))).alias("key"))
     here = F.regexp_replace("path", r"[^/]*$", "")
-    tidy = F.regexp_replace(F.regexp_replace("module", r"^(\./)+", ""), r"^(crate|self)::", "")
-    slashed = F.regexp_replace(F.regexp_replace(tidy, "::", "/"), r"(?<=\w)\.(?=\w)", "/")
-    tries = F.array_distinct(F.array(F.concat(here, tidy), tidy, slashed, F.concat(here, slashed)))
-    exact = imports.select("repo_id", F.col("path").alias("src"), "module", F.explode(tries).alias("key")).join(keys.hint("merge"), ["repo_id", "key"]).select("repo_id", "src", "module", "dst", F.lit("exact").alias("confidence"))
-    last = lambda c_: F.regexp_extract(c_, r"([^/]+)$", 1)
-    tails = keys.select("repo_id", "dst", last(F.col("key")).alias("tail")).distinct()
-    unique = tails.groupBy("repo_id", "tail").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("dst")).where("n = 1").drop("n")
-    guess = imports.select("repo_id", F.col("path").alias("src"), "module", last(slashed).alias("tail")).join(unique.hint("merge"), ["repo_id", "tail"]).select("repo_id", "src", "module", "dst", F.lit("heuristic").alias("confidence"))
-    both = exact.unionByName(guess).where("src <> dst")
-    best = F.row_number().over(W.partitionBy("repo_id", "src", "module").orderBy("confidence", "dst"))
-    return both.withColumn("r", best).where("r = 1").select("repo_id", "src", "dst", "confidence").distinct()
+    tidy = F.regexp_replace(F.regexp_replace("module", r"^(\.\.?/)+", ""), r"^(crate|self|super)::", "")
+    beside = F.regexp_replace(F.regexp_replace("module", r"^(\./)+", ""), r"^(crate|self)::", "")
+    slashed = F.regexp_replace(F.regexp_replace(beside, "::", "/"), r"(?<=\w)\.(?=\w)", "/")
+    up = F.length(F.regexp_extract("module", r"^(?:\./)*((?:\.\./)*)", 1)) / 3
+    folders = c.parts(here)
+    above = F.array_join(F.slice(folders, F.lit(1), F.greatest(F.size(folders) - up.cast("int"), F.lit(0))), "/")
+    relative = F.concat_ws("/", F.nullif(above, F.lit("")), F.regexp_replace("module", r"^(\.\.?/)+", ""))
+    tries = F.when(F.col("module").rlike(r"^\.\.?/"), F.array(relative)).otherwise(F.array_distinct(F.array(F.concat(here, beside), beside, slashed, F.concat(here, slashed))))
+    exact = imports.select("repo_id", F.col("path").alias("src"), "module", F.explode(tries).alias("key")).join(keys.hint("merge"), ["repo_id", "key"]).select("repo_id", "src", "module", "dst")
+    exact = exact.where("src <> dst").groupBy("repo_id", "src", "module").agg(F.min("dst").alias("dst"))
+    exact = staged(exact)
+    left = imports.select("repo_id", F.col("path").alias("src"), "module").join(exact.select("repo_id", "src", "module").hint("merge"), ["repo_id", "src", "module"], "left_anti")
+    path = F.regexp_replace(tidy, "::", "/")
+    path = F.when(F.contains(path, F.lit("/")), path).otherwise(F.regexp_replace(path, r"\.", "/"))
+    asked = left.select("repo_id", "module").distinct().select("repo_id", "module", F.posexplode(_endings(path, most)).alias("size", "key"))
+    found = asked.join(suffix_index(files, most).hint("merge"), ["repo_id", "key"])
+    longest = found.groupBy("repo_id", "module").agg(F.max(F.struct("size", "n", "dst")).alias("f")).where("f.n = 1")
+    guess = left.join(longest.select("repo_id", "module", "f.dst").hint("merge"), ["repo_id", "module"]).where("src <> dst")
+    both = exact.withColumn("confidence", F.lit("exact")).unionByName(guess.select("repo_id", "src", "module", "dst", F.lit("heuristic").alias("confidence")))
+    return both.groupBy("repo_id", "src", "dst").agg(F.min("confidence").alias("confidence"))
 
 
 def bundle_edges(edges: DataFrame, cut: DataFrame) -> DataFrame:
@@ -71,18 +102,65 @@ def bundle_edges(edges: DataFrame, cut: DataFrame) -> DataFrame:
     return both.groupBy("repo_id", "z", "src_id", "dst_id").agg(F.sum("n").alias("n"))
 
 
+def contracted(edges: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges(repo_id, path, dst) with chains as one edge each: (repo_id, path, dst, hops), and the nodes inside chains with
+    the node before their chain and their hops from it.
+
+    A node with one way in and one way out that is no entry is inside a chain. Each looks at the node before it; in every
+    round it looks as far again as the one it sees, so a chain of n nodes takes log n rounds. What never sees a chain's
+    beginning lies on a circle without a way in, and is dropped.
+    """
+    node = ["repo_id", "path"]
+    ways_in = edges.groupBy("repo_id", F.col("dst").alias("path")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("before")).where("n = 1")
+    ways_out = edges.groupBy(*node).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select(*node)
+    inside = ways_in.join(ways_out.hint("merge"), node, "left_semi").join(entries.select(*node).hint("merge"), node, "left_anti")
+    inside = staged(inside.select(*node, "before", F.lit(1).cast("long").alias("hops")))
+    names = inside.select("repo_id", F.col("path").alias("before"))
+    waiting = staged(inside.join(names.hint("merge"), ["repo_id", "before"], "left_semi"))
+    done = [inside.join(names.hint("merge"), ["repo_id", "before"], "left_anti")]
+    now, left = waiting, waiting.count()
+    done = [staged(done[0])]
+    while left:
+        every = now
+        for d in done:
+            every = every.unionByName(d)
+        ahead = every.select("repo_id", F.col("path").alias("before"), F.col("before").alias("__far"), F.col("hops").alias("__more"))
+        moved = now.join(ahead.hint("merge"), ["repo_id", "before"]).select(*node, F.col("__far").alias("before"), (F.col("hops") + F.col("__more")).alias("hops"))
+        moved = staged(moved)
+        done.append(staged(moved.join(names.hint("merge"), ["repo_id", "before"], "left_anti")))
+        now = staged(moved.join(names.hint("merge"), ["repo_id", "before"], "left_semi"))
+        if (still := now.count()) == left and done[-1].isEmpty():
+            break
+        left = still
+    chains = done[0]
+    for d in done[1:]:
+        chains = chains.unionByName(d)
+    ends = edges.withColumnRenamed("dst", "__dst").join(inside.select("repo_id", F.col("path").alias("__dst")).hint("merge"), ["repo_id", "__dst"], "left_anti")
+    out = ends.join(chains.hint("merge"), node, "left").join(now.select(*node).hint("merge"), node, "left_anti")
+    out = out.select("repo_id", F.coalesce("before", "path").alias("path"), F.col("__dst").alias("dst"), (F.coalesce("hops", F.lit(0)) + 1).alias("hops"))
+    return out.groupBy("repo_id", "path", "dst").agg(F.min("hops").alias("hops")), chains
+
+
 def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
-    """repo_id, path, hops of all files that the entry points reach: frontier joins until nothing is new."""
-    steps = edges.select("repo_id", F.col("src").alias("path"), "dst").distinct()
-    seen = front = staged(entries.select("repo_id", "path").distinct().withColumn("hops", F.lit(0)))
-    hop = 0
-    while True:
-        hop += 1
-        nxt = front.join(steps.hint("merge"), ["repo_id", "path"]).select("repo_id", F.col("dst").alias("path")).distinct()
-        front = staged(nxt.join(seen.hint("merge"), ["repo_id", "path"], "left_anti").withColumn("hops", F.lit(hop)))
-        if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
+    """repo_id, path, hops of all files that the entry points reach, by the shortest way.
+
+    Chains are one edge each (see contracted). Then rounds of joins take the nodes whose hops have become fewer one edge
+    further, until there are none; what has been reached is one table, written anew in each round.
+    """
+    node = ["repo_id", "path"]
+    steps = staged(edges.select("repo_id", F.col("src").alias("path"), "dst").where("path <> dst").distinct())
+    begin = staged(entries.select(*node).distinct())
+    short, chains = contracted(steps, begin)
+    short, chains = staged(short), staged(chains)
+    seen = front = staged(begin.withColumn("hops", F.lit(0).cast("long")))
+    while not front.isEmpty():
+        nxt = front.join(short.withColumnRenamed("hops", "__far").hint("merge"), node).groupBy("repo_id", F.col("dst").alias("path")).agg(F.min(F.col("hops") + F.col("__far")).alias("hops"))
+        better = nxt.join(seen.withColumnRenamed("hops", "__had").hint("merge"), node, "left").where("__had is null or hops < __had").drop("__had")
+        front = staged(better)
+        seen = staged(seen.unionByName(front).groupBy(*node).agg(F.min("hops").alias("hops")))
+    inner = chains.withColumnRenamed("path", "__path").withColumnRenamed("hops", "__far").join(seen.withColumnRenamed("path", "before").hint("merge"), ["repo_id", "before"])
+    inner = inner.select("repo_id", F.col("__path").alias("path"), (F.col("hops") + F.col("__far")).alias("hops"))
+    return seen.unionByName(inner).groupBy(*node).agg(F.min("hops").cast("int").alias("hops"))
 
 
 def version_key(version):
@@ -107,4 +185,4 @@ def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:
 def reused_rows(rows: DataFrame, now: DataFrame, before: DataFrame) -> DataFrame:
     """Rows of an earlier index (symbols, imports, ...) whose files haven't changed."""
     same = now.select("repo_id", "path", "hash").join(before.select("repo_id", "path", "hash"), ["repo_id", "path", "hash"], "left_semi").select("repo_id", "path")
-    return rows.join(same, ["repo_id", "path"], "left_semi")
+    return rows.join(same.hint("merge"), ["repo_id", "path"], "left_semi")

@@ -72,8 +72,43 @@ def reached_files(spark, sf_dir):
     return evolution.reachable(staged(edges), files.where("file_id = 1"))
 
 
+@query(FILES + " SELECT repo_id, path, (file_id - 3)::int AS hops FROM files WHERE file_id >= 3")
+def chained_files(spark, sf_dir):
+    """From each repository's third file over edges from each file to the next, and back to the first two."""
+    files = _indexed(spark, sf_dir).select("repo_id", "file_id", "path")
+    following = files.select("repo_id", (F.col("file_id") - 1).alias("file_id"), F.col("path").alias("dst"))
+    edges = files.withColumnRenamed("path", "src").join(following.hint("merge"), ["repo_id", "file_id"])
+    return evolution.reachable(staged(edges), files.where("file_id = 3"))
+
+
+_MODULES = FILES + """,
+targets AS (SELECT a.repo_id, a.path AS src, a.doc_id, p2 AS parts FROM files a JOIN (SELECT repo_id, doc_id, string_split(regexp_replace(path, '\\.[^./]*$', ''), '/') AS p2 FROM files) b ON b.repo_id = a.repo_id AND b.doc_id = a.doc_id + 20),
+modules AS (SELECT repo_id, src, CASE WHEN doc_id % 3 = 0 THEN 'org/acme/' ELSE '' END || array_to_string(parts[-(doc_id % 4 + 1):], '/') AS module FROM targets),
+stems AS (SELECT repo_id, path AS dst, regexp_replace(path, '\\.[^./]*$', '') AS stem FROM files),
+endings AS (SELECT DISTINCT repo_id, dst, array_to_string(s[-k:], '/') AS key FROM (SELECT repo_id, dst, string_split(stem, '/') AS s, unnest(range(1, len(string_split(stem, '/')) + 1)) AS k FROM stems)),
+idx AS (SELECT repo_id, key, count(*) AS n, min(dst) AS dst FROM endings GROUP BY ALL),
+exact AS (SELECT m.repo_id, src, module, min(dst) AS dst FROM modules m JOIN stems s ON s.repo_id = m.repo_id AND s.stem IN (module, regexp_replace(src, '[^/]*$', '') || module) WHERE src <> dst GROUP BY ALL),
+rest AS (SELECT * FROM modules ANTI JOIN exact USING (repo_id, src, module)),
+tried AS (SELECT repo_id, src, module, k, array_to_string(s[-k:], '/') AS key FROM (SELECT *, string_split(module, '/') AS s, unnest(range(1, len(string_split(module, '/')) + 1)) AS k FROM rest)),
+longest AS (SELECT t.repo_id, src, n, dst FROM tried t JOIN idx USING (repo_id, key) QUALIFY row_number() OVER (PARTITION BY t.repo_id, src, module ORDER BY k DESC) = 1)"""
+
+
+@query(_MODULES + " SELECT repo_id, src, dst, 'exact' AS confidence FROM exact UNION ALL SELECT repo_id, src, dst, 'heuristic' FROM longest WHERE n = 1 AND src <> dst")
+def suffix_edges(spark, sf_dir):
+    """Each file imports the one made of the document twenty further on by the last one to four components of its path,
+    some behind a package that isn't there; names that several files have lead nowhere unless more of the path is given."""
+    files = staged(_files(spark, sf_dir).select("repo_id", "doc_id", "path"))
+    parts = F.split(F.regexp_replace("path", r"\.[^./]*$", ""), "/")
+    targets = files.select("repo_id", (F.col("doc_id") - 20).alias("doc_id"), parts.alias("parts"))
+    asked = (F.col("doc_id") % 4 + 1).cast("int")
+    some = F.least(asked, F.size("parts"))
+    module = F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("org/acme/")).otherwise(F.lit("")), F.array_join(F.slice("parts", F.size("parts") - some + 1, some), "/"))
+    imports = files.join(targets.hint("merge"), ["repo_id", "doc_id"]).select("repo_id", "path", module.alias("module"))
+    return evolution.resolve_imports(imports, files.select("repo_id", "path"))
+
+
 _PACKAGES = """WITH packages AS (SELECT DISTINCT (l_suppkey % 10)::varchar AS repo_id, 'p' || l_partkey % 50 AS package, l_linenumber || '.' || (l_quantity::int % 12) || '.' || (l_orderkey % 3) AS version, l_linenumber AS a, l_quantity::int % 12 AS b, l_orderkey % 3 AS c FROM lineitem),
-advisories AS (SELECT DISTINCT p_partkey AS advisory, 'p' || p_partkey % 50 AS package, p_size % 5 + 1 AS a, p_size % 9 AS b FROM part WHERE p_size % 2 = 0),
+advisories AS (SELECT DISTINCT p_partkey AS advisory, 'p' || p_partkey % 50 AS package, p_size % 5 + 1 AS a, p_size % 9 AS b FROM part),
 imports AS (SELECT DISTINCT (l_suppkey % 10)::varchar AS repo_id, 'src/' || l_orderkey % 40 AS path, 'p' || l_partkey % 50 AS module FROM lineitem)"""
 
 
@@ -86,7 +121,7 @@ def vulnerable_files(spark, sf_dir):
     version = F.concat_ws(".", F.col("l_linenumber").cast("string"), (F.round("l_quantity").cast("int") % 12).cast("string"), (F.col("l_orderkey") % 3).cast("string"))
     packages = lines.select(repo, name("l_partkey").alias("package"), version.alias("version")).distinct()
     a, b = F.col("p_size") % 5 + 1, F.col("p_size") % 9
-    advisories = parts.where("p_size % 2 = 0").select(F.col("p_partkey").alias("advisory"), name("p_partkey").alias("package"), F.concat_ws(".", a.cast("string"), b.cast("string"), F.lit("0")).alias("introduced"), F.concat((a + 1).cast("string"), F.lit(".5.0")).alias("fixed"))
+    advisories = parts.select(F.col("p_partkey").alias("advisory"), name("p_partkey").alias("package"), F.concat_ws(".", a.cast("string"), b.cast("string"), F.lit("0")).alias("introduced"), F.concat((a + 1).cast("string"), F.lit(".5.0")).alias("fixed"))
     imports = lines.select(repo, F.concat(F.lit("src/"), (F.col("l_orderkey") % 40).cast("string")).alias("path"), name("l_partkey").alias("module")).distinct()
     return evolution.vulnerable(packages, advisories, imports)
 
