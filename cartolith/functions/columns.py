@@ -238,13 +238,13 @@ def source_problem(url: Column, hosts: list[str]) -> Column:
     host = F.lower(piece(3))
     address = F.startswith(host, F.lit("[")) | host.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
     return (
-        F.when(url.isNull() | ~url.rlike(u) | (host == "") | url.rlike(r"\s"), F.lit("not a valid URL"))
-        .when(F.lower(piece(1)) != "https", F.lit("only https:// sources are allowed"))
-        .when(~piece(2).isin("", "@", ":@"), F.lit("credentials in the URL are not allowed"))
-        .when(~piece(4).isin("", ":", ":443"), F.lit("only the default https port is allowed"))
-        .when((F.length(piece(6)) > 1) | (F.length(piece(7)) > 1), F.lit("query strings and fragments are not allowed"))
-        .when(address, F.lit("IP-literal hosts are not allowed"))
-        .when(~host.isin(hosts), F.concat(F.lit("host "), host, F.lit(" is not in the allowlist")))
+        F.when(url.isNull() | ~url.rlike(u) | (host == "") | url.rlike(r"\s"), F.lit(t.NOT_A_URL))
+        .when(F.lower(piece(1)) != "https", F.lit(t.NOT_HTTPS))
+        .when(~piece(2).isin("", "@", ":@"), F.lit(t.HAS_CREDENTIALS))
+        .when(~piece(4).isin("", ":", ":443"), F.lit(t.OTHER_PORT))
+        .when((F.length(piece(6)) > 1) | (F.length(piece(7)) > 1), F.lit(t.HAS_QUERY))
+        .when(address, F.lit(t.IS_ADDRESS))
+        .when(~host.isin(hosts), F.concat(F.lit(t.OTHER_HOST[0]), host, F.lit(t.OTHER_HOST[1])))
     )
 
 
@@ -309,3 +309,53 @@ def forbidden_address(address: Column) -> Column:
     """True for addresses that must never be contacted, and for what is no address."""
     v4 = let(ipv4_number(address), forbidden_v4)
     return F.coalesce(v4, let(ipv6_groups(address), lambda g: F.when(g.isNotNull(), _forbidden_v6(g))), F.lit(True))
+
+
+# a space-filling curve
+
+
+def _spread(v: Column) -> Column:
+    """The low 31 bits of v with a zero bit before each."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def morton(x: Column, y: Column) -> Column:
+    """The place of (x, y) on the Z curve: their bits in turn. Tiles of one ancestor lie together."""
+    return _spread(x.cast("long")).bitwiseOR(F.shiftleft(_spread(y.cast("long")), 1))
+
+
+def morton_ranges(z: int, x0: int, y0: int, x1: int, y1: int, most: int = 16) -> list[tuple[int, int]]:
+    """At most `most` ranges of the curve at zoom z that hold all tiles from (x0, y0) to (x1, y1), these included: squares
+    that the box holds whole, or cuts where there would be too many."""
+    end = (1 << z) - 1
+    x0, y0, x1, y1 = max(x0, 0), max(y0, 0), min(x1, end), min(y1, end)
+    if x0 > x1 or y0 > y1:
+        return []
+    whole, cut = [], [(0, 0, z)]  # squares of 2^k tiles a side by their corner
+    while cut:
+        deeper = []
+        for x, y, k in cut:
+            size = 1 << k
+            if x > x1 or y > y1 or x + size <= x0 or y + size <= y0:
+                continue
+            if x >= x0 and y >= y0 and x + size - 1 <= x1 and y + size - 1 <= y1:
+                whole.append((x, y, k))
+            else:
+                deeper.append((x, y, k))
+        if len(whole) + 4 * len(deeper) > 4 * most:
+            whole += deeper
+            break
+        cut = [(x + (i & 1) * (1 << k - 1), y + (i >> 1) * (1 << k - 1), k - 1) for x, y, k in deeper for i in range(4)]
+    bits = lambda v: sum((v >> b & 1) << 2 * b for b in range(31))
+    ranges: list[tuple[int, int]] = []
+    for low, high in sorted((bits(x) | bits(y) << 1, (bits(x) | bits(y) << 1) + (1 << 2 * k) - 1) for x, y, k in whole):
+        if ranges and low == ranges[-1][1] + 1:
+            ranges[-1] = (ranges[-1][0], high)
+        else:
+            ranges.append((low, high))
+    while len(ranges) > most:  # close the smallest gap
+        k = min(range(len(ranges) - 1), key=lambda i: ranges[i + 1][0] - ranges[i][1])
+        ranges[k : k + 2] = [(ranges[k][0], ranges[k + 1][1])]
+    return ranges

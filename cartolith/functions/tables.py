@@ -44,3 +44,12 @@ COLORS = {
 
 #: Grammars whose files are parsed.
 GRAMMARS = ["Rust", "Go", "Python", "JavaScript", "TypeScript", "TSX", "C", "C++", "Java", "C#", "Ruby", "PHP"]
+
+# Why a source isn't allowed, in the order of the rules.
+NOT_A_URL = "not a valid URL"
+NOT_HTTPS = "only https:// sources are allowed"
+HAS_CREDENTIALS = "credentials in the URL are not allowed"
+OTHER_PORT = "only the default https port is allowed"
+HAS_QUERY = "query strings and fragments are not allowed"
+IS_ADDRESS = "IP-literal hosts are not allowed"
+OTHER_HOST = ("host ", " is not in the allowlist")

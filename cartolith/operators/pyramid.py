@@ -100,9 +100,30 @@ def read_manifest(manifests: DataFrame) -> DataFrame:
     return rows.withColumn("m", checked)
 
 
+#: Bytes of a row group in stored tiles: what a read of one tile takes at least.
+ROW_GROUP = 1 << 20
+
+
+def along_curve(rows: DataFrame, *first: str) -> DataFrame:
+    """rows(repo_id, z, tx, ty) with `morton`, dealt and sorted so that neighbours on the map are neighbours in files."""
+    order = [*first, "repo_id", "z", "morton"]
+    return rows.withColumn("morton", c.morton(F.col("tx"), F.col("ty"))).repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def in_box(stored: DataFrame, repo_id: str, z: int, x0: int, y0: int, x1: int, y1: int) -> DataFrame:
+    """The rows of a stored table of tiles or layers from tile (x0, y0) to (x1, y1) of a repository and zoom.
+
+    A few ranges of the curve hold the box; files and row groups outside them aren't read.
+    """
+    near = F.lit(False)
+    for low, high in c.morton_ranges(z, x0, y0, x1, y1):
+        near = near | F.col("morton").between(low, high)
+    return stored.where((F.col("repo_id") == repo_id) & (F.col("z") == z) & near & F.col("tx").between(x0, x1) & F.col("ty").between(y0, y1))
+
+
 @dataclass
 class TileSetFrames:
-    """A tile set's tables, read lazily."""
+    """A tile set's tables, read lazily. Stored tiles and layers have a column morton; see in_box."""
 
     tiles: DataFrame
     layers: DataFrame
@@ -111,9 +132,10 @@ class TileSetFrames:
     manifest: DataFrame
 
     def write(self, root: str) -> None:
-        self.tiles.write.mode("overwrite").partitionBy("z").parquet(f"{root}/tiles")
+        along_curve(self.tiles.drop("morton")).write.mode("overwrite").option("parquet.block.size", ROW_GROUP).partitionBy("z").parquet(f"{root}/tiles")
         # adding a layer rewrites its own partitions only
-        self.layers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer", "z").parquet(f"{root}/layers")
+        dealt = along_curve(self.layers.drop("morton"), "layer")
+        dealt.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).option("partitionOverwriteMode", "dynamic").partitionBy("layer", "z").parquet(f"{root}/layers")
         for name in ("paths", "keys", "manifest"):
             getattr(self, name).write.mode("overwrite").parquet(f"{root}/{name}")
 

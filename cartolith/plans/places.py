@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cartolith.functions import columns as c
 from cartolith.operators import checks, pyramid, textgrid, tree, viewport
 from cartolith.plans.queries import _COLOR, FILES, NODES, ZOOMS, _indexed, _nodes, _table, _zoomed, query
-from cartolith.sources.storage import staged
+from cartolith.sources.storage import new_folder, staged
 
 
 def _scattered(spark, sf_dir, files=None):
@@ -63,6 +63,22 @@ def tile_boxes(spark, sf_dir):
     return boxes.select("repo_id", "z", "tx", "ty", *[F.round(F.col(n).cast("double"), 3).alias(n) for n in ("min_x", "max_x", "min_y", "max_y")])
 
 
+_CELL = lambda c_, size: f"least(greatest(floor(({c_} + {size} / 2) / side * 32), 0), 31)::bigint"
+
+
+@query(SCATTERED + f", cells AS (SELECT repo_id, id, {_CELL('x', 'w')} AS tx, {_CELL('y', 'h')} AS ty FROM scat WHERE repo_id = (SELECT min(repo_id) FROM scat)) SELECT repo_id, 5 AS z, tx, ty, count(*) AS nodes, max(id) AS last FROM cells WHERE tx BETWEEN 3 AND 21 AND ty BETWEEN 6 AND 17 GROUP BY repo_id, tx, ty")
+def tiles_in_box(spark, sf_dir):
+    """All nodes by tiles of one zoom, stored along the curve, and a view of the first repository read from them."""
+    root, rows = new_folder(spark), _scattered(spark, sf_dir)
+    sides = rows.where("parent_path = ''").groupBy("repo_id").agg(F.sqrt(F.greatest(F.sum("weight"), F.lit(1)).cast("double")).alias("side"))
+    cell = lambda at, size: c.tile_coord(F.col(at) + F.col(size) / 2, F.col("side"), F.lit(5))
+    tiled = rows.join(sides.hint("shuffle_hash"), "repo_id").select("repo_id", F.lit(5).alias("z"), cell("x", "w").alias("tx"), cell("y", "h").alias("ty"), "id")
+    tiled = tiled.groupBy("repo_id", "z", "tx", "ty").agg(F.count(F.lit(1)).alias("nodes"), F.max("id").alias("last"))
+    pyramid.along_curve(tiled).write.option("parquet.block.size", pyramid.ROW_GROUP).partitionBy("z").parquet(f"{root}/tiles")
+    first = rows.agg(F.min("repo_id")).first()[0]
+    return pyramid.in_box(spark.read.parquet(f"{root}/tiles"), first, 5, 3, 6, 21, 17).select("repo_id", F.col("z").cast("int").alias("z"), "tx", "ty", "nodes", "last")
+
+
 _LAYERS = ", names AS (SELECT repo_id, language, row_number() OVER (PARTITION BY repo_id ORDER BY language) - 1 AS idx FROM (SELECT DISTINCT repo_id, language FROM nodes))"
 
 
