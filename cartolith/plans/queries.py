@@ -164,10 +164,10 @@ def oversize_rule(spark, sf_dir):
     return _classified(spark, sf_dir, OVERSIZE).select("repo_id", "path", "bytes", "lines", "is_oversize", "parsed", "outcome")
 
 
-@query(CLASSIFIED + " SELECT repo_id, path, bytes + (CASE WHEN bytes % 5 = 0 THEN 1 ELSE 0 END) AS bytes, bytes % 5 = 0 AS is_binary, CASE WHEN bytes % 5 = 0 THEN 0 ELSE lines END AS lines, parsed AND bytes % 5 <> 0 AS parsed FROM classified WHERE bytes < 8192")
+@query(CLASSIFIED + f" SELECT repo_id, path, bytes + (CASE WHEN bytes % 5 = 0 THEN 1 ELSE 0 END) AS bytes, bytes % 5 = 0 AND bytes < {t.SNIFF_BYTES} AS is_binary, CASE WHEN bytes % 5 = 0 AND bytes < {t.SNIFF_BYTES} THEN 0 ELSE lines + CASE WHEN bytes % 5 = 0 AND suffix(content, chr(10)) THEN 1 ELSE 0 END END AS lines, parsed AND NOT (bytes % 5 = 0 AND bytes < {t.SNIFF_BYTES}) AS parsed FROM classified")
 def binary_rule(spark, sf_dir):
-    """Texts with a NUL byte behind every fifth one of those that the first look covers."""
-    files = corpus.corpus_files(_table(spark, sf_dir, "documents")).where(F.octet_length("content") < 8192)
+    """Texts with a NUL byte behind every fifth one: the first look doesn't see it in long ones."""
+    files = corpus.corpus_files(_table(spark, sf_dir, "documents"))
     nul = F.when(F.octet_length("content") % 5 == 0, F.concat(F.col("content"), F.lit("\0"))).otherwise(F.col("content"))
     rows = classify.classify(files.withColumn("content", F.encode(nul, "UTF-8")))
     return rows.select("repo_id", "path", "bytes", "is_binary", "lines", "parsed")
@@ -429,7 +429,7 @@ def imports_count(spark, sf_dir):
 
 @query()
 def token_histogram(spark, sf_dir):
-    return extract.one_per_start(extract.spans(_files(spark, sf_dir))).groupBy("repo_id", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("bytes"))
+    return extract.spans(_files(spark, sf_dir)).groupBy("repo_id", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("bytes"))
 
 
 @query()

@@ -78,5 +78,14 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str] |
     df.write.mode("overwrite").jdbc(url, table, properties=properties or {})
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, str] | None = None) -> DataFrame:
-    return spark.read.jdbc(url, table, properties=properties or {})
+def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, str] | None = None, column: str | None = None, partitions: int = 16) -> DataFrame:
+    """A catalog table from a database: one query, or with a number or time `column` one for each of `partitions` ranges
+    between its least and greatest value. Rows in which it is null come with the first range."""
+    properties = properties or {}
+    if column is None:
+        return spark.read.jdbc(url, table, properties=properties)
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)
+    ends = spark.read.jdbc(url, f"(SELECT MIN({quoted}) AS lo, MAX({quoted}) AS hi FROM {table}) ends", properties=properties).first()
+    if ends[0] is None:
+        return spark.read.jdbc(url, table, properties=properties)
+    return spark.read.jdbc(url, table, column=column, lowerBound=ends[0], upperBound=ends[1], numPartitions=partitions, properties=properties)

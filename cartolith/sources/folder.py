@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import shutil
 import stat
 from collections import deque
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cartolith.functions import tables as t
+from cartolith.sources.storage import staged
 
 #: Never entered or listed, whether a directory or a file that names one.
 GIT = b".git"
@@ -42,6 +44,16 @@ class LocalStore:
             if stat.S_ISDIR(s.st_mode) or stat.S_ISREG(s.st_mode):
                 yield e.name, stat.S_ISDIR(s.st_mode), s.st_size, s.st_mtime
 
+    def write(self, path: bytes, source) -> int:
+        """A file with what source gives, in its place at once; its length."""
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        part = path + b".%d.part" % os.getpid()
+        with open(part, "wb") as f:
+            shutil.copyfileobj(source, f, 1 << 20)
+            size = f.tell()
+        os.replace(part, path)
+        return size
+
     def open(self, path: bytes):
         """A regular file, opened without following a link in its place."""
         handle = os.open(path, os.O_RDONLY | os.O_NOFOLLOW | os.O_NONBLOCK)
@@ -68,6 +80,12 @@ class RemoteStore:
             if i.type in (FileType.File, FileType.Directory):
                 yield i.base_name.encode(), i.type == FileType.Directory, i.size or 0, (i.mtime_ns or 0) / 1e9
 
+    def write(self, path: bytes, source) -> int:
+        self.files.create_dir(os.path.dirname(path.decode()), recursive=True)
+        with self.files.open_output_stream(path.decode()) as f:  # an object is there once it is whole
+            shutil.copyfileobj(source, f, 1 << 20)
+            return f.tell()
+
     def open(self, path: bytes):
         return self.files.open_input_stream(path.decode())
 
@@ -221,6 +239,27 @@ def scan_folder(spark: SparkSession, root: str, repo_id: str, content: bool = Tr
     return read_contents(listed, root).select(F.lit(repo_id).alias("repo_id"), "*")
 
 
+def copy_folder(spark: SparkSession, root: str, target: str, at_once: int = 16) -> DataFrame:
+    """Copy the regular files below root to target, `at_once` of them at a time; path and length of each, sorted.
+
+    target is a folder that all tasks see, or a URI. A file that is copied twice, as its task was lost, is there once.
+    """
+    listed = read_listing(spark, root).where("kind = 'file'").select("path", "raw")
+    if "://" not in target or target.startswith("file:"):
+        os.makedirs(target.removeprefix("file://").removeprefix("file:"), exist_ok=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (source, base), (sink, to) = store_of(root), store_of(target)
+        for batch in batches:
+            done = []
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+                with source.open(join(base, raw)) as f:
+                    done.append((path, sink.write(join(to, raw), f)))
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["path", "length"])
+
+    return staged(listed.repartition(at_once).mapInArrow(run, "path string, length long")).orderBy("path")
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """path and length of the regular files below root, sorted; contents aren't read."""
     return read_listing(spark, root).where("kind = 'file'").select("path", "length").orderBy("path")

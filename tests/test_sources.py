@@ -80,6 +80,25 @@ def test_remote_store(tmp_path):
     assert store.open(b"x/a").read() == b"aa" and list(store.entries(b"nowhere")) == []
 
 
+def test_copied_folder(spark, tmp_path):
+    files = {f"d{i % 3}/.f{i}": "x" * i for i in range(40)}
+    put(tmp_path / "root", files)
+    (tmp_path / "root" / "link").symlink_to(tmp_path / "root" / "d0")
+    for _ in range(2):
+        rows = folder.copy_folder(spark, str(tmp_path / "root"), str(tmp_path / "to" / "there"), at_once=4).collect()
+        assert [(r.path, r.length) for r in rows] == sorted((p, len(t)) for p, t in files.items())
+    assert [(r.path, r.length) for r in corpus.listing(spark, str(tmp_path / "to" / "there")).collect()] == sorted((p, len(t)) for p, t in files.items())
+
+
+def test_partitioned_database_read(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path / 'db'};create=true"
+    corpus.write_jdbc(spark.range(100).selectExpr("nullif(id, 7) AS id", "id AS v"), url, "jobs")
+    rows = corpus.read_jdbc(spark, url, "jobs", column="id", partitions=5)
+    assert rows.rdd.getNumPartitions() == 5 and sorted(r.v for r in rows.collect()) == list(range(100))
+    corpus.write_jdbc(spark.range(0), url, "nobody")
+    assert corpus.read_jdbc(spark, url, "nobody", column="id").count() == 0
+
+
 # ignore rules
 
 
