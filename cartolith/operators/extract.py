@@ -85,23 +85,50 @@ CALLEES = {"JavaScript": ["require"], "TypeScript": ["require"], "TSX": ["requir
 _HOLDERS = ("class", "interface", "enum", "struct", "trait")
 _NEED_BODY = {"Rust": ("function",), "C": ("function", "method", "struct", "enum", "class"), "C++": ("function", "method", "struct", "enum", "class")}
 _METHODS_INSIDE = ("JavaScript", "TypeScript", "TSX", "Java", "C#")
-_STRUCTURE = re.compile(r"[(){}\[\];]")
-_PLAIN = {"}", "{", "};", "})", "});", ")", ");", "],", "},"}
 _BEGINS = re.compile(r"^\s*(?:(?:private|public|protected|module_function)\s+)?(def|class|module|if|unless|while|until|case|begin|for)\b")
+_DO, _END = re.compile(r"(?<![.:@\w])do\b(?!\s*:)"), re.compile(r"(?<![.:@\w])end\b(?![?!:(])")
 _ENDLESS = re.compile(r"^\s*(?:\w+\s+)?def\s+[\w.?!]+(?:\s*\([^()]*\))?\s*=(?![=~>])")
 
 _rules: dict[str, tuple[re.Pattern, dict[int, tuple[str, int]]]] = {}
+#: By character below 128: whether it is one that opens, closes or ends something.
+_STRUCTURE = np.zeros(128, bool)
+_STRUCTURE[[ord(ch) for ch in "(){}[];"]] = True
+
+
+def _within_line(pattern: str) -> str:
+    """A rule for one line as one for a line of a text: what may be white space, or anything but some characters, is no
+    line's end."""
+    out, i, inside = [], 0, ""
+    while i < len(pattern):
+        two = pattern[i : i + 2]
+        if two == "\\s":
+            out.append(" \\t\\r\\f\\v" if inside else "[^\\S\\n]")
+            i += 2
+        elif two[0] == "\\":
+            out.append(two)
+            i += 2
+        elif two == "[^" and not inside:
+            out.append("[^\\n")
+            inside, i = "^", i + 2
+        else:
+            if two[0] == "[" and not inside:
+                inside = "["
+            elif two[0] == "]":
+                inside = ""
+            out.append(two[0])
+            i += 1
+    return "".join(out)
 
 
 def _line_rules(grammar: str) -> tuple[re.Pattern, dict[int, tuple[str, int]]]:
-    """The grammar's rules as one expression; by the group of each rule its kind and its name's group."""
+    """The grammar's rules as one expression over a whole text; by the group of each rule its kind and its name's group."""
     if grammar not in _rules:
         parts, groups, at = [], {}, 0
         for kind, pattern in SYMBOL_RULES[grammar]:
-            parts.append(f"({pattern})")
+            parts.append(f"({_within_line(pattern)})")
             groups[at + 1] = (kind, at + 2)
             at += 1 + re.compile(pattern).groups
-        _rules[grammar] = re.compile("|".join(parts)), groups
+        _rules[grammar] = re.compile("|".join(parts), re.M), groups
     return _rules[grammar]
 
 
@@ -122,68 +149,80 @@ def definitions(code: str, grammar: str) -> list[tuple[str, str, int, int, int]]
     `end`. Signatures without a body in Rust, and C and C++ names that are only used, are no symbols.
     """
     rule, groups = _line_rules(grammar)
-    rows = {"Python": _by_indent, "Ruby": _by_word}.get(grammar, _by_braces)(code.split("\n"), grammar, rule, groups)
+    points = np.frombuffer(code.encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.flatnonzero(points == 10)
+    found = []
+    for m in rule.finditer(code):
+        kind, name = groups[m.lastindex]  # the group of a rule closes last, after its name's
+        found.append((m.start(), kind, m.group(name)))
+    lines = np.searchsorted(ends, [f[0] for f in found]) + 1
+    named = [(n, kind, name) for n, (_, kind, name) in zip(lines.tolist(), found, strict=True)]
+    if grammar == "Python":
+        rows = _by_indent(code.split("\n"), named)
+    elif grammar == "Ruby":
+        rows = _by_word(code.split("\n"), named)
+    else:
+        at = np.flatnonzero(_STRUCTURE[np.minimum(points, 127)])
+        rows = _by_braces(points[at].tolist(), (np.searchsorted(ends, at) + 1).tolist(), len(ends) + 1, grammar, named)
     return sorted({tuple(r) for r in rows if r[3]}, key=lambda s: (s[2], s[3], s[0], s[1]))
 
 
-def _found(m: re.Match, groups: dict[int, tuple[str, int]]) -> tuple[str, str]:
-    """The kind and name of a match; the group of a rule closes last, after its name's."""
-    kind, name = groups[m.lastindex]
-    return kind, m.group(name)
-
-
-def _by_braces(lines: list[str], grammar: str, rule: re.Pattern, groups: dict) -> list[list]:
+def _by_braces(signs: list[int], lines: list[int], last: int, grammar: str, named: list[tuple[int, str, str]]) -> list[list]:
+    """signs: the structural characters in order, and the lines they are in; named: (line, kind, name) of what may be
+    definitions."""
     need = _NEED_BODY.get(grammar, ())
     methods_inside = grammar in _METHODS_INSIDE
     rows: list[list] = []
     stack: list[_Open] = []
-    depth, n = 0, 0
+    depth, k, many = 0, 0, len(named)
 
-    def close(d: _Open) -> None:
+    def close(d: _Open, n: int) -> None:
         d.row[3] = n if d.opened or d.row[0] not in need else 0
 
-    for n, line in enumerate(lines, 1):
-        bare = line.strip()
-        if not bare:
+    def begin(n: int, kind: str, name: str) -> None:
+        holder = next((d for d in reversed(stack) if d.opened), None)
+        inside = holder is not None and holder.row[0] in _HOLDERS and holder.at + 1 == depth
+        if kind != "method" or not methods_inside or inside:
+            row = [kind, name, n, 0, holder.row[2] if holder else 0]
+            rows.append(row)
+            stack.append(_Open(depth, row))
+
+    for sign, n in zip(signs, lines, strict=True):
+        while k < many and named[k][0] <= n:
+            begin(*named[k])
+            k += 1
+        if sign == 123:  # {
+            for d in reversed(stack):
+                if d.opened or d.at != depth:
+                    break
+                d.opened = True
+            depth += 1
+        elif sign == 125:  # }
+            depth -= 1
+            while stack and stack[-1].at >= depth:
+                close(stack.pop(), n)
+        elif not stack or stack[-1].opened:
             continue
-        if bare not in _PLAIN and (m := rule.match(line)):
-            kind, name = _found(m, groups)
-            holder = next((d for d in reversed(stack) if d.opened), None)
-            inside = holder is not None and holder.row[0] in _HOLDERS and holder.at + 1 == depth
-            if kind != "method" or not methods_inside or inside:
-                row = [kind, name, n, 0, holder.row[2] if holder else 0]
-                rows.append(row)
-                stack.append(_Open(depth, row))
-        for s in _STRUCTURE.finditer(line):
-            ch = s.group()
-            if ch == "{":
-                for d in reversed(stack):
-                    if d.opened or d.at != depth:
-                        break
-                    d.opened = True
-                depth += 1
-            elif ch == "}":
-                depth -= 1
-                while stack and stack[-1].at >= depth:
-                    close(stack.pop())
-            elif ch == ";":
-                while stack and not stack[-1].opened and stack[-1].at == depth and stack[-1].round <= 0:
-                    close(stack.pop())
-            elif stack and not stack[-1].opened:
-                for d in reversed(stack):
-                    if d.opened:
-                        break
-                    d.round += 1 if ch in "([" else -1
-    n = len(lines)
+        elif sign == 59:  # ;
+            while stack and not stack[-1].opened and stack[-1].at == depth and stack[-1].round <= 0:
+                close(stack.pop(), n)
+        else:
+            for d in reversed(stack):
+                if d.opened:
+                    break
+                d.round += 1 if sign in (40, 91) else -1
+    for rest in named[k:]:
+        begin(*rest)
     while stack:
-        close(stack.pop())
+        close(stack.pop(), last)
     return rows
 
 
-def _by_indent(lines: list[str], grammar: str, rule: re.Pattern, groups: dict) -> list[list]:
+def _by_indent(lines: list[str], named: list[tuple[int, str, str]]) -> list[list]:
     rows: list[list] = []
     stack: list[tuple[int, list]] = []
     last, brackets = 0, 0
+    what = {n: (kind, name) for n, kind, name in named}
     for n, line in enumerate(lines, 1):
         bare = line.lstrip()
         if not bare:
@@ -192,26 +231,27 @@ def _by_indent(lines: list[str], grammar: str, rule: re.Pattern, groups: dict) -
             own = len(line) - len(bare)
             while stack and stack[-1][0] >= own:
                 stack.pop()[1][3] = last
-            if m := rule.match(line):
-                kind, name = _found(m, groups)
+            if n in what:
+                kind, name = what[n]
                 rows.append([kind, name, n, 0, stack[-1][1][2] if stack else 0])
                 stack.append((own, rows[-1]))
         # a line inside brackets goes on whatever its indentation
-        brackets = max(0, brackets + sum(line.count(x) for x in "([{") - sum(line.count(x) for x in ")]}"))
+        if brackets or "(" in bare or "[" in bare or "{" in bare:
+            brackets = max(0, brackets + sum(bare.count(x) for x in "([{") - sum(bare.count(x) for x in ")]}"))
         last = n
     for _, row in stack:
         row[3] = last
     return rows
 
 
-def _by_word(lines: list[str], grammar: str, rule: re.Pattern, groups: dict) -> list[list]:
+def _by_word(lines: list[str], named: list[tuple[int, str, str]]) -> list[list]:
     rows: list[list] = []
     stack: list[list | None] = []  # what each open word began: a definition's row, or nothing
+    what = {n: (kind, name) for n, kind, name in named}
     for n, line in enumerate(lines, 1):
-        m = rule.match(line)
         row = None
-        if m:
-            kind, name = _found(m, groups)
+        if n in what:
+            kind, name = what[n]
             row = [kind, name, n, 0, next((d[2] for d in reversed(stack) if d), 0)]
             rows.append(row)
             if _ENDLESS.match(line):
@@ -220,9 +260,9 @@ def _by_word(lines: list[str], grammar: str, rule: re.Pattern, groups: dict) ->
         b = _BEGINS.match(line)
         if b:
             stack.append(row)
-        blocks = 0 if b and b.group(1) in ("while", "until", "for") else len(re.findall(r"(?<![.:@\w])do\b(?!\s*:)", line))
-        stack.extend([None] * blocks)
-        for _ in range(len(re.findall(r"(?<![.:@\w])end\b(?![?!:(])", line))):
+        if "do" in line and not (b and b.group(1) in ("while", "until", "for")):
+            stack.extend([None] * len(_DO.findall(line)))
+        for _ in range(len(_END.findall(line)) if "end" in line else 0):
             if stack and (d := stack.pop()):
                 d[3] = n
     for d in stack:
