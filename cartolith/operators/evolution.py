@@ -173,7 +173,10 @@ def version_key(version):
 def vulnerable(packages: DataFrame, advisories: DataFrame, imports: DataFrame) -> DataFrame:
     """Files that import a package with a version inside an advisory's range [introduced, fixed)."""
     key = lambda name: version_key(F.regexp_replace(name, r"\+.*$", ""))
-    hit = packages.join(advisories.hint("merge"), "package").where((key("version") >= key("introduced")) & (F.col("fixed").isNull() | (key("version") < key("fixed"))))
+    # keys are made once a row, before rows meet
+    versions = packages.withColumn("__v", key("version"))
+    ranges = advisories.select("package", "advisory", key("introduced").alias("__from"), F.when(F.col("fixed").isNotNull(), key("fixed")).alias("__to"))
+    hit = versions.join(ranges.hint("merge"), "package").where((F.col("__v") >= F.col("__from")) & (F.col("__to").isNull() | (F.col("__v") < F.col("__to"))))
     return imports.join(hit.select("repo_id", F.col("package").alias("module"), "advisory").distinct().hint("merge"), ["repo_id", "module"]).select("repo_id", "path", "advisory").distinct()
 
 

@@ -63,6 +63,18 @@ def tile_boxes(spark, sf_dir):
     return boxes.select("repo_id", "z", "tx", "ty", *[F.round(F.col(n).cast("double"), 3).alias(n) for n in ("min_x", "max_x", "min_y", "max_y")])
 
 
+@query(SCATTERED + """, k AS (SELECT repo_id, count(DISTINCT (z, tx, ty)) AS tiles FROM feats GROUP BY repo_id),
+s AS (SELECT repo_id, count(*) FILTER (kind = 'file') AS files, count(*) FILTER (kind = 'dir') AS directories FROM nodes GROUP BY repo_id)
+SELECT s.*, max_z::int AS max_zoom, tiles FROM s JOIN maxz USING (repo_id) JOIN k USING (repo_id)""")
+def page_statistics(spark, sf_dir):
+    """What a page shows of each tile set: counts and greatest zoom from its manifest, and its tiles."""
+    files = _indexed(spark, sf_dir)
+    nodes = _nodes(spark, sf_dir, files)
+    tiled = _tiles(spark, sf_dir, files)
+    document = pyramid.manifest(nodes, files, staged(tree.node_zooms(nodes)))
+    return pyramid.summary(pyramid.TileSetFrames(tiled, tiled, files, pyramid.tile_keys(tiled), document))
+
+
 _CELL = lambda c_, size: f"least(greatest(floor(({c_} + {size} / 2) / side * 32), 0), 31)::bigint"
 
 

@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that this process has taken and not removed.
+_taken: list[str] = []
+
+
 def new_folder(spark: SparkSession) -> str:
     """A folder that isn't there yet, below spark.checkpoint.dir.
 
@@ -20,7 +24,19 @@ def new_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         root = f"{tempfile.gettempdir()}/checkpoints/{os.getpid()}"
-    return f"{root}/cartolith-{uuid.uuid4().hex}"
+    _taken.append(f"{root}/cartolith-{uuid.uuid4().hex}")
+    return _taken[-1]
+
+
+def remove_staged(spark: SparkSession) -> int:
+    """Delete all folders that were taken so far, and tell how many: for when results are written and no frame that was
+    made from staged tables is used any more."""
+    for path in _taken:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    n = len(_taken)
+    _taken.clear()
+    return n
 
 
 def staged(df: DataFrame) -> DataFrame:

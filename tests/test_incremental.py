@@ -82,3 +82,18 @@ def test_an_update_reads_the_buckets_of_its_change(spark, tmp_path):
     plan = old._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters", 1)[1].split("\n")[0]
     assert store.rollup().where("dir = 'a'").first().files == 199
+
+
+def test_staged_folders_are_removed(spark):
+    import os
+
+    from cartolith.sources import storage
+
+    aside, storage._taken[:] = storage._taken[:], []
+    try:
+        assert storage.staged(spark.range(5)).count() == 5
+        (path,) = storage._taken
+        assert os.path.isdir(path.removeprefix("file:")) and storage.remove_staged(spark) == 1
+        assert not os.path.exists(path.removeprefix("file:")) and storage.remove_staged(spark) == 0
+    finally:
+        storage._taken[:] = aside
