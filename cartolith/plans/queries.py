@@ -570,4 +570,4 @@ def bundled_edges(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directory sums with each directory's dominant language."""
     files = staged(_files(spark, sf_dir).select("repo_id", "path", "language", "lines", "bytes"))
-    return tree.dir_rollup(files).join(tree.dominant_language(files), ["repo_id", "dir"])
+    return tree.dir_rollup(files).join(tree.dominant_language(files).hint("merge"), ["repo_id", "dir"])
