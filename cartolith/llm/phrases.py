@@ -136,7 +136,8 @@ def phrases_of(w: Words, lang: str, now: np.ndarray | None, before: np.ndarray |
         if now is None or words == longest:
             return
         good = known(now, keys)
-        old = known(before, keys) if before is not None else np.zeros(len(number), bool)
+        # the table may hold a phrase by chance: only one that was counted led on to longer ones
+        old = known(before, keys) & ~new if before is not None else np.zeros(len(number), bool)
         if before is not None:
             good |= new
         # the phrase at word i meets the one at word i + 1

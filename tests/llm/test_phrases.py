@@ -99,3 +99,15 @@ def test_words_with_equal_hashes_stay_apart():
     forced = phrases._word_ids(w.flat, w.starts, w.ends - w.starts, np.zeros(4, np.uint64))
     assert forced[0] == forced[2] and len(set(forced.tolist())) == 3
     assert phrases.slices(w.flat, w.starts[:3], w.ends[[1, 1, 3]]).equals(pa.array(["ab cd", "cd", "ab ef"]))
+
+
+def test_phrases_the_table_holds_by_chance_are_counted_once():
+    """A table with random marks holds phrases whose parts it lacks: two passes still give each phrase, and none twice."""
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        text = np.frombuffer(" ".join(rng.choice(list("abcdefgh"), 80)).encode(), np.uint8)
+        w = phrases.read_words(text, np.array([0, len(text)]))
+        full = np.full(1, 2**64 - 1, np.uint64)
+        before = np.array([rng.integers(0, 2**64 - 1, dtype=np.uint64) | rng.integers(0, 2**64 - 1, dtype=np.uint64)])
+        keys = lambda now, old: [k for _, ks, *_ in phrases.phrases_of(w, "en", now, old, 5) for k in ks.tolist()]
+        assert sorted(keys(before, None) + keys(full, before)) == sorted(keys(full, None))
