@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -46,6 +48,30 @@ def classed_at(offsets: DataFrame, spans: DataFrame, default: int = 0) -> DataFr
     return rows.select("doc_id", "off", F.when(F.col("s.stop") > F.col("off"), F.col("s.cls")).otherwise(F.lit(default)).alias("cls"))
 
 
+def classed_in_lists(rows: DataFrame, default: int = 0) -> DataFrame:
+    """classed_at where a document's offsets and its spans are lists in its one row: doc_id, off, cls of rows(doc_id, offs,
+    gaps, lens, classes). The spans are in order, a gap is the distance from the end of the one before. Nothing is
+    shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            docs, offs, found = [], [], []
+            for i, lists in enumerate(zip(*[batch.column(c) for c in ("offs", "gaps", "lens", "classes")], strict=True)):
+                off, gap, size, cls = (x.values.to_numpy().astype(np.int64) for x in lists)
+                stops = np.cumsum(gap + size)
+                at = np.searchsorted(stops - size, off, "right") - 1
+                held = (at >= 0) & (off < np.concatenate((stops, [0]))[at])
+                docs.append(np.full(len(off), i))
+                offs.append(off)
+                found.append(np.where(held, np.concatenate((cls, [default]))[at], default))
+            if docs:
+                columns = [batch.column("doc_id").take(pa.array(np.concatenate(docs))), pa.array(np.concatenate(offs)), pa.array(np.concatenate(found), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "off", "cls"])
+
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.select("doc_id", "offs", "gaps", "lens", "classes").mapInArrow(run, f"doc_id {kind}, off long, cls int")
+
+
 def runs(chars: DataFrame) -> DataFrame:
     """Gaps and islands: neighbouring characters of a line with one class and next columns are one run.
 
