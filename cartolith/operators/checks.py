@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -40,6 +42,30 @@ def bad_spans(spans: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.where((F.col("after") < F.col("start") + F.col("len")) | (F.col("start") + F.col("len") > F.col("size")))
 
 
+def bad_spans_in_lists(rows: DataFrame) -> DataFrame:
+    """bad_spans where a file's spans are lists in its one row: repo_id, path, start of rows(repo_id, path, starts, lens,
+    size). Nothing is shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            at, found = [], []
+            for i, (a, n, size) in enumerate(zip(*[batch.column(c) for c in ("starts", "lens", "size")], strict=True)):
+                if not a.is_valid or not len(a):
+                    continue
+                a, n = (x.values.to_numpy().astype(np.int64) for x in (a, n))
+                order = np.argsort(a, kind="stable")
+                a, ends = a[order], (a + n)[order]
+                bad = ends > size.as_py() if size.is_valid else np.zeros(len(a), bool)
+                bad[:-1] |= a[1:] < ends[:-1]
+                found.append(a[bad])
+                at.append(np.full(len(found[-1]), i))
+            if found:
+                take = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([batch.column("repo_id").take(take), batch.column("path").take(take), pa.array(np.concatenate(found))], ["repo_id", "path", "start"])
+
+    return rows.select("repo_id", "path", "starts", "lens", F.col("size").cast("long").alias("size")).mapInArrow(run, "repo_id string, path string, start long")
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """Row count and an order-free hash: equal for equal tables."""
     return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("mark"), F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)")).alias("total"))

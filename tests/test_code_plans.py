@@ -1,6 +1,9 @@
 """What the queries on code do once, and the list forms that they use."""
 
+import time
+
 import pytest
+from cartolith.operators import checks, extract, textgrid, tree
 from cartolith.plans import code
 from pyspark.sql import functions as F
 
@@ -22,3 +25,64 @@ def test_code_is_made_once(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr(code, "code_files", lambda docs: real(docs).withColumn("content", seen("content")))
     assert code._code(spark, sf_dir).count() == made.value == 36
+
+
+def rows_of(df, *columns):
+    return sorted(tuple(r) for r in df.select(*columns).collect())
+
+
+def test_code_is_parsed_once(spark, sf_dir, monkeypatch):
+    calls, real = [], extract.parse
+    monkeypatch.setattr(extract, "parse", lambda *a, **k: calls.append(1) or real(*a, **k))
+    assert code.code_summary(spark, sf_dir).first().files == 36
+    assert len(calls) == 1
+
+
+def test_files_that_come_twice(spark):
+    """Equal files are parsed once, and files of one path with other texts give each symbol once."""
+    text, other = "def a(x):\n    return 1\n", "def a(x):\n    return 1\ndef b(x):\n    return 1\n"
+    rows = [("r", "p.py", "Python", True, text), ("r", "p.py", "Python", True, text), ("r", "q.py", "Python", True, text)]
+    files = spark.createDataFrame(rows, "repo_id string, path string, grammar string, parsed boolean, content string")
+    once, single = extract.each_once(files)
+    assert once.count() == 2 and single
+    assert rows_of(extract.symbols(files), "path", "name") == [("p.py", "a"), ("q.py", "a")]
+    more = files.unionByName(spark.createDataFrame([("r", "p.py", "Python", True, other)], files.schema))
+    assert not extract.each_once(more)[1]
+    assert rows_of(extract.symbols(more), "path", "name") == [("p.py", "a"), ("p.py", "b"), ("q.py", "a")]
+
+
+SPANS = [("r", "p", [0, 4, 4, 9, 9, 3], [4, 2, 5, 3, 3, 1], [1, 2, 3, 5, 4, 6]), ("r", "q", [0, 5], [5, 6], [1, 2]), ("s", "p", [], [], [])]
+
+
+def test_spans_in_lists(spark):
+    lists = spark.createDataFrame(SPANS, "repo_id string, path string, starts array<int>, lens array<int>, classes array<tinyint>")
+    columns = ["repo_id", "path", "start", "len", "cls"]
+    flat = extract.spans(lists)
+    assert rows_of(extract.spans(extract.longest_per_start(lists)), *columns) == rows_of(extract.one_per_start(flat), *columns)
+    texts = spark.createDataFrame([("r", "p", "x" * 12), ("r", "q", "x" * 10), ("s", "p", "")], "repo_id string, path string, content string")
+    single = extract.longest_per_start(lists)
+    sized = single.join(texts.selectExpr("repo_id", "path", "length(content) as size"), ["repo_id", "path"])
+    want = rows_of(checks.bad_spans(extract.spans(single), texts), *columns[:3])
+    assert rows_of(checks.bad_spans_in_lists(sized), *columns[:3]) == want and len(want) > 1
+
+
+def test_classes_in_lists(spark):
+    rows = [(1, [0, 1, 4, 5, 9, 30], [0, 1, 0, 2], [1, 3, 0, 6], [1, 2, 3, 4]), (2, [0, 7], [], [], []), (3, [], [3], [2], [7])]
+    lists = spark.createDataFrame(rows, "doc_id long, offs array<long>, gaps array<int>, lens array<int>, classes array<int>")
+    starts = [(1, 0, 1, 1), (1, 2, 3, 2), (1, 7, 6, 4), (3, 3, 2, 7)]
+    spans = spark.createDataFrame(starts, "doc_id long, start long, len long, cls int")
+    got = rows_of(textgrid.classed_in_lists(lists), "doc_id", "off", "cls")
+    assert got == rows_of(textgrid.classed_at(lists.select("doc_id", F.explode("offs").alias("off")), spans), "doc_id", "off", "cls")
+
+
+def test_ids_of_lists(spark):
+    rows = [(f"r{i % 2}", 1000 + i // 2, [f"{k:03}" for k in range(i % 5)]) for i in range(120)]
+    lists = spark.createDataFrame(rows, "repo_id string, file_id long, names array<string>")
+    want = tree.ids_in_order(lists.select("repo_id", "file_id", F.explode("names").alias("item")), ["file_id", "item"])
+    assert rows_of(tree.ids_of_lists(lists, "names"), "repo_id", "file_id", "item", "id") == rows_of(want, "repo_id", "file_id", "item", "id")
+
+
+def test_wide_blank_lines_take_no_time():
+    began = time.monotonic()
+    assert [d[1] for d in extract.definitions("class A {\n" + " " * 2000 + "\n}\n", "Java")] == ["A"]
+    assert time.monotonic() - began < 5
