@@ -173,11 +173,19 @@ def version_key(version):
 def vulnerable(packages: DataFrame, advisories: DataFrame, imports: DataFrame) -> DataFrame:
     """Files that import a package with a version inside an advisory's range [introduced, fixed)."""
     key = lambda name: version_key(F.regexp_replace(name, r"\+.*$", ""))
-    # keys are made once a row, before rows meet
-    versions = packages.withColumn("__v", key("version"))
-    ranges = advisories.select("package", "advisory", key("introduced").alias("__from"), F.when(F.col("fixed").isNotNull(), key("fixed")).alias("__to"))
+    # versions meet each different range of a package once, however many advisories have it
+    bounds = ["package", "introduced", "fixed"]
+    versions = packages.select("repo_id", "package", "version").distinct().withColumn("__v", key("version"))
+    ranges = advisories.select(*bounds).distinct().withColumns({"__from": key("introduced"), "__to": F.when(F.col("fixed").isNotNull(), key("fixed"))})
     hit = versions.join(ranges.hint("merge"), "package").where((F.col("__v") >= F.col("__from")) & (F.col("__to").isNull() | (F.col("__v") < F.col("__to"))))
-    return imports.join(hit.select("repo_id", F.col("package").alias("module"), "advisory").distinct().hint("merge"), ["repo_id", "module"]).select("repo_id", "path", "advisory").distinct()
+    hit = hit.select("repo_id", *bounds).distinct()
+    same = hit["package"].eqNullSafe(advisories["package"]) & hit["introduced"].eqNullSafe(advisories["introduced"]) & hit["fixed"].eqNullSafe(advisories["fixed"])
+    # an advisory of one package meets a file once for each import of it; only those of several packages may meet it again
+    several = advisories.groupBy("advisory").agg(F.min("package").alias("a"), F.max("package").alias("b")).where("a <> b").select("advisory")
+    found = advisories.hint("merge").join(hit, same).select("repo_id", advisories["package"].alias("module"), "advisory").distinct()
+    asked = imports.select("repo_id", "path", "module").distinct()
+    out = found.join(asked.hint("merge"), ["repo_id", "module"]).select("repo_id", "path", "advisory")
+    return out if several.isEmpty() else out.distinct()
 
 
 def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:

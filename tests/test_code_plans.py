@@ -3,7 +3,7 @@
 import time
 
 import pytest
-from cartolith.operators import checks, extract, textgrid, tree
+from cartolith.operators import checks, evolution, extract, textgrid, tree
 from cartolith.plans import code
 from pyspark.sql import functions as F
 
@@ -86,3 +86,16 @@ def test_wide_blank_lines_take_no_time():
     began = time.monotonic()
     assert [d[1] for d in extract.definitions("class A {\n" + " " * 2000 + "\n}\n", "Java")] == ["A"]
     assert time.monotonic() - began < 5
+
+
+def test_advisories_with_one_range(spark):
+    """Advisories of one range meet the versions together; only those of several packages need a last distinct."""
+    packages = spark.createDataFrame([("r", "p", "1.2.0"), ("r", "q", "3.0.0"), ("s", "p", "2.0.0"), ("r", "p", "1.3.0")], "repo_id string, package string, version string")
+    imports = spark.createDataFrame([("r", "a.py", "p"), ("r", "a.py", "q"), ("r", "a.py", "p"), ("s", "b.py", "p")], "repo_id string, path string, module string")
+    rows = [(1, "p", "1.0", "2.0"), (2, "p", "1.0", "2.0"), (3, "q", "2.0", None), (4, "p", "2.5", None), (5, "p", None, "9.0")]
+    single = evolution.vulnerable(packages, spark.createDataFrame(rows, "advisory long, package string, introduced string, fixed string"), imports)
+    assert rows_of(single, "repo_id", "path", "advisory") == [("r", "a.py", 1), ("r", "a.py", 2), ("r", "a.py", 3)]
+    assert single._jdf.queryExecution().optimizedPlan().toString().startswith("Project")
+    rows = [(1, "p", "1.0", None), (1, "q", "1.0", None)]
+    several = evolution.vulnerable(packages, spark.createDataFrame(rows, "advisory long, package string, introduced string, fixed string"), imports)
+    assert rows_of(several, "repo_id", "path", "advisory") == [("r", "a.py", 1), ("s", "b.py", 1)]
