@@ -363,6 +363,20 @@ def test_secret_scan(spark, sample):
     assert secrets.scan_secrets(d.limit(0)).count() == 0
 
 
+def test_secret_scan_reads_texts_twice(spark):
+    """Once for the dictionary and once for the candidates, however many forests and labels are made of them."""
+    d = spark.createDataFrame([(i, f"word{i % 7} and token = '{random_value(i, 20)}' beside abcdef{i}1234") for i in range(40)], "doc_id long, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    assert secrets.scan_secrets(d.mapInArrow(count, d.schema)).count() >= 80
+    assert seen.value == 80
+
+
 def test_secrets_on_held_out_documents(spark):
     """The tokens of the tables, by a pattern that the forest of values doesn't see, against numbers and addresses."""
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
