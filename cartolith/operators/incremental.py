@@ -67,7 +67,7 @@ class IndexStore:
         try:
             return self.spark.read.schema(COMMITS).parquet(f"{self.root}/commits")
         except AnalysisException:
-            return self.spark.createDataFrame([], COMMITS)
+            return self.spark.range(0).select(F.lit(0).alias("version"), F.lit(True).alias("base"))
 
     def versions(self) -> tuple[int, int]:
         """The last base and the last version; (-1, -1) for a store that is empty."""
@@ -107,13 +107,14 @@ class IndexStore:
     def _write(self, rows: DataFrame, name: str, version: int, in_buckets: bool) -> None:
         target = f"{self.root}/{name}/version={version}"
         if in_buckets:
-            dealt = rows.withColumn("bucket", bucket_of(self.buckets)).repartition("bucket")
+            # however few buckets there are, each is cut into parts of one size, which many tasks write and read
+            dealt = rows.withColumn("bucket", bucket_of(self.buckets)).hint("rebalance", F.col("bucket"))
             dealt.write.mode("overwrite").partitionBy("bucket").parquet(target)
         else:
             rows.write.mode("overwrite").parquet(target)
 
     def _commit(self, version: int, base: bool) -> None:
-        self.spark.createDataFrame([(version, base)], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
+        self.spark.range(1, numPartitions=1).select(F.lit(version).alias("version"), F.lit(base).alias("base")).write.mode("append").parquet(f"{self.root}/commits")
 
     def create(self, files: DataFrame, spans: bool = False) -> None:
         """A base of files: kept files of `classify`, with content and grammar."""

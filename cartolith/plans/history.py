@@ -142,10 +142,10 @@ def incremental_index(spark, sf_dir):
     size = F.length("content")
     older = files.where(size % 7 != 0).withColumn("content", F.when(size % 5 == 0, F.concat("content", F.lit("\nmore"))).otherwise(F.col("content")))
     gone = files.where(size % 11 == 0).withColumn("path", F.concat(F.lit("old/"), "path"))
-    kept = lambda rows: staged(classify.kept_files(classify.classify(rows)))
+    kept = lambda rows: classify.kept_files(classify.classify(rows))
     store = incremental.IndexStore(spark, new_folder(spark), buckets=8)
     store.create(kept(older.unionByName(gone)))
-    now = kept(files)
+    now = staged(kept(files))
     store.apply(*incremental.changes(now.where("bytes % 2 = 0"), store.live("files").where("bytes % 2 = 0")))
     store.update(now)
     store.compact()

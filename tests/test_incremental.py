@@ -96,3 +96,16 @@ def test_staged_folders_are_removed(spark):
         assert not os.path.exists(path.removeprefix("file:")) and storage.remove_staged(spark) == 0
     finally:
         storage._taken[:] = aside
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    rng = random.Random(3)
+    files = {("r", f"a/f{i}.py"): f"x = '{rng.getrandbits(8000):x}'\n" for i in range(400)}
+    store = incremental.IndexStore(spark, str(tmp_path / "index"), buckets=1)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    try:
+        store.create(kept(spark, files).repartition(8))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list(tmp_path.glob("index/parsed/version=0/bucket=0/*.parquet"))) > 1
+    assert store.live("parsed").count() == 400
