@@ -114,27 +114,29 @@ def contracted(edges: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFra
     ways_in = edges.groupBy("repo_id", F.col("dst").alias("path")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("before")).where("n = 1")
     ways_out = edges.groupBy(*node).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select(*node)
     inside = ways_in.join(ways_out.hint("merge"), node, "left_semi").join(entries.select(*node).hint("merge"), node, "left_anti")
-    inside = staged(inside.select(*node, "before", F.lit(1).cast("long").alias("hops")))
-    names = inside.select("repo_id", F.col("path").alias("before"))
-    waiting = staged(inside.join(names.hint("merge"), ["repo_id", "before"], "left_semi"))
-    done = [inside.join(names.hint("merge"), ["repo_id", "before"], "left_anti")]
-    now, left = waiting, waiting.count()
-    done = [staged(done[0])]
+    inside = inside.select(*node, "before", F.lit(1).cast("long").alias("hops"))
+    names = inside.select("repo_id", F.col("path").alias("before"), F.lit(True).alias("__in"))
+    # open: the node before is inside a chain as well
+    inside = staged(inside.join(names.hint("merge"), ["repo_id", "before"], "left").withColumn("open", F.coalesce("__in", F.lit(False))).drop("__in"))
+    now, done = inside.where("open"), [staged(inside.where("not open"))]
+    left = now.count()
     while left:
         every = now
         for d in done:
             every = every.unionByName(d)
-        ahead = every.select("repo_id", F.col("path").alias("before"), F.col("before").alias("__far"), F.col("hops").alias("__more"))
-        moved = now.join(ahead.hint("merge"), ["repo_id", "before"]).select(*node, F.col("__far").alias("before"), (F.col("hops") + F.col("__more")).alias("hops"))
-        moved = staged(moved)
-        done.append(staged(moved.join(names.hint("merge"), ["repo_id", "before"], "left_anti")))
-        now = staged(moved.join(names.hint("merge"), ["repo_id", "before"], "left_semi"))
-        if (still := now.count()) == left and done[-1].isEmpty():
+        # a node is open still if the one that it sees is, so a round is one join
+        ahead = every.select("repo_id", F.col("path").alias("before"), F.col("before").alias("__far"), F.col("hops").alias("__more"), F.col("open").alias("__open"))
+        moved = now.drop("open").join(ahead.hint("merge"), ["repo_id", "before"])
+        moved = staged(moved.select(*node, F.col("__far").alias("before"), (F.col("hops") + F.col("__more")).alias("hops"), F.col("__open").alias("open")))
+        now = moved.where("open")
+        if (still := now.count()) == left:  # only circles are left
             break
+        done.append(staged(moved.where("not open")))  # read in every round that follows
         left = still
     chains = done[0]
     for d in done[1:]:
         chains = chains.unionByName(d)
+    chains = staged(chains.drop("open"))
     ends = edges.withColumnRenamed("dst", "__dst").join(inside.select("repo_id", F.col("path").alias("__dst")).hint("merge"), ["repo_id", "__dst"], "left_anti")
     out = ends.join(chains.hint("merge"), node, "left").join(now.select(*node).hint("merge"), node, "left_anti")
     out = out.select("repo_id", F.coalesce("before", "path").alias("path"), F.col("__dst").alias("dst"), (F.coalesce("hops", F.lit(0)) + 1).alias("hops"))
@@ -151,7 +153,7 @@ def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
     steps = staged(edges.select("repo_id", F.col("src").alias("path"), "dst").where("path <> dst").distinct())
     begin = staged(entries.select(*node).distinct())
     short, chains = contracted(steps, begin)
-    short, chains = staged(short), staged(chains)
+    short = staged(short)
     seen = front = staged(begin.withColumn("hops", F.lit(0).cast("long")))
     while not front.isEmpty():
         nxt = front.join(short.withColumnRenamed("hops", "__far").hint("merge"), node).groupBy("repo_id", F.col("dst").alias("path")).agg(F.min(F.col("hops") + F.col("__far")).alias("hops"))

@@ -153,6 +153,19 @@ def test_reachable_graphs(spark, seed):
     assert {r.path: r.hops for r in evolution.reachable(rows, start).collect()} == brute_hops(edges, entries)
 
 
+def test_a_round_along_chains_is_one_join(spark, monkeypatch):
+    joins, real = [], type(spark.range(1)).join
+    monkeypatch.setattr(evolution, "staged", lambda df: df.localCheckpoint())
+    monkeypatch.setattr(type(spark.range(1)), "join", lambda self, *a, **k: joins.append(1) or real(self, *a, **k))
+    counts = []
+    for n in (16, 64):
+        edges = spark.range(n).selectExpr("'r' AS repo_id", "cast(id AS string) AS path", "cast(id + 1 AS string) AS dst")
+        joins.clear()
+        evolution.contracted(edges, spark.createDataFrame([("r", "0")], "repo_id string, path string"))
+        counts.append(len(joins))
+    assert counts[1] - counts[0] == 2  # a chain of four times the length takes two rounds more
+
+
 def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     n, rounds = 10_000, []
     real = evolution.staged
