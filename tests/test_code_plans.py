@@ -99,3 +99,20 @@ def test_advisories_with_one_range(spark):
     rows = [(1, "p", "1.0", None), (1, "q", "1.0", None)]
     several = evolution.vulnerable(packages, spark.createDataFrame(rows, "advisory long, package string, introduced string, fixed string"), imports)
     assert rows_of(several, "repo_id", "path", "advisory") == [("r", "a.py", 1), ("s", "b.py", 1)]
+
+
+def written(monkeypatch):
+    """The frames that the queries on code write out, as they do so."""
+    frames, real = [], code.staged
+    monkeypatch.setattr(code, "staged", lambda df: frames.append(df) or real(df))
+    return frames
+
+
+def test_texts_are_written_once_and_not_sorted(spark, sf_dir, monkeypatch):
+    frames = written(monkeypatch)
+    symbols = code.code_symbols(spark, sf_dir)
+    assert [f.columns for f in frames] == [["repo_id", "doc_id", "path", "content"]]
+    plan = symbols._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    # numbers are no words
+    assert symbols.count() == 3 * sum(range(36))
