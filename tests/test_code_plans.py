@@ -146,3 +146,13 @@ def test_ids_are_given_to_sizes(spark, sf_dir, monkeypatch):
     for r in rows:
         ids.setdefault(r.repo_id, []).append(r.id)
     assert all(some == list(range(1, len(some) + 1)) for some in ids.values())
+
+
+def test_packed_lists(spark):
+    """As texts they are the same rows, with modules that hold white space and colons."""
+    rows = [("r", "a.rs", "Rust", "use a::{b,\n  c};\nuse d;\nfn f() {\n}\nmod m {\n}\n"), ("r", "b.py", "Python", "import os\nimport os\n"), ("s", "c.rb", "Ruby", "")]
+    files = spark.createDataFrame(rows, "repo_id string, path string, grammar string, content string").withColumn("parsed", F.lit(True))
+    parsed = extract.parse(files, spans=False)
+    lists = extract.packed(parsed)
+    for got, want in ((extract.packed_symbols(lists), extract.symbols(parsed)), (extract.packed_imports(lists), extract.imports(parsed))):
+        assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect()) and want.count() > 1
